@@ -1,12 +1,12 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from .bpe import op1_byte_bpe
-from .msd_dedup import op10_exact_dedup
-from . import msd_dedup
+from . import bpe, media, mixing, msd_dedup
 
 QUERIES = {
-    "op1_byte_bpe": op1_byte_bpe,
-    "op10_exact_dedup": op10_exact_dedup,
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op3_media_columns": media.op3_media_columns,
+    "op4_entropy_mixing": mixing.op4_entropy_mixing,
+    "op10_exact_dedup": msd_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
