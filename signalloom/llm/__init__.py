@@ -1,11 +1,12 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, media, mixing, msd_dedup
+from . import bpe, language_id, media, mixing, msd_dedup
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_media_columns": media.op3_media_columns,
     "op4_entropy_mixing": mixing.op4_entropy_mixing,
+    "op5_language_id": language_id.op5_language_id,
     "op10_exact_dedup": msd_dedup.op10_exact_dedup,
 }
 

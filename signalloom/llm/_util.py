@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,22 +44,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructField], start: Callable[[], Callable[..., list]]) -> DataFrame:
-    """``df`` with the columns ``fields``, computed from the columns ``inputs`` batch by batch.
+class Step(NamedTuple):
+    """Columns ``fields`` from the columns ``inputs``; ``start()`` runs once in each task and returns a function from input arrays to output arrays."""
 
-    ``start()`` runs once in each task and returns a function from the input
-    arrays to the output arrays. Columns of ``df`` named like an output are replaced.
-    """
-    new = {f.name.lower() for f in fields}
-    keep = [f for f in df.schema.fields if f.name.lower() not in new]
-    schema = T.StructType([*keep, *fields])
+    inputs: Sequence[str]
+    fields: Sequence[T.StructField]
+    start: Callable[[], Callable[..., list]]
 
-    names = [f.name for f in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = start()
-        for b in batches:
-            made = step(*(b.column(c) for c in inputs))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, *(f.name for f in fields)])
+def append_columns(df: DataFrame, *steps: Step, drop: Sequence[str] = (), rows: int = 1024) -> DataFrame:
+    """``df`` with the columns of ``steps``, in one pass over Arrow batches of at most ``rows`` rows.
 
-    return df.mapInArrow(run, schema)
+    A step may read the columns of those before it. Columns of ``df`` named like an output
+    are replaced; those in ``drop``, of either kind, are left out.
+    """
+    fields = {f.name: f for f in df.schema.fields}
+    for step in steps:
+        for f in step.fields:
+            fields = {n: old for n, old in fields.items() if n.lower() != f.name.lower()} | {f.name: f}
+    names = [n for n in fields if n not in drop]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [s.start() for s in steps]
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                columns = dict(zip(b.schema.names, b.columns, strict=True))
+                for s, f in zip(steps, made, strict=True):
+                    columns |= zip((x.name for x in s.fields), f(*(columns[c] for c in s.inputs)), strict=True)
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return df.mapInArrow(run, T.StructType([fields[n] for n in names]))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._util import append_columns, documents, partitions, scratch, written
+from ._util import Step, append_columns, documents, partitions, scratch, written
 
 WIDTH = 64
 #: Fixed values of the format.
@@ -187,7 +187,7 @@ def read_headers(index: DataFrame, root: str) -> DataFrame:
         return step
 
     fields = [T.StructField(n, T.IntegerType()) for n in ("width", "height", "bits")]
-    return append_columns(index, ["shard", "offset", "length"], fields, start)
+    return append_columns(index, Step(["shard", "offset", "length"], fields, start))
 
 
 def read_features(index: DataFrame, root: str) -> DataFrame:
@@ -209,7 +209,7 @@ def read_features(index: DataFrame, root: str) -> DataFrame:
         return step
 
     kinds = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
-    return append_columns(index, ["shard", "offset", "length"], [T.StructField(n, t) for n, t in kinds.items()], start)
+    return append_columns(index, Step(["shard", "offset", "length"], [T.StructField(n, t) for n, t in kinds.items()], start))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

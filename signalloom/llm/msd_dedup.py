@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import append_columns, documents, partitions, written
+from ._util import Step, append_columns, documents, partitions, written
 
 #: The white space that doesn't count, [\x20\x09-\x0D].
 WHITE = b" \t\n\v\f\r"
@@ -138,7 +138,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     new = ("keep_id", "group_size", "kept", "text_sha256")
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new]).withColumn("__row", F.monotonically_increasing_id())
-    local = written(append_columns(docs, ["__row", "doc_id", "text"], _LOCAL, _local), "exact-local")
+    local = written(append_columns(docs, Step(["__row", "doc_id", "text"], _LOCAL, _local), rows=10_000), "exact-local")
     reps = local.where("__count is not null")
     total = reps.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     dealt = _deal(reps.withColumn("text", F.coalesce("text", F.lit(""))), max(1, total / partitions(spark)))
