@@ -13,6 +13,8 @@ longest token that is still possible). States and transitions are kept in a boun
 from __future__ import annotations
 
 import base64
+import gc
+import hashlib
 import re
 from array import array
 from itertools import chain
@@ -21,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import append_columns, documents
+from ._util import Step, append_columns, documents
 
 #: White_Space of Unicode; spelt out, as regex engines differ on U+001C..U+001F.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -264,6 +265,7 @@ def _once(kind, path: str, pattern: str | None = None):
     """One encoder or vocabulary in a Python worker."""
     key = (kind, path, pattern)
     if key not in _LOADED:
+        gc.set_threshold(1_000_000, 50, 50)  # the tables have no cycles; walking them again and again costs a third of the time
         ranks = load_ranks(path)
         if kind == "encoder":
             _LOADED[key] = Encoder(ranks, pattern)
@@ -275,8 +277,8 @@ def _once(kind, path: str, pattern: str | None = None):
     return _LOADED[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """``df`` with ``out_col array<int>``: the ids of the whole text, no special tokens.
+def encode_step(ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> Step:
+    """``out_col array<int>``: the ids of the whole text, no special tokens.
 
     Null text counts as empty and gives an empty array. A column of the same name
     as ``out_col`` is replaced. Each row is encoded alone, so repeated rows, ties and
@@ -288,8 +290,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
         def step(texts):
             ids, ends = array("i"), [0]
-            for t in texts.to_pylist():
-                if t:
+            for x in texts:
+                if t := x.as_py():
                     ids.extend(enc.ids(t))
                 ends.append(len(ids))
             values = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32))
@@ -297,11 +299,16 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
         return step
 
-    return append_columns(df, [text_col], [T.StructField(out_col, T.ArrayType(T.IntegerType(), False))], start)
+    return Step([text_col], [T.StructField(out_col, T.ArrayType(T.IntegerType(), False))], start)
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with ``out_col string``: the text of the ids, decoded as a stream.
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
+    """``df`` with the column of ``encode_step``."""
+    return append_columns(df, encode_step(ranks_path, pattern, text_col, out_col))
+
+
+def decode_step(ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> Step:
+    """``out_col string``: the text of the ids, decoded as a stream.
 
     Null or no ids give an empty text. Bytes that aren't UTF-8 become U+FFFD. An id outside the vocabulary is an error.
     """
@@ -319,12 +326,36 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
 
         return step
 
-    return append_columns(df, [ids_col], [T.StructField(out_col, T.StringType())], start)
+    return Step([ids_col], [T.StructField(out_col, T.StringType())], start)
+
+
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with the column of ``decode_step``."""
+    return append_columns(df, decode_step(ranks_path, ids_col, out_col))
+
 
+def _digest_step() -> Step:
+    """n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 (of the decoded bytes)."""
+
+    def start():
+        decimal: list[str] = []
+
+        def step(lists, texts):
+            values, at, ids_sha, text_sha = lists.flatten().to_numpy(zero_copy_only=False), 0, [], []
+            if len(values) and (top := int(values.max())) >= len(decimal):
+                decimal.extend(map(str, range(len(decimal), top + 1)))
+            sizes = lists.value_lengths()
+            for n in sizes.to_pylist():
+                ids_sha.append(hashlib.sha256(" ".join(map(decimal.__getitem__, values[at : at + n].tolist())).encode()).hexdigest())
+                at += n
+            for t in texts:
+                text_sha.append(hashlib.sha256(t.as_py().encode()).hexdigest())
+            return [sizes.cast(pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+
+        return step
 
-def ids_sha256(ids):
-    """SHA-256, in hex, of the decimal ids joined by one space."""
-    return F.sha2(F.array_join(ids, " "), 256)
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return Step(["token_ids", "decoded"], fields, start)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -332,14 +363,8 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    back = decode(ids, path)
-    return back.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        ids_sha256(F.col("token_ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    steps = encode_step(path, public_tokenizers.PATTERN), decode_step(path), _digest_step()
+    return append_columns(docs.select("doc_id", "text"), *steps, drop=("text", "token_ids", "decoded"), rows=256)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
