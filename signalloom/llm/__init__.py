@@ -1,12 +1,15 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, language_id, media, mixing, msd_dedup
+from . import bpe, html_text, language_id, media, mixing, msd_dedup, quality, token_counts
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_media_columns": media.op3_media_columns,
     "op4_entropy_mixing": mixing.op4_entropy_mixing,
     "op5_language_id": language_id.op5_language_id,
+    "op6_html_text": html_text.op6_html_text,
+    "op7_quality": quality.op7_quality,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_exact_dedup": msd_dedup.op10_exact_dedup,
 }
 

@@ -214,6 +214,10 @@ class Encoder(dict):
             return self.latin.findall(text)
         return self.pattern.findall(text)
 
+    def matcher(self, text: str):
+        """The function (text, start) -> match that splits this text."""
+        return (self.latin if self.latin and not self.beyond.search(text) else self.pattern).match
+
     def ids(self, text: str):
         return chain.from_iterable(map(self.__getitem__, self.split(text)))
 
