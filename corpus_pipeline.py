@@ -1,16 +1,48 @@
-"""The corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, tokens."""
+"""The corpus pipeline: language ID, exact dedup, near duplicates, mixing, tokens.
+
+Each stage reads what its predecessor has written. All but the last return the columns of ``documents``.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import bpe, msd_dedup
+from signalloom.llm import bpe, language_id, mixing, msd_dedup, ngram_join
 from signalloom.llm._util import written
 
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those that no language model recognises."""
+    return language_id.trusted(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, one stays."""
+    return msd_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each text."""
+    return bpe.digests(docs)
+
+
 STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: msd_dedup.drop_copies(docs)),
-    ("byte_bpe", lambda spark, docs, sf_dir: bpe.digests(docs)),
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("ngram_jaccard", near),
+    ("entropy_mixing", mixture),
+    ("byte_bpe", tokens),
 ]
 
-#: Language ID, entropy balancing and connected components aren't expressed in SQL; tests/llm holds each stage against a brute-force version.
+#: Language models, components and tilted rates aren't expressed in SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, html_text, language_id, media, mixing, msd_dedup, quality, token_counts
+from . import bpe, html_text, language_id, media, mixing, msd_dedup, ngram_join, quality, token_counts
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_html_text": html_text.op6_html_text,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_exact_dedup": msd_dedup.op10_exact_dedup,
 }
 
