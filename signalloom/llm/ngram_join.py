@@ -181,6 +181,27 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(z - a, np.int32)), pa.array(row[a:z]), none, none, pa.array(n[a:z]), lists], names=_SHARED.names)
 
 
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared n-grams of each document of a task, put together; documents that share fewer than 3/4 of theirs leave."""
+    parts = [(b.column("row").to_numpy(), b.column("n").to_numpy(), b.column("shared")) for b in batches if b.num_rows]
+    if not parts:
+        return
+    row, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    size = np.concatenate([p[2].value_lengths().to_numpy(zero_copy_only=False) for p in parts])
+    values = np.concatenate([p[2].flatten().to_numpy(zero_copy_only=False) for p in parts])
+    begin = np.cumsum(size) - size
+    order = np.argsort(row, kind="stable")
+    first = np.flatnonzero(np.diff(row[order], prepend=-1))
+    shared = np.add.reduceat(size[order], first)
+    keep = 4 * shared >= 3 * n[order][first]
+    ends = np.append(first[1:], len(order))
+    lists = [np.concatenate([values[begin[k] : begin[k] + size[k]] for k in order[a:z]]) for a, z in zip(first[keep].tolist(), ends[keep].tolist(), strict=True)]
+    if lists:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists)))
+        yield pa.RecordBatch.from_arrays([pa.array(row[order][first][keep]), pa.array(n[order][first][keep]), made], names=["row", "n", "tokens"])
+
+
 # --- 2: candidates ----------------------------------------------------------------------------------------------------
 
 
@@ -284,8 +305,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(cut.repartition(partitions(spark), "fragment").mapInArrow(_share, _SHARED), "near-shared")
     table = shared.where("kind = 0").select("row", "doc_id", "rep", "n")
     segments = shared.where("kind = 1")
-    able = segments.groupBy("row").agg(F.sum(F.size("shared")).alias("m"), F.max("n").alias("n")).where("4 * m >= 3 * n").select("row")
-    sets = written(segments.join(able, "row").groupBy("row").agg(F.max("n").alias("n"), F.flatten(F.collect_list("shared")).alias("tokens")), "near-sets")
+    sets = written(segments.select("row", "n", "shared").repartition(partitions(spark), "row").mapInArrow(_able, "row long, n int, tokens array<long>"), "near-sets")
 
     # n-grams by document frequency among those left; the rarest first, those of one document before all
     tokens = sets.select("row", "n", F.explode("tokens").alias("token"))
