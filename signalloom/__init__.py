@@ -1,0 +1 @@
+"""Telemetry analytics on Spark: signal tables in, metrics, graphs, spans, profiles and findings out."""
