@@ -1,9 +1,10 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, html_text, language_id, media, mixing, msd_dedup, ngram_join, quality, token_counts
+from . import bpe, html_text, language_id, media, mixing, msd_dedup, ngram_join, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_media_columns": media.op3_media_columns,
     "op4_entropy_mixing": mixing.op4_entropy_mixing,
     "op5_language_id": language_id.op5_language_id,
