@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._util import documents, partitions, written
 from .components import components
@@ -94,8 +93,8 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
 
 #: kind 0: a row of the table; kind 1: the segments of a batch in one fragment.
 _SENT = "kind int, fragment int, row long, doc_id long, rep long, n int, rows binary, sizes binary, ns binary, hashes binary"
-#: kind 0: a row of the table; kind 1: what one document shares with others in one fragment.
-_SHARED = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("row", "doc_id", "rep")], T.StructField("n", T.IntegerType()), T.StructField("shared", T.ArrayType(T.LongType(), False))])
+#: kind 0: a row of the table; kind 1: what the documents of a bucket share with others in a task's fragments.
+_SHARED = "kind int, row long, doc_id long, rep long, n int, bucket int, rows binary, sizes binary, ns binary, tokens binary"
 
 
 def _cut(fragments: int):
@@ -145,50 +144,57 @@ def _record(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shared n-grams of each document in a task's fragments."""
-    rows, sizes, ns, keys = [], [], [], []
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    for b in batches:
-        is_row = np.array(b.column("kind").to_pylist()) == 0
-        if is_row.any():
-            t = b.filter(pa.array(is_row))
-            none = pa.array([None] * t.num_rows, kinds[-1])
-            yield pa.RecordBatch.from_arrays([t.column("kind"), t.column("row"), t.column("doc_id"), t.column("rep"), t.column("n"), none], names=_SHARED.names)
-        t = b.filter(pa.array(~is_row))
-        for f, r, s, n, h in zip(*(t.column(c).to_pylist() for c in ("fragment", "rows", "sizes", "ns", "hashes")), strict=True):
-            rows.append(np.frombuffer(r, np.int64))
-            sizes.append(np.frombuffer(s, np.int32))
-            ns.append(np.frombuffer(n, np.int32))
-            keys.append(np.frombuffer(h, np.uint32).astype(np.int64) | (f << 32))
-    if not keys:
-        return
-    row, size, n, key = (np.concatenate(x) for x in (rows, sizes, ns, keys))
-    del rows, sizes, ns, keys
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    shared = np.zeros(len(key), bool)
-    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    count = np.add.reduceat(shared.astype(np.int64), np.cumsum(size) - size)
-    keep = count > 0
-    values, lengths = key[shared], count[keep]
-    row, n = row[keep], n[keep]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    for a in range(0, len(row), 20_000):
-        z = min(a + 20_000, len(row))
-        lists = pa.ListArray.from_arrays(pa.array(ends[a : z + 1] - ends[a], pa.int32()), pa.array(values[ends[a] : ends[z]]))
-        none = pa.array([None] * (z - a), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(z - a, np.int32)), pa.array(row[a:z]), none, none, pa.array(n[a:z]), lists], names=_SHARED.names)
+def _share(buckets: int):
+    """The shared n-grams of each document in a task's fragments, packed by the bucket that puts them together."""
+    names = [x.split()[0] for x in _SHARED.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+    def record(length: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(length, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sizes, ns, keys = [], [], [], []
+        for b in batches:
+            is_row = b.column("kind").to_numpy() == 0
+            if is_row.any():
+                t = b.filter(pa.array(is_row))
+                yield record(t.num_rows, {c: t.column(c) for c in ("kind", "row", "doc_id", "rep", "n")})
+            t = b.filter(pa.array(~is_row))
+            for f, r, s, n, h in zip(*(t.column(c).to_pylist() for c in ("fragment", "rows", "sizes", "ns", "hashes")), strict=True):
+                rows.append(np.frombuffer(r, np.int64))
+                sizes.append(np.frombuffer(s, np.int32))
+                ns.append(np.frombuffer(n, np.int32))
+                keys.append(np.frombuffer(h, np.uint32).astype(np.int64) | (f << 32))
+        if not keys:
+            return
+        row, size, n, key = (np.concatenate(x) for x in (rows, sizes, ns, keys))
+        del rows, sizes, ns, keys
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        shared = np.zeros(len(key), bool)
+        shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        count = np.add.reduceat(shared.astype(np.int32), np.cumsum(size) - size)
+        bucket = (_mix(row.astype(_U)) % _U(buckets)).astype(np.int64)
+        segment = np.repeat(np.arange(len(row)), size)[shared]
+        values = key[shared][np.argsort(bucket[segment], kind="stable")]
+        keep = np.flatnonzero(count)
+        keep = keep[np.argsort(bucket[keep], kind="stable")]
+        cuts = np.flatnonzero(np.diff(bucket[keep], prepend=-1, append=-1))
+        ends = np.concatenate([[0], np.cumsum(count[keep])])
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            at = keep[a:z]
+            blobs = {"rows": row[at].tobytes(), "sizes": count[at].astype(np.int32).tobytes(), "ns": n[at].astype(np.int32).tobytes(), "tokens": values[ends[a] : ends[z]].tobytes()}
+            yield record(1, {"kind": pa.array([1], pa.int32()), "bucket": pa.array([int(bucket[keep[a]])], pa.int32())} | {c: pa.array([v], pa.binary()) for c, v in blobs.items()})
+
+    return run
 
 
 def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shared n-grams of each document of a task, put together; documents that share fewer than 3/4 of theirs leave."""
-    parts = [(b.column("row").to_numpy(), b.column("n").to_numpy(), b.column("shared")) for b in batches if b.num_rows]
+    parts = [[np.frombuffer(x, t) for x, t in zip(blobs, (np.int64, np.int32, np.int32, np.int64), strict=True)] for b in batches for blobs in zip(*(b.column(c).to_pylist() for c in ("rows", "ns", "sizes", "tokens")), strict=True)]
     if not parts:
         return
-    row, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    size = np.concatenate([p[2].value_lengths().to_numpy(zero_copy_only=False) for p in parts])
-    values = np.concatenate([p[2].flatten().to_numpy(zero_copy_only=False) for p in parts])
+    row, n, size, values = (np.concatenate([p[k] for p in parts]) for k in range(4))
     begin = np.cumsum(size) - size
     order = np.argsort(row, kind="stable")
     first = np.flatnonzero(np.diff(row[order], prepend=-1))
@@ -302,10 +308,10 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "row" not in rows.columns:
         rows = rows.withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", "text").mapInArrow(_cut(fragments), _SENT)
-    shared = written(cut.repartition(partitions(spark), "fragment").mapInArrow(_share, _SHARED), "near-shared")
+    shared = written(cut.repartition(partitions(spark), "fragment").mapInArrow(_share(partitions(spark)), _SHARED), "near-shared")
     table = shared.where("kind = 0").select("row", "doc_id", "rep", "n")
-    segments = shared.where("kind = 1")
-    sets = written(segments.select("row", "n", "shared").repartition(partitions(spark), "row").mapInArrow(_able, "row long, n int, tokens array<long>"), "near-sets")
+    packed = shared.where("kind = 1").select("bucket", "rows", "ns", "sizes", "tokens")
+    sets = written(packed.repartition(partitions(spark), "bucket").mapInArrow(_able, "row long, n int, tokens array<long>"), "near-sets")
 
     # n-grams by document frequency among those left; the rarest first, those of one document before all
     tokens = sets.select("row", "n", F.explode("tokens").alias("token"))
