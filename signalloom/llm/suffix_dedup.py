@@ -135,6 +135,51 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + PIECE + LENGTH - 1]
 
 
+#: kind 0: values of the texts of a bucket; kind 1: a text, compressed. Those of kind 0 are read first.
+_MIXED = "kind int, bucket int, row long, doc_id long, size int, text binary, rows binary, sizes binary, first binary, second binary"
+
+
+def _record(length: int, columns: dict) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in _MIXED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(length, kinds[k]) for c, k in fields], names=[c for c, _ in fields])
+
+
+def _packed(buckets: int):
+    """Texts as compressed bytes with their buckets: they are shuffled twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
+                row = b.column("row")
+                yield _record(b.num_rows, {"kind": [1] * b.num_rows, "bucket": (row.to_numpy() % buckets).astype(np.int32), "row": row, "doc_id": b.column("doc_id"), "size": list(map(len, raw)), "text": [pa.compress(r, "zstd", asbytes=True) for r in raw]})
+
+    return run
+
+
+def _by_bucket(buckets: int, row: np.ndarray, first: np.ndarray, second: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Values of rows, packed by bucket; ``row`` in order."""
+    edge = np.flatnonzero(np.diff(row, prepend=-1))
+    size, owner = np.diff(np.append(edge, len(row))), row[edge]
+    bucket = owner % buckets
+    order = np.argsort(bucket, kind="stable")
+    values = np.argsort(np.repeat(bucket, size), kind="stable")
+    first, second = first[values], second[values] if second is not None else None
+    owner, size, bucket = owner[order], size[order], bucket[order]
+    cuts, ends = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)), np.concatenate([[0], np.cumsum(size)])
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        part = slice(ends[a], ends[z])
+        columns = {"kind": [0], "bucket": [int(bucket[a])], "rows": [owner[a:z].tobytes()], "sizes": [size[a:z].astype(np.int32).tobytes()], "first": [first[part].tobytes()]}
+        yield _record(1, columns | ({"second": [second[part].tobytes()]} if second is not None else {}))
+
+
+def _unpack(rows: bytes, sizes: bytes, *values: bytes) -> Iterator[tuple]:
+    cuts = np.cumsum(np.frombuffer(sizes, np.int32))[:-1]
+    yield from zip(np.frombuffer(rows, np.int64).tolist(), *(np.split(np.frombuffer(v, np.int64), cuts) for v in values), strict=True)
+
+
 _SENT = "part int, rows binary, sizes binary, hashes binary"
 
 
@@ -167,7 +212,7 @@ def _send(parts: int):
     return run
 
 
-def _repeated(parts: int):
+def _repeated(parts: int, buckets: int):
     """Rows with the representatives that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +239,8 @@ def _repeated(parts: int):
         row, key = row[order], key[order]
         only = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, bool)
         row, key = row[only], key[only]
-        edge = np.flatnonzero(np.diff(row, prepend=-1))
-        for a in range(0, len(edge), 20_000):
-            e = edge[a : a + 20_000]
-            end = edge[a + 20_000] if a + 20_000 < len(edge) else len(row)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(e, end) - e[0], pa.int32()), pa.array(key[e[0] : end]))
-            yield pa.RecordBatch.from_arrays([pa.array(row[e]), lists], names=["row", "found"])
+        if len(row):
+            yield from _by_bucket(buckets, row, key)
 
     return run
 
@@ -223,14 +264,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["hash", "context", "ids", "rows", "starts"])
 
     for b in batches:
-        for row, doc_id, text, lists in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("found"), strict=True):
-            if lists.is_valid:
-                found.setdefault(row, []).append(lists.values.to_numpy())
+        for kind, row, doc_id, length, text, *lists in zip(*(b.column(c).to_pylist() for c in ("kind", "row", "doc_id", "size", "text", "rows", "sizes", "first")), strict=True):
+            if kind == 0:
+                for k, values in _unpack(*lists):
+                    found.setdefault(k, []).append(values)
                 continue
             if row not in found:
                 continue
             wanted = np.concatenate(found.pop(row))
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            raw = pa.decompress(text, length, "zstd", asbytes=True)
             for at, piece in _pieces(np.frombuffer(raw, np.uint8)):
                 h, first, last = representatives(piece)
                 hit = np.isin(h.astype(np.int64), wanted)
@@ -275,8 +317,8 @@ def _grouped(keys: np.ndarray, values: np.ndarray):
     return keys[edge].tolist(), np.split(values, edge[1:]) if len(edge) else []
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed stretches (row, start, end) from the contexts of a task's representatives."""
+def _compare(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Removed stretches (start, end) of rows from the contexts of a task's representatives."""
     groups: dict[int, dict[bytes, list]] = {}
     for b in batches:
         for h, c, i, r, s in zip(*(b.column(n).to_pylist() for n in ("hash", "context", "ids", "rows", "starts")), strict=True):
@@ -315,10 +357,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, start, end = (np.concatenate(x) for x in (rows, starts, ends))
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], end[order]
-        edge = np.flatnonzero(np.diff(row, prepend=-1))
-        if len(edge):
-            offsets = pa.array(np.append(edge, len(row)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(row[edge]), pa.ListArray.from_arrays(offsets, pa.array(start)), pa.ListArray.from_arrays(offsets, pa.array(end))], names=["row", "starts", "ends"])
+        if len(row):
+            yield from _by_bucket(buckets, row, start, end)
 
 
 # --- the operator -------------------------------------------------------------------------------------------------------
@@ -330,16 +370,14 @@ def numbered(docs: DataFrame, scan: bool) -> DataFrame:
     return rows if scan else written(rows, "repeat-rows")
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """row, starts, ends: stretches of bytes that are repeats, which may overlap, in several rows for a text; texts without any are absent."""
-    spark = rows.sparkSession
-    n = partitions(spark)
+def repeats(rows: DataFrame, buckets: int) -> DataFrame:
+    """Stretches of bytes that are repeats, which may overlap, packed by bucket of rows; texts without any are absent."""
+    n = partitions(rows.sparkSession)
     parts = 2 * n
-    lists = rows.select("row", "text").mapInArrow(_send(parts), _SENT).repartition(n, "part").mapInArrow(_repeated(parts), "row long, found array<long>")
-    texts = rows.select("row", "doc_id", "text", F.lit(None).cast("array<long>").alias("found"))
-    both = lists.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "found").unionByName(texts)
-    contexts = both.repartition(n, "row").sortWithinPartitions(F.col("found").isNull()).mapInArrow(_contexts, _CONTEXT)
-    return contexts.repartition(n, "hash").mapInArrow(_compare, "row long, starts array<long>, ends array<long>")
+    lists = rows.select("row", "text").mapInArrow(_send(parts), _SENT).repartition(n, "part").mapInArrow(_repeated(parts, buckets), _MIXED)
+    both = lists.unionByName(rows.mapInArrow(_packed(buckets), _MIXED))
+    contexts = both.repartition(n, "bucket").sortWithinPartitions("kind").mapInArrow(_contexts, _CONTEXT)
+    return contexts.repartition(n, "hash").mapInArrow(lambda batches: _compare(batches, buckets), _MIXED)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +388,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 1024):
             b = whole.slice(at, 1024)
             out: list[list] = [[] for _ in names]
-            for row, doc_id, text, s, e in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("starts"), b.column("ends"), strict=True):
-                if s.is_valid:
-                    found.setdefault(row, []).append((s.values.to_numpy(), e.values.to_numpy()))
+            for kind, row, doc_id, length, text, *lists in zip(*(b.column(c).to_pylist() for c in ("kind", "row", "doc_id", "size", "text", "rows", "sizes", "first", "second")), strict=True):
+                if kind == 0:
+                    for k, s, e in _unpack(*lists):
+                        found.setdefault(k, []).append((s, e))
                     continue
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = pa.decompress(text, length, "zstd", asbytes=True)
                 starts, ends, kept = [], [], raw
                 if row in found:
                     pieces = found.pop(row)
@@ -377,10 +416,9 @@ def cut_repeats(docs: DataFrame, scan: bool = False) -> DataFrame:
     """
     rows = numbered(docs, scan)
     n = partitions(docs.sparkSession)
-    none = [F.lit(None).cast("array<long>").alias(c) for c in ("starts", "ends")]
-    found = repeats(rows).select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "starts", "ends")
-    both = found.unionByName(rows.select("row", "doc_id", "text", *none))
-    return both.repartition(n, "row").sortWithinPartitions(F.col("starts").isNull()).mapInArrow(_cut, "row long, doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary")
+    buckets = 8 * n
+    both = repeats(rows, buckets).unionByName(rows.mapInArrow(_packed(buckets), _MIXED))
+    return both.repartition(n, "bucket").sortWithinPartitions("kind").mapInArrow(_cut, "row long, doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
