@@ -47,19 +47,24 @@ def bound_resource_attributes(attributes: Column, most: int = 16, key_bytes: int
     return F.transform(kept, lambda a: F.struct(truncate_utf8(a["key"], key_bytes).alias("key"), truncate_utf8(a["value"], value_bytes).alias("value")))
 
 
-def bound_request_attributes(attributes: Column, most: int = 8) -> Column:
-    """Request family: the first ``most``; an error attribute beyond them replaces the last that isn't one (P5)."""
+#: Attributes that tell of an error.
+ERROR_KEYS = ("error.type", "http.response.status_code", "rpc.grpc.status_code", "db.response.status_code", "messaging.kafka.response.error_code", "messaging.nats.status_code")
+
+
+def bound_request_attributes(attributes: Column, most: int = 8, key_bytes: int = 128, value_bytes: int = 256) -> Column:
+    """Request family: the first ``most`` that aren't oversize; a new error attribute beyond them takes the place of the last other one (P5)."""
 
     def is_error(a: Column) -> Column:
-        return a["key"].startswith("error")
+        return a["key"].isin(*ERROR_KEYS)
 
     def put(kept: Column, a: Column) -> Column:
-        place = F.size(kept) - F.array_position(F.reverse(F.transform(kept, lambda x: F.when(is_error(x), 1).otherwise(0))), 0).cast("int")
-        swapped = F.transform(kept, lambda x, i: F.when(i == place, a).otherwise(x))
-        return F.when(F.size(kept) < most, F.array_append(kept, a)).when(is_error(a) & (place < F.size(kept)), swapped).otherwise(kept)
+        last = F.array_max(F.transform(kept, lambda x, i: F.when(is_error(x), -1).otherwise(i)))
+        others = F.filter(kept, lambda x, i: i != last)
+        new = is_error(a) & ~F.exists(kept, lambda x: x["key"] == a["key"]) & (last >= 0)
+        return F.when(F.size(kept) < most, F.array_append(kept, a)).when(new, F.array_append(others, a)).otherwise(kept)
 
-    clean = drop_sensitive(attributes)
-    return F.aggregate(clean, F.slice(clean, 1, 0), put)
+    fits = F.filter(attributes, lambda a: (F.octet_length(a["key"]) <= key_bytes) & (F.octet_length(a["value"]) <= value_bytes))
+    return F.aggregate(fits, F.slice(fits, 1, 0), put)
 
 
 def merge_attributes(first: Column, second: Column, most: int = 16) -> Column:

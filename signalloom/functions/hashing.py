@@ -53,19 +53,26 @@ def label_hash(key: str, value: Column) -> Column:
     return fnv1a64(F.concat(F.encode(F.lit(key), "UTF-8"), F.unhex(F.lit("FF")), F.encode(value, "UTF-8")))
 
 
-#: Three seeds that give a trace id its halves and a span id.
-SEEDS = (OFFSET, OFFSET ^ 0x9E3779B97F4A7C15, OFFSET ^ 0xC2B2AE3D27D4EB4F)
+#: What the offset is combined with for the halves of a trace id and for a span id.
+SEEDS = (OFFSET ^ 0x9E3779B97F4A7C15, OFFSET ^ 0xD1B54A32D192ED03, OFFSET ^ 0x94D049BB133111EB)
 
 
 def generated_ids(identity: Column) -> Column:
     """struct(trace_id, span_id) from an identity string; never all zero."""
-    a, b, c = (fnv1a64(identity, s) for s in SEEDS)
-    trace, span = F.concat(a, b), c
-    return F.struct(F.when(trace.rlike("^0+$"), F.lpad(F.lit("1"), 32, "0")).otherwise(trace).alias("trace_id"), F.when(span.rlike("^0+$"), F.lpad(F.lit("1"), 16, "0")).otherwise(span).alias("span_id"))
+    one = F.lit("0000000000000001")
+    a, b, c = (F.when(h == "0" * 16, one).otherwise(h) for h in (fnv1a64(identity, s) for s in SEEDS))
+    return F.struct(F.concat(a, b).alias("trace_id"), c.alias("span_id"))
 
 
 def stack_id(frames: Column) -> Column:
-    """Hash of frames (domain, symbol, module, file, line, module_offset), with separators."""
-    fields = ("domain", "symbol", "module", "file", "line", "module_offset")
-    text = F.concat_ws("\x1e", F.transform(frames, lambda f: F.concat_ws("\x1f", *[F.coalesce(f[n].cast("string"), F.lit("\x00")) for n in fields])))
-    return fnv1a64(text)
+    """Hash of frames (domain, symbol, module, file, line, module_offset) (F6): fields end with U+001F, frames with U+001E; an unknown domain isn't written."""
+
+    def text(value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("some:"), value), F.lit("none"))
+
+    def frame(f: Column) -> Column:
+        domain = F.when(F.coalesce(f["domain"], F.lit("unknown")) != "unknown", F.concat(F.lit("domain:"), f["domain"], F.lit("\x1f"))).otherwise("")
+        numbers = [F.coalesce(f[n].cast("string"), F.lit("")) for n in ("line", "module_offset")]
+        return F.concat(domain, F.concat_ws("\x1f", text(f["symbol"]), text(f["module"]), text(f["file"]), *numbers), F.lit("\x1e"))
+
+    return F.concat(F.lit("stack:"), fnv1a64(F.array_join(F.transform(frames, frame), "")))

@@ -31,7 +31,7 @@ def truncate_utf8(value: Column, limit: int) -> Column:
 
     # the longest prefix whose next byte begins a character; a character has four bytes at most
     choices = F.coalesce(*[F.when(~continues(k + 1), F.lit(k)) for k in range(limit, max(limit - 4, -1), -1)], F.lit(0))
-    return F.when(F.octet_length(value) <= limit, value).otherwise(F.decode(F.substring(raw, F.lit(1), choices), F.lit("UTF-8")))
+    return F.when(F.octet_length(value) <= limit, value).otherwise(F.decode(F.substring(raw, F.lit(1), choices), "UTF-8"))
 
 
 def is_sensitive(key: Column, extra: tuple[str, ...] = ()) -> Column:

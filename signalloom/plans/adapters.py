@@ -82,3 +82,9 @@ def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
                 text = text.replace(word, word.split()[0] + " {" + t + "}")
     return spark.sql(f"{text}\nSELECT * FROM {name}", **frames)
+
+CTES |= {
+    "convs": """SELECT conv_id, turn, role, 'node-' || CAST(conv_id % 4 AS STRING) AS host, CAST(conv_id AS STRING) AS connection, turn AS correlation_id, conv_id * 1000 + turn AS seq, (conv_id * 100 + turn) * 1000000 AS ts, length(text) AS n FROM conversations""",
+    "stacks": """SELECT doc_id AS seq, source, doc_id * 1000000000 AS ts, CASE WHEN doc_id % 3 = 0 THEN 'cpu' ELSE 'wall' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, 1 + doc_id % 9 AS sample_count, CAST(n_chars % 50 AS STRING) AS stack_id, doc_id % 7 AS pid FROM documents""",
+    "execs": """SELECT doc_id AS seq, CASE doc_id % 6 WHEN 0 THEN '/bin/bash' WHEN 1 THEN '/usr/bin/curl' WHEN 2 THEN '/usr/bin/python3' WHEN 3 THEN 'sh' WHEN 4 THEN 'nc' END AS executable, 'run' || CAST(doc_id % 5 AS STRING) AS command, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS STRING) END AS container_id, lang FROM documents""",
+}
