@@ -57,7 +57,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     h = np.zeros(len(flat), np.uint64)
     power, base = 1, 0x9E3779B97F4A7C15
     for n in range(1, ORDER + 1):  # hash of the n characters that end here
-        shifted = np.concatenate([np.zeros(n - 1, np.uint64), flat[: len(flat) - n + 1]])
+        shifted = np.concatenate([np.zeros(min(n - 1, len(flat)), np.uint64), flat[: max(0, len(flat) - n + 1)]])
         h = h + (shifted + np.uint64(1)) * np.uint64(power)
         power = power * base % (1 << 64)
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)

@@ -61,7 +61,7 @@ _LOCAL = [
     T.StructField("__best", T.LongType()),
     T.StructField("__best_id", T.LongType()),
 ]
-_GROUP = "rep long, keep_row long, keep_id long, group_size long, text_sha256 string"
+_GROUP = "__of long, __keep_row long, keep_id long, group_size long, text_sha256 string"
 
 
 def _bytes(texts) -> list[bytes]:
@@ -89,14 +89,14 @@ def _local():
 
 
 def _deal(reps: DataFrame, share: float) -> DataFrame:
-    """``reps`` with ``bin``: the shortest prefix of each text whose group has at most ``share`` bytes."""
+    """``reps`` with ``__bin``: the shortest prefix of each text whose group has at most ``share`` bytes."""
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary")
     prefix = {d: F.substring("__head" if d <= _HEAD else norm, 1, d) for d in DIGITS}
     heavy: list[tuple[int, list[bytes]]] = []
     left = reps
     for digit in DIGITS:
-        sums = left.groupBy(prefix[digit].alias("p")).agg(F.sum(F.octet_length("text") + 64).alias("w"))
-        found = [bytes(r[0]) for r in sums.where((F.col("w") > share) & (F.length("p") == digit)).select("p").collect()]
+        sums = left.groupBy(prefix[digit].alias("__p")).agg(F.sum(F.octet_length("text") + 64).alias("__w"))
+        found = [bytes(r[0]) for r in sums.where((F.col("__w") > share) & (F.length("__p") == digit)).select("__p").collect()]
         if not found:
             break
         heavy.append((digit, found))
@@ -104,7 +104,7 @@ def _deal(reps: DataFrame, share: float) -> DataFrame:
     bin_ = prefix[DIGITS[len(heavy)]] if len(heavy) < len(DIGITS) else norm
     for digit, found in reversed(heavy):
         bin_ = F.when(prefix[digit].isin([F.lit(p) for p in found]), bin_).otherwise(prefix[digit])
-    return reps.withColumn("bin", bin_)
+    return reps.withColumn("__bin", bin_)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, v in zip(out, (rep[i], *same), strict=True):
                 column.append(v)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["rep", "keep_row", "keep_id", "group_size", "text_sha256"])
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["__of", "__keep_row", "keep_id", "group_size", "text_sha256"])
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Null texts count as empty, and equal each other and texts of white space. Of equal
     texts the row with the most code points stays, then the smallest doc_id (null
     last), then the first row read; rows that are repeated whole count one by one.
-    Columns of ``docs`` with the names of the result are replaced. An empty table gives an empty one.
+    Columns of ``docs`` with the names of the result are replaced; names that begin with two underscores are kept for the operator. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     new = ("keep_id", "group_size", "kept", "text_sha256")
@@ -142,10 +142,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     reps = local.where("__count is not null")
     total = reps.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     dealt = _deal(reps.withColumn("text", F.coalesce("text", F.lit(""))), max(1, total / partitions(spark)))
-    groups = dealt.repartition(partitions(spark), "bin").select("text", *[f.name for f in _LOCAL if f.name != "__head"]).mapInArrow(_groups, _GROUP)
+    groups = dealt.repartition(partitions(spark), "__bin").select("text", *[f.name for f in _LOCAL if f.name != "__head"]).mapInArrow(_groups, _GROUP)
     return (
-        local.join(groups, local["__rep"] == groups["rep"])
-        .withColumn("kept", F.col("__row") == F.col("keep_row"))
+        local.join(groups, F.col("__rep") == F.col("__of"))
+        .withColumn("kept", F.col("__row") == F.col("__keep_row"))
         .select(*[c for c in docs.columns if c != "__row"], *new)
     )
 
