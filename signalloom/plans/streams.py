@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import signals
 from ..streaming import state, streams
 from .adapters import oracle
 from .registry import query
@@ -115,3 +116,25 @@ def t10(spark, d):
 def t1(spark, d):
     """A file stream in, counted."""
     return _drain(_events(spark, d).where("kind = 'open'").groupBy("remote_address").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+def _written_signals(spark, d) -> str:
+    """Documents as exec signals in a folder, with some lines that fit nothing."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.where("doc_id % 5 > 0").select(F.col("source").alias("host"), F.col("doc_id").alias("pid"), F.lit("run").alias("command"), F.array("lang").alias("arguments"))
+    path = f"{_folder(spark)}/signals"
+    signals.write_signals(signals.signal_lines(rows, "exec", "plans"), path)
+    docs.where("doc_id % 5 = 0").select(F.when(F.col("doc_id") % 2 == 0, "not json").otherwise('{"schema_version":7,"kind":"exec"}').alias("value")).write.text(f"{path}/kind=bad")
+    return f"{path}/kind=*"
+
+
+@query("s1_read_signals", "SELECT source AS host, doc_id AS pid, lang AS argument FROM documents WHERE doc_id % 5 > 0")
+def s1(spark, d):
+    tables, _ = signals.read_signals(spark, _written_signals(spark, d), ["exec"])
+    return tables["exec"].select("host", "pid", F.col("arguments")[0].alias("argument"))
+
+
+@query("s1_quarantine", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'not_an_envelope' ELSE 'schema_version' END AS reason, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 1")
+def s1_bad(spark, d):
+    _, quarantine = signals.read_signals(spark, _written_signals(spark, d), ["exec"])
+    return quarantine.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

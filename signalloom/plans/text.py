@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import bounds, hashing, policy, text
+from ..operators import sanitize
 from .adapters import adapt, oracle
 from .registry import query
 
@@ -197,3 +198,25 @@ def f19(spark, d):
 @query("u3_merge_attributes", "SELECT p_partkey, list_sort(list_distinct([p_brand, p_type, p_brand, 'x']))[1:3] AS merged FROM part")
 def u3(spark, d):
     return table(spark, d, "part").select("p_partkey", bounds.merge_attributes(F.array("p_brand", "p_type"), F.array(F.col("p_brand"), F.lit("x")), 3).alias("merged"))
+
+
+_CUT = "CASE WHEN strlen({0}) <= {1} THEN {0} ELSE (SELECT max(p) FROM (SELECT substr({0}, 1, k) AS p FROM range(0, {1} + 1) t(k)) WHERE strlen(p) <= {1}) END"
+
+
+@query("p2_sanitize", f"SELECT doc_id, {_CUT.format('text', 256)} AS text, {_CUT.format('text', 64)} AS text_id, least(len(string_split(text, ' ')), 32) AS n FROM documents")
+def p2_kinds(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("text").alias("text_id"), F.split("text", " ").alias("arguments"))
+    return sanitize.sanitize(docs).select("doc_id", "text", "text_id", F.size("arguments").cast("long").alias("n"))
+
+
+@query("f18_bounded_values", "SELECT doc_id, CASE WHEN strlen(text) <= 40 THEN text ELSE 'hash' END AS value FROM documents")
+def f18(spark, d):
+    out = hashing.bounded_or_hash(F.col("text"), 40)
+    return table(spark, d, "documents").select("doc_id", F.when(out.rlike("^hash:[0-9a-f]{16}$"), "hash").otherwise(out).alias("value"))
+
+
+@query("f11_tcp_metric", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'network.tcp.retransmits' WHEN 1 THEN 'network.tcp.resets' WHEN 2 THEN 'network.tcp.transitions.closed' END AS metric FROM orders")
+def f11(spark, d):
+    k = F.col("o_orderkey") % 4
+    stat = F.when(k == 0, "retransmit").when(k == 1, "reset").otherwise("state_transition")
+    return table(spark, d, "orders").select("o_orderkey", text.tcp_metric(stat, F.lit(None).cast("string"), F.when(k == 2, "close").otherwise("listen")).alias("metric"))
