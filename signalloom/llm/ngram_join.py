@@ -353,7 +353,8 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = labels.withColumnRenamed("id", "rep")
     # by representative first: of the rows of one, a batch has read all
     reps = table.groupBy("rep").agg(F.min("doc_id").alias("low")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    lowest = reps.groupBy("label").agg(F.min("low").alias("component_id"))
+    # a table of its own: Spark can then split the join where one label has most of the rows
+    lowest = written(reps.groupBy("label").agg(F.min("low").alias("component_id")), "near-lowest")
     named = reps.join(lowest, "label").select("rep", "component_id")
     return table.join(named, "rep").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
