@@ -49,7 +49,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.children: dict[int, int] = {}
@@ -101,7 +101,7 @@ class Transducer:
         key = (before, token)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             found = self._split(token) is not None
             if found and before >= 0:

@@ -31,7 +31,7 @@ REJECT_SD = 20.0
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = 2, 3
-_CACHE, _CHUNK = 150_000, 200_000
+_CACHE, _CHUNK = 80_000, 200_000
 
 
 def words_of(text: str) -> list[str]:
