@@ -344,10 +344,11 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach), and ``row``, one row for each row of ``docs``.
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach), ``row`` and ``label`` (the class, by one of its rows), one row for each row of ``docs``.
 
     Null and empty texts and texts of white space have no set and are linked with nothing. Rows with
-    equal sets are linked. A null doc_id is never the smallest, unless there is no other. Other columns of ``docs`` don't matter.
+    equal sets are linked. A null doc_id is never the smallest, unless there is no other. Classes can share a component_id,
+    where ids are null or repeated, but not a label. Other columns of ``docs`` don't matter.
     """
     table, labels = link_classes(docs)
     labels = labels.withColumnRenamed("id", "rep")
@@ -355,18 +356,18 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = table.groupBy("rep").agg(F.min("doc_id").alias("low")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     # a table of its own: Spark can then split the join where one label has most of the rows
     lowest = written(reps.groupBy("label").agg(F.min("low").alias("component_id")), "near-lowest")
-    named = reps.join(lowest, "label").select("rep", "component_id")
-    return table.join(named, "rep").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    named = reps.join(lowest, "label").select("rep", "label", "component_id")
+    return table.join(named, "rep").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each class of near duplicates, the one with the smallest doc_id, with the columns of ``docs``; rows without a set all stay."""
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-input")
     found = classes(keyed)
-    first = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("__row")).select("__row")
+    first = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("label").agg(F.min("row").alias("__row")).select("__row")
     empty = found.where("n_shingles = 0").select(F.col("row").alias("__row"))
     return keyed.join(first.union(empty), "__row", "left_semi").select(*docs.columns)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(documents(spark, sf_dir)).drop("row")
+    return classes(documents(spark, sf_dir)).drop("row", "label")
