@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +49,14 @@ def features(text: str | None) -> list[float]:
         return (size - len(data.translate(None, chars))) / size
 
     lines = [x for x in data.split(b"\n") if x.strip()]
-    # distinct words fall with length, so they are counted in windows of the whole text
-    windows = [len(set(words[i : i + _WINDOW])) / len(words[i : i + _WINDOW]) for i in range(0, n, _WINDOW)]
+    # distinct words and the share of the most common one change with length, so they are counted in windows of the whole text
+    counts = [Counter(words[i : i + _WINDOW]) for i in range(0, n, _WINDOW)]
+    windows = [len(c) / min(_WINDOW, n - i * _WINDOW) for i, c in enumerate(counts)]
     lengths = list(map(len, words))
     return [
         float(np.log1p(n)), min(sum(lengths) / n, 30.0), share(_UPPER), share(_DIGIT), share(_SYMBOL), share(b"|"), share(b"."), share(b",;:"), share(bytes(range(128, 256))),
         len(_SYMBOL_END.findall(data)) / n, sum(map(operator.eq, words, words[1:])) / n, sum(windows) / len(windows), sum(x <= 3 for x in lengths) / n,
-        1 - len(set(lines)) / len(lines), float(np.log1p(n / len(lines))), sum(x > 14 for x in lengths) / n, share(b"!"), max(map(words[:_WINDOW].count, words[:20])) / min(n, _WINDOW),
+        1 - len(set(lines)) / len(lines), float(np.log1p(n / len(lines))), sum(x > 14 for x in lengths) / n, share(b"!"), sum(max(c.values()) for c in counts) / n,
     ]
 
 
