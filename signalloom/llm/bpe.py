@@ -4,20 +4,21 @@ The merges of a rank file define which token may follow which: a sequence of
 tokens is the encoding of its bytes exactly if each adjacent pair is the encoding
 of the pair's bytes. That makes encoding a nondeterministic finite-state
 transducer over bytes: a hypothesis is a place in the vocabulary's trie plus the
-token before it. ``Transducer`` determinises it on demand: a state is the set of
-live hypotheses with the tokens each still owes; a transition emits the tokens on
-which all hypotheses agree, so output lags the input by a bounded lookahead (the
-longest token that is still possible). States and transitions are kept in a bounded cache.
+token before it. ``Transducer`` determinises it on demand. The live places are the suffixes of
+the longest one that lead on in the trie, so a state is that place with the token before each suffix.
+A transition emits the one token that ends there in a valid encoding. Going back
+from the live places, their paths meet after a bounded lookahead (about the longest token): what
+lies before is settled. States and transitions are kept in a bounded cache.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gc
 import hashlib
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,10 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
+        self.bits = max(ranks.values()).bit_length()
+        self.length = [0] * (max(ranks.values()) + 1)
         self.children: dict[int, int] = {}
-        self.token_at, self.inner = [-1], [False]
+        self.token_at, self.inner, self.depth = [-1], [False], [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -64,18 +67,22 @@ class Transducer:
                     nxt = self.children[key] = len(self.token_at)
                     self.token_at.append(-1)
                     self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
+            self.length[rank] = len(token)
+        self.fits: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[tuple[int, int], tuple[int, ...]] = {}
+        #: longest live place -> all live places, longest first; the root last
+        self.chains: dict[int, tuple[int, ...]] = {0: (0,)}
+        self.steps: dict[int, tuple[int, tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.number = {((0, -1, ()),): 0}
-        self.states = [((0, -1, ()),)]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.final: list[tuple[int, ...]] = [()]
+        self.number = {(0, (-1,)): 0}
+        self.states = [(0, (-1,))]
+        self.moves: dict[int, int] = {}  # state, byte -> next state, token
 
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; itself twice for a byte, None if merging its bytes doesn't make it."""
@@ -98,7 +105,7 @@ class Transducer:
 
     def _fits(self, before: int, token: int) -> bool:
         """Whether the bytes of the two tokens encode to these two: no merge across the border comes before those that build them."""
-        key = (before, token)
+        key = (before + 1) << self.bits | token
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) > 250_000:
@@ -127,87 +134,119 @@ class Transducer:
         if found is None:
             found = self.number[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
-            self.final.append(state[-1][2])
         return found
 
-    def _move(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
-        """Builds one transition: (next state, emitted tokens)."""
-        live, fresh, children, fits = [], None, self.children, self.fits
-        for node, last, owed in self.states[state]:  # by the place where the pending bytes begin
-            node = children.get(node << 8 | b)
-            if node is None:
-                continue
-            if fresh is None and (token := self.token_at[node]) >= 0:  # one hypothesis at most ends here
-                ok = fits.get((last, token))
-                if self._fits(last, token) if ok is None else ok:
-                    fresh = (0, token, (*owed, token))
-            if self.inner[node]:
-                live.append((node, last, owed))
-        live.append(fresh)
-        emitted = ()
-        if live[0][2]:
-            first, agreed = live[0][2], 0
-            n = min([len(h[2]) for h in live])
-            while agreed < n and all([h[2][agreed] == first[agreed] for h in live]):
-                agreed += 1
-            if agreed:
-                emitted = first[:agreed]
-                live = [(node, last, owed[agreed:]) for node, last, owed in live]
-        to = tuple(live)
-        nxt = self._number(to)
-        out = self.moves[state][b] = (nxt, emitted)
+    def _step(self, top: int, b: int) -> tuple[int, tuple[int, ...], tuple[tuple[int, int], ...]]:
+        """From the longest live place by a byte: the new longest one, which of the old places live on, and (old place, token) where a token ends."""
+        key = top << 8 | b
+        found = self.steps.get(key)
+        if found is None:
+            if len(self.steps) > 4 * self.max_states:
+                self.steps.clear()
+            chain, keep, ends = [], [], []
+            for k, node in enumerate(self.chains[top]):
+                child = self.children.get(node << 8 | b)
+                if child is not None:
+                    if self.token_at[child] >= 0:
+                        ends.append((k, self.token_at[child]))
+                    if self.inner[child]:
+                        chain.append(child)
+                        keep.append(k)
+            chain.append(0)
+            self.chains.setdefault(chain[0], tuple(chain))
+            found = self.steps[key] = chain[0], tuple(keep), tuple(ends)
+        return found
+
+    def _move(self, state: int, b: int) -> int:
+        """Builds one transition: the next state and the token that ends there."""
+        top, before = self.states[state]
+        to, keep, ends = self._step(top, b)
+        fits, bits = self.fits, self.bits
+        for k, token in ends:  # a prefix has one encoding: one of them fits
+            ok = fits.get((before[k] + 1) << bits | token)
+            if self._fits(before[k], token) if ok is None else ok:
+                break
+        else:
+            raise ValueError(f"no token for byte {b}")
+        out = self.moves[state << 8 | b] = self._number((to, (*[before[k] for k in keep], token))) << bits | token
         return out
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def _settled(self, state: int, ends: list[int]) -> int:
+        """How many bytes are settled: where the paths back from all live places meet."""
+        live = sorted({len(ends) - self.depth[node] for node in self.chains[self.states[state][0]]})
+        while len(live) > 1:
+            at = live.pop()
+            at -= self.length[ends[at - 1]]
+            if at not in live:
+                bisect.insort(live, at)
+        return live[0]
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes."""
+        out, length = [], self.length
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
+
+    def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self._reset()
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        state, out, moves = 0, [], self.moves
+            return [whole]
+        state, out, ends, moves, bits, mask = 0, [], [], self.moves, self.bits, (1 << self.bits) - 1
         for b in piece:
-            move = moves[state].get(b)
+            move = moves.get(state << 8 | b)
             if move is None:
                 if len(self.states) > 2 * self.max_states:  # a very long piece with ever new states
                     here = self.states[state]
                     self._reset()
                     moves, state = self.moves, self._number(here)
                 move = self._move(state, b)
-            state, emitted = move
-            if emitted:
-                out += emitted
-        out += self.final[state]
-        return tuple(out)
+            state = move >> bits
+            ends.append(move & mask)
+            if len(ends) > _HELD and (at := self._settled(state, ends)):
+                out += self._back(ends, at)
+                del ends[:at]
+        return out + self._back(ends, len(ends))
 
 
+#: Bytes of a piece after which settled tokens are emitted.
+_HELD = 4096
+
 #: The letters and numbers of Unicode below U+0250, for texts without other characters.
 _LATIN_L, _LATIN_N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 
 
-class Encoder(dict):
-    """Pre-token -> ids; two generations of a bounded cache stand in front of the transducer."""
+class _Words(dict):
+    """Pre-token -> number; a new one is encoded and its ids go to the end of ``flat``."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 200_000):
+    def __init__(self, fst: Transducer):
         super().__init__()
-        self.fst, self.cache, self.older = Transducer(ranks), cache, {}
+        self.fst, self.flat, self.ends = fst, array("i"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend(self.fst.encode(word.encode("utf-8", "surrogatepass")))
+        self.ends.append(len(self.flat))
+        k = self[word] = len(self)
+        return k
+
+
+class Encoder:
+    """Ids of pre-tokens; a bounded table of pre-tokens stands in front of the transducer."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000, states: int = 250_000):
+        self.fst, self.cache = Transducer(ranks, states), cache
+        self.words = _Words(self.fst)
         exact = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"(?!\S)", f"(?![^{_WS}])").replace(r"\s+", f"[{_WS}]+")
         self.pattern = regex.compile(exact)
         latin = exact.replace(r"[^" + _WS + r"\p{L}\p{N}]", f"[^{_WS}{_LATIN_L}{_LATIN_N}]").replace(r"\p{L}", f"[{_LATIN_L}]").replace(r"\p{N}", f"[{_LATIN_N}]")
         self.latin = None if r"\p" in latin else re.compile(latin)
         self.beyond = re.compile("[^\x00-\u024f]")
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.fst.encode(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            if len(self) >= self.cache:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
         if self.latin and not self.beyond.search(text):
@@ -218,8 +257,30 @@ class Encoder(dict):
         """The function (text, start) -> match that splits this text."""
         return (self.latin if self.latin and not self.beyond.search(text) else self.pattern).match
 
-    def ids(self, text: str):
-        return chain.from_iterable(map(self.__getitem__, self.split(text)))
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > self.cache or len(self.words.flat) > 16 * self.cache:
+            self.words = _Words(self.fst)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """How many ids each pre-token has."""
+        k = self._numbers(words)
+        ends = np.frombuffer(self.words.ends, np.int64)
+        return ends[k + 1] - ends[k]
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens in a row, and how many each has."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        k = self._numbers(words)
+        ends, flat = np.frombuffer(self.words.ends, np.int64), np.frombuffer(self.words.flat, np.int32)
+        start = ends[k]
+        n = ends[k + 1] - start
+        upto = np.cumsum(n)
+        return flat[np.arange(upto[-1]) + np.repeat(start - upto + n, n)], n
+
+    def ids(self, text: str) -> list[int]:
+        return self.encoded(self.split(text))[0].tolist()
 
 
 class Utf8Stream:
@@ -265,14 +326,14 @@ def decode_stream(ids, vocabulary: list[bytes], chunk: int = 1 << 14):
 _LOADED: dict = {}
 
 
-def _once(kind, path: str, pattern: str | None = None):
+def _once(kind, path: str, pattern: str | None = None, **sizes: int):
     """One encoder or vocabulary in a Python worker."""
-    key = (kind, path, pattern)
+    key = (kind, path, pattern, *sorted(sizes.items()))
     if key not in _LOADED:
         gc.set_threshold(1_000_000, 50, 50)  # the tables have no cycles; walking them again and again costs a third of the time
         ranks = load_ranks(path)
         if kind == "encoder":
-            _LOADED[key] = Encoder(ranks, pattern)
+            _LOADED[key] = Encoder(ranks, pattern, **sizes)
         else:
             table = [b""] * (max(ranks.values()) + 1)
             for b, r in ranks.items():
@@ -281,25 +342,27 @@ def _once(kind, path: str, pattern: str | None = None):
     return _LOADED[key]
 
 
-def encode_step(ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> Step:
+def encode_step(ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", **sizes: int) -> Step:
     """``out_col array<int>``: the ids of the whole text, no special tokens.
 
     Null text counts as empty and gives an empty array. A column of the same name
     as ``out_col`` is replaced. Each row is encoded alone, so repeated rows, ties and
-    the order of rows don't matter. ``ranks_path`` must exist on every executor.
+    the order of rows don't matter. ``ranks_path`` must exist on every executor. ``sizes``: ``cache`` and ``states``,
+    the pre-tokens and states that a Python worker keeps.
     """
 
     def start():
-        enc = _once("encoder", ranks_path, pattern)
+        enc = _once("encoder", ranks_path, pattern, **sizes)
 
         def step(texts):
-            ids, ends = array("i"), [0]
+            words, ends = [], [0]
             for x in texts:
                 if t := x.as_py():
-                    ids.extend(enc.ids(t))
-                ends.append(len(ids))
-            values = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+                    words += enc.split(t)
+                ends.append(len(words))
+            values, n = enc.encoded(words)
+            upto = np.concatenate([[0], np.cumsum(n)])[ends]
+            return [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values))]
 
         return step
 
@@ -362,12 +425,16 @@ def _digest_step() -> Step:
     return Step(["token_ids", "decoded"], fields, start)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Round trip of every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, **sizes: int) -> DataFrame:
+    """Round trip of every text: doc_id, n_tokens, ids_sha256, decoded_sha256, one row for each row of ``docs``.
+
+    Null and empty texts have no tokens and the digests of no bytes. Repeated rows count one by one; an empty table
+    gives an empty one; other columns of ``docs`` don't matter. ``sizes`` as in ``encode_step``.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    steps = encode_step(path, public_tokenizers.PATTERN), decode_step(path), _digest_step()
+    steps = encode_step(path, public_tokenizers.PATTERN, **sizes), decode_step(path), _digest_step()
     return append_columns(docs.select("doc_id", "text"), *steps, drop=("text", "token_ids", "decoded"), rows=256)
 
 
