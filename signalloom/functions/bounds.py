@@ -67,6 +67,34 @@ def bound_request_attributes(attributes: Column, most: int = 8, key_bytes: int =
     return F.aggregate(fits, F.slice(fits, 1, 0), put)
 
 
+#: Attribute keys that a profile's own fields take.
+PROFILE_RESERVED = ("schema", "profile_id", "profile_kind", "correlation_kind", "confidence", "sample_count", "stack_id", "frame_count")
+TOP = 9223372036854775807
+
+
+def bound_profile_attributes(attributes: Column, most: int = 16, key_bytes: int = 128, value_bytes: int = 256) -> Column:
+    """Profile family: reserved keys go as well, oversize attributes are truncated (P5)."""
+    kept = F.slice(F.filter(drop_sensitive(attributes), lambda a: ~F.lower(a["key"]).isin(*PROFILE_RESERVED)), 1, most)
+    return F.transform(kept, lambda a: F.struct(truncate_utf8(a["key"], key_bytes).alias("key"), truncate_utf8(a["value"], value_bytes).alias("value")))
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    """The sum of two counters, or the greatest number where it would pass it."""
+    return F.coalesce(F.try_add(a.cast("long"), b.cast("long")), F.when(a.isNotNull() & b.isNotNull(), F.lit(TOP)))
+
+
+def saturating_sub(a: Column, b: Column) -> Column:
+    """The difference of two counters, 0 at least."""
+    return F.greatest(a.cast("long") - b.cast("long"), F.when(a.isNotNull() & b.isNotNull(), F.lit(0).cast("long")))
+
+
+def map_difference(before: Column, after: Column) -> Column:
+    """struct(gone, fresh, changed): keys in order that one map lacks or that have another value."""
+    a, b = F.map_keys(before), F.map_keys(after)
+    changed = F.filter(F.array_intersect(a, b), lambda k: ~before[k].eqNullSafe(after[k]))
+    return F.struct(F.array_sort(F.array_except(a, b)).alias("gone"), F.array_sort(F.array_except(b, a)).alias("fresh"), F.array_sort(changed).alias("changed"))
+
+
 def merge_attributes(first: Column, second: Column, most: int = 16) -> Column:
     """Sorted, distinct, at most ``most``."""
     return F.slice(F.array_distinct(F.array_sort(F.concat(first, second))), 1, most)

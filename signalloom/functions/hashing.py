@@ -57,11 +57,46 @@ def label_hash(key: str, value: Column) -> Column:
 SEEDS = (OFFSET ^ 0x9E3779B97F4A7C15, OFFSET ^ 0xD1B54A32D192ED03, OFFSET ^ 0x94D049BB133111EB)
 
 
+def _ids(values: list[bytes]) -> pd.DataFrame:
+    a, b, c = (np.maximum(fnv1a64_many(values, s), np.uint64(1)).tolist() for s in SEEDS)
+    return pd.DataFrame({"trace_id": [f"{x:016x}{y:016x}" for x, y in zip(a, b, strict=True)], "span_id": [f"{x:016x}" for x in c]})
+
+
+_IDS = "trace_id string, span_id string"
+
+
 def generated_ids(identity: Column) -> Column:
     """struct(trace_id, span_id) from an identity string; never all zero."""
-    one = F.lit("0000000000000001")
-    a, b, c = (F.when(h == "0" * 16, one).otherwise(h) for h in (fnv1a64(identity, s) for s in SEEDS))
-    return F.struct(F.concat(a, b).alias("trace_id"), c.alias("span_id"))
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        return _ids([v.encode() for v in values])
+
+    return F.pandas_udf(run, _IDS)(identity)
+
+
+def request_ids(head: Column, method: Column, target: Column, status: Column, kind: Column, peer: Column, port: Column) -> Column:
+    """struct(trace_id, span_id) of a request (F5): ``head``, then the hashes of method and target (0 if null), the status and the peer; null where ``head`` is."""
+
+    def hashed(values: list[str | None]) -> list[int]:
+        return [0 if v is None else h for v, h in zip(values, fnv1a64_many([(v or "").encode() for v in values]).tolist(), strict=True)]
+
+    def run(head: pd.Series, method: pd.Series, target: pd.Series, status: pd.Series, kind: pd.Series, peer: pd.Series, port: pd.Series) -> pd.DataFrame:
+        live = head.notna().to_numpy()
+        parts = [[None if pd.isna(v) else v for v in c[live]] for c in (head, method, target, status, kind, peer, port)]
+        h, m, t, s, k, p, o = parts
+        at = ["unknown-peer" if kind is None else f"{kind}:{x:016x}:{port}" for kind, x, port in zip(k, hashed(p), o, strict=True)]
+        made = _ids([f"{a}|{b}|{c}|{d}|{e}".encode() for a, b, c, d, e in zip(h, hashed(m), hashed(t), s, at, strict=True)])
+        out = pd.DataFrame({n: pd.Series([None] * len(head), dtype=object) for n in ("trace_id", "span_id")})
+        out.loc[live] = made.to_numpy()
+        return out
+
+    return F.pandas_udf(run, _IDS)(head, method, target, status, kind, peer, port)
+
+
+def hash_sql(text: str, seed: int = OFFSET) -> str:
+    """DuckDB SQL of the hash of the bytes of an expression, as 16 hex digits: 128-bit integers hold the product."""
+    steps = f"list_prepend(CAST({seed} AS HUGEINT), list_transform(list_filter(string_split(regexp_replace(hex({text}), '(..)', '\\1 ', 'g'), ' '), lambda p: p <> ''), lambda p: CAST(CAST('0x' || p AS INT) AS HUGEINT)))"
+    return f"lpad(lower(hex(CAST(list_reduce({steps}, lambda h, b: (xor(h, b) * {PRIME}) % 18446744073709551616) AS UBIGINT))), 16, '0')"
 
 
 def stack_id(frames: Column) -> Column:

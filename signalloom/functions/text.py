@@ -96,6 +96,45 @@ def is_external_ipv4(address: Column) -> Column:
     return F.coalesce(plain.rlike(rf"^{octet}(\.{octet}){{3}}$") & ~inside, F.lit(False))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address (a dotted tail counts as two) as 32 lower hex digits, or null if it isn't one."""
+
+    def words(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    def filled(left: Column, right: Column, sides: Column) -> Column:
+        missing = 8 - F.size(left) - F.size(right)
+        return F.when((sides == 2) & (missing >= 1), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).when((sides == 1) & (missing == 0), left)
+
+    def joined(whole: Column) -> Column:
+        return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def undotted(parts: Column) -> Column:  # head, then the four numbers of the tail
+        two = [F.lpad(F.lower(F.hex(F.get(parts, k).try_cast("int"))), 2, "0") for k in range(1, 5)]
+        return F.concat(F.get(parts, 0), two[0], two[1], F.lit(":"), two[2], two[3])
+
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    dotted = rf"^(.*:){octet}\.{octet}\.{octet}\.{octet}$"
+    plain = F.lower(F.when(address.rlike(dotted), _let(F.split(F.regexp_replace(address, dotted, "$1 $2 $3 $4 $5"), " "), undotted)).otherwise(address))
+    return F.when(address.contains(":"), _let(F.split(plain, "::"), lambda s: _let(words(F.get(s, 0)), lambda left: _let(words(F.coalesce(F.get(s, 1), F.lit(""))), lambda right: _let(filled(left, right, F.size(s)), joined)))))
+
+
+def is_external(address: Column) -> Column:
+    """Addresses outside private, loopback, link-local, multicast, broadcast and unspecified ranges (F2); IPv6 that maps IPv4 goes by that, anything else is false."""
+
+    def six(g: Column) -> Column:
+        four = F.concat_ws(".", *[F.conv(F.substring(g, 25 + 2 * k, 2), 16, 10) for k in range(4)])
+        inside = g.isin("0" * 32, "0" * 31 + "1") | g.rlike("^(ff|f[cd]|fe[89ab])")
+        return F.when(g.startswith("0" * 20 + "ffff"), is_external_ipv4(four)).otherwise(~inside)
+
+    return F.when(address.contains(":"), F.coalesce(_let(_groups(address), six), F.lit(False))).otherwise(is_external_ipv4(address))
+
+
 def container_of_path(path: Column) -> Column:
     """The 64-hex container id in a cgroup path of a known runtime."""
     marker = path.rlike("docker|containerd|crio|cri-o|libpod|kubepods")

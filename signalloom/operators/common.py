@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows up to which a dimension table may be broadcast; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
@@ -36,6 +38,17 @@ def cap_keys(df: DataFrame, keys: Sequence[str], order: str, most: int, flag: st
     return df.join(dimension(live, most), on, "left").drop(*[f"_k_{k}" for k in keys]).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def bounded_windows(df: DataFrame, keys: Sequence[str], end: str, most: int = 4096) -> DataFrame:
+    """``df`` with ``evicted``: whether its window isn't among the latest ``most`` by ``end``, then by key (K4).
+
+    Windows are ranked, not rows, and only ``most`` of them are joined back.
+    """
+    last = df.groupBy(*keys).agg(F.max(end).alias("_last")).orderBy(F.desc("_last"), *[F.desc(k) for k in keys]).limit(most)
+    live = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_live"))
+    on = [df[k].eqNullSafe(live[f"_k_{k}"]) for k in keys]
+    return df.join(dimension(live, most), on, "left").withColumn("evicted", F.col("_live").isNull()).drop("_live", *[f"_k_{k}" for k in keys])
+
+
 def suppressed(flagged: DataFrame, by: Sequence[str] = (), flag: str = "within_cap") -> DataFrame:
     """How many rows a full cap refused."""
     return flagged.groupBy(*by).agg(F.count(F.when(~F.col(flag), 1)).alias("suppressed"))
@@ -58,3 +71,35 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     """The row of each key with the greatest ``order``."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s")).select(*keys, "_s.*")
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """The rows of each key, one after the other by ``order``, through a small state machine.
+
+    ``begin()`` gives (feed, end) for a key: ``feed`` takes the row's columns behind the keys, in their order, and ``end`` nothing; both
+    return rows of the result without the keys. Rows pass by in sorted batches, so a key costs the memory of its state, not of its rows.
+    """
+    rest = [c for c in df.columns if c not in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, feed, end = None, None, None
+        for b in batches:
+            out = []
+            for key, row in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), zip(*(b.column(c).to_pylist() for c in rest), strict=True), strict=True):
+                if key != now:
+                    if end:
+                        out += [(*now, *r) for r in end()]
+                    now, (feed, end) = key, begin()
+                out += [(*now, *r) for r in feed(*row)]
+            if out:
+                yield record(out)
+        if end and (out := [(*now, *r) for r in end()]):
+            yield record(out)
+
+    target = df.sparkSession.createDataFrame([], schema).schema
+    names, kinds = target.names, to_arrow_schema(target)
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, target)

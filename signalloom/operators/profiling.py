@@ -1,18 +1,20 @@
 """Profiles: samples, sessions, warnings, symbols.
 
-A sample row has host, seq, ts, kind, correlation_kind, confidence, sample_count, period, stack_id, frames, pid, container_id,
-namespace, pod_name, attributes (array of key, value).
+A sample row has source, host, seq, ts, kind, correlation_kind, confidence, sample_count, period, stack_id, frames, pid, uid, container_id,
+namespace, pod_uid, pod_name, container_name, attributes (array of key, value).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bounds import drop_sensitive
-from ..functions.hashing import fnv1a64, stack_id
+from ..functions.hashing import bounded_or_hash, fnv1a64, stack_id
 from ..functions.text import bucket
 from .common import dedup
 
@@ -20,7 +22,10 @@ from .common import dedup
 WINDOW, SAMPLES, STACKS, FRAMES, ATTRIBUTES, MAX_COUNT = 30_000_000_000, 64, 64, 64, 16, 65_536
 RESERVED = ("schema", "profile_id", "profile_kind", "correlation_kind", "confidence", "sample_count", "stack_id", "frame_count")
 CONFIDENCE = ("low", "medium", "high")
-SESSION = ("host", "kind", "correlation_kind", "pid", "container_id", "namespace", "pod_name", "bucket")
+#: What tells sessions apart; the window's end follows from its start.
+SESSION = ("source", "host", "pid", "uid", "container_id", "namespace", "pod_uid", "container_name", "kind", "correlation_kind", "period", "bucket")
+WEIGHT, TOTAL_WEIGHT = "profiling.sample.weight_nanos", "profiling.session.total_weight_nanos"
+STACK_BYTES = 128
 
 
 def normalize_samples(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,22 +40,48 @@ def normalize_samples(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.withColumn("stack_id", stack_id(F.col("frames"))), df.where(~good).withColumn("reason", F.lit("empty_sample"))
 
 
+def _on(left: DataFrame, right: DataFrame) -> Column:
+    return reduce(and_, [left[c].eqNullSafe(right[c]) for c in SESSION])
+
+
 def profile_sessions(samples: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Tumbling sessions by identity (A16): observed and dropped samples, distinct stacks up to a cap, least confidence."""
+    """Tumbling sessions by identity (A16): observed and dropped samples, distinct stacks up to a cap, least confidence, summed weight, merged attributes.
+
+    Stacks and attributes are counted by value first, so that no set of them is gathered for a busy session; of the attributes
+    the first ``ATTRIBUTES`` in order stay.
+    """
     rank = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
-    rows = samples.withColumn("bucket", bucket(F.col("ts"), window))
-    # stacks are counted first, so that no set of them is gathered for a busy session
-    stacks = rows.groupBy(*SESSION, "stack_id").agg(F.sum("sample_count").alias("n"), F.min(rank).alias("c"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    weight = F.coalesce(F.get(F.filter("attributes", lambda a: a["key"] == WEIGHT), 0)["value"].try_cast("long"), F.lit(0))
+    rows = samples.withColumns({"bucket": bucket(F.col("ts"), window), "stack_id": bounded_or_hash(F.col("stack_id"), STACK_BYTES, "stack-hash:"), "_w": F.greatest(weight, F.lit(0))})
+    stacks = rows.groupBy(*SESSION, "stack_id").agg(F.sum("sample_count").alias("n"), F.min(rank).alias("c"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.sum("_w").alias("w"))
     out = stacks.groupBy(*SESSION).agg(
         F.least(F.sum("n"), F.lit(SAMPLES)).alias("observed"), F.greatest(F.sum("n") - SAMPLES, F.lit(0)).alias("dropped"),
-        F.least(F.count("stack_id"), F.lit(STACKS)).alias("distinct_stacks"), F.min("c").alias("c"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"),
+        F.least(F.count("stack_id"), F.lit(STACKS)).alias("distinct_stacks"), F.min("c").alias("c"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"), F.sum("w").alias("total_weight"),
     )
-    return out.withColumn("confidence", F.get(F.array(*map(F.lit, CONFIDENCE)), (F.col("c") - 1).cast("int"))).drop("c").withColumn("window_end", F.col("bucket") + window)
+    pairs = rows.select(*SESSION, F.inline("attributes")).distinct()
+    first = Window.partitionBy(*SESSION).orderBy("key", "value")
+    kept = pairs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= ATTRIBUTES).groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("_kept"))
+    joined = out.join(kept, _on(out, kept), "left").select(*[out[c] for c in out.columns], F.filter(F.coalesce("_kept", F.array().cast("array<struct<key:string,value:string>>")), lambda a: a["key"] != WEIGHT).alias("_kept"))
+    total = F.array(F.struct(F.lit(TOTAL_WEIGHT).alias("key"), F.col("total_weight").cast("string").alias("value")))
+    merged = F.when(F.col("total_weight") > 0, F.array_sort(F.concat(F.slice("_kept", 1, ATTRIBUTES - 1), total))).otherwise(F.col("_kept"))
+    return joined.withColumn("attributes", merged).withColumn("confidence", F.get(F.array(*map(F.lit, CONFIDENCE)), (F.col("c") - 1).cast("int"))).drop("c", "_kept").withColumn("window_end", F.col("bucket") + window)
 
 
 def session_ids(sessions: DataFrame) -> DataFrame:
-    """``sessions`` with session_id (F8)."""
-    return sessions.withColumn("session_id", F.concat(F.lit("session:"), fnv1a64(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in SESSION]))))
+    """``sessions`` with profile_id, the hash of their identity (F8)."""
+
+    def some(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("some:"), F.col(c).cast("string")), F.lit("none"))
+
+    fields = {"source": F.col("source"), "host": some("host"), "pid": some("pid"), "uid": some("uid"), "container": some("container_id"), "namespace": some("namespace"), "pod": some("pod_uid"), "k8s_container": some("container_name"),
+              "kind": F.col("kind"), "correlation": F.col("correlation_kind"), "period": some("period"), "start": F.col("bucket").cast("string"), "end": F.col("window_end").cast("string")}
+    return sessions.withColumn("profile_id", F.concat(F.lit("profile:"), fnv1a64(F.concat_ws("|", *[F.concat(F.lit(f"{k}:"), v) for k, v in fields.items()]))))
+
+
+def sample_ids(samples: DataFrame) -> DataFrame:
+    """``samples`` with sample_id, the hash of what a sample is (F8); missing fields are empty."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "ts", "host", "pid", "uid", "container_id", "pod_uid", "container_name", "stack_id")]
+    return samples.withColumn("sample_id", F.concat(F.lit("profile-sample:"), fnv1a64(F.concat_ws("|", *fields))))
 
 
 def profile_warnings(samples: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -68,7 +99,7 @@ def session_metric_lines(sessions: DataFrame) -> DataFrame:
     """Observed, dropped and distinct counts of each session as metric rows."""
     names = {"observed": "profile_session_samples_observed", "dropped": "profile_session_samples_dropped", "distinct_stacks": "profile_session_stacks_distinct"}
     rows = [F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for c, n in names.items()]
-    return sessions.select("host", "kind", "namespace", "pod_name", "bucket", F.inline(F.array(*rows)))
+    return sessions.select("host", "kind", "namespace", "pod_uid", "bucket", F.inline(F.array(*rows)))
 
 
 def pprof_tables(samples: DataFrame, batch: Sequence[str]) -> dict[str, DataFrame]:

@@ -1,21 +1,23 @@
 """Requests: matching, identity, spans, warnings.
 
 A request row has host, connection, seq, protocol, role, start, end, trace_id, span_id, parent_span_id, traceparent,
-correlation_kind, confidence, service_name, method, status_code, attributes (array of key, value), pid, container_id, namespace.
+correlation_kind, confidence, service_name, method, status_code, attributes (array of key, value), pid, container_id, namespace, and
+may have cgroup_id, peer_domain, peer_address, peer_port.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bounds import ERROR_KEYS, bound_request_attributes
-from ..functions.hashing import bounded_or_hash, fnv1a64, generated_ids
+from ..functions.hashing import bounded_or_hash, request_ids
 from ..functions.policy import selector
 from ..functions.text import grpc_status, parse_traceparent, valid_span_id, valid_trace_id
-from .common import dedup
+from .common import dedup, in_order
 
 #: Requests in flight on a connection, and nanoseconds until a request is given up.
 IN_FLIGHT, TIMEOUT = 32, 30_000_000_000
@@ -44,26 +46,36 @@ def match_by_id(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOU
     return found.select(*keys, "start", F.when(one, F.col("_end")).alias("end"), _appended(F.col("_mine"), F.when(one, F.coalesce("_theirs", empty)).otherwise(empty)).alias("attributes"))
 
 
-def match_fifo(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOUT, most: int = IN_FLIGHT) -> DataFrame:
-    """Requests and responses of a connection in order (J8): the k-th response answers the k-th request that is still waiting.
+def match_fifo(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOUT, most: int = IN_FLIGHT, answers_all: str | None = None) -> DataFrame:
+    """Requests of a connection with the response that answers them, in order (J8): host, connection, seq, start, end, response_seq, outcome.
 
-    One union ordered by time: the number of requests before a response, less those answered, tells which it is. A
-    response without a waiting request is ignored; beyond ``most`` in flight and after ``timeout`` a request has no end.
+    A response answers the oldest request in flight, or all of them where the Boolean column ``answers_all`` says so; without one
+    in flight it is ignored. Before a new request those that have waited for ``timeout`` or longer are given up (``expired``), and with ``most``
+    still in flight the oldest is (``overflow``). Requests that are never answered have no end; those left at the end are ``pending``. At equal times
+    requests come before responses, then by seq. A connection is read in order by one task that holds ``most`` requests.
     """
-    both = requests.select("host", "connection", "ts", "seq", F.lit(0).alias("_k")).unionByName(responses.select("host", "connection", "ts", "seq", F.lit(1).alias("_k")))
-    w = Window.partitionBy("host", "connection").orderBy("ts", "_k", "seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    # waiting = running balance, where a response at balance zero doesn't count: a reflected walk
-    step = F.when(F.col("_k") == 0, 1).otherwise(-1)
-    balance = both.withColumn("_b", F.sum(step).over(upto)).withColumn("_low", F.least(F.lit(0), F.min("_b").over(upto)))
-    counted = balance.withColumn("_used", F.when(F.col("_k") == 1, F.col("_low") == F.coalesce(F.lag("_low").over(w), F.lit(0))).otherwise(True)).where("_used")
-    waiting = F.col("_b") - F.col("_low")
-    live = counted.where((F.col("_k") == 1) | (waiting <= most)).withColumn("_n", F.row_number().over(Window.partitionBy("host", "connection", "_k").orderBy("ts", "seq")))
-    asked = live.where("_k = 0").select("host", "connection", "seq", F.col("ts").alias("start"), "_n")
-    answered = live.where("_k = 1").select(F.col("host").alias("_h"), F.col("connection").alias("_c"), F.col("_n").alias("_m"), F.col("ts").alias("_end"), F.col("seq").alias("_rseq"))
-    out = asked.join(answered, (F.col("host") == F.col("_h")) & (F.col("connection") == F.col("_c")) & (F.col("_n") == F.col("_m")), "left")
-    ok = F.col("_end") - F.col("start") <= timeout
-    return out.select("host", "connection", "seq", "start", F.when(ok, F.col("_end")).alias("end"), F.when(ok, F.col("_rseq")).alias("response_seq"))
+    kind = F.when(F.coalesce(F.col(answers_all), F.lit(False)), 2).otherwise(1) if answers_all else F.lit(1)
+    both = requests.select("host", "connection", "ts", F.lit(0).alias("kind"), "seq").unionByName(responses.select("host", "connection", "ts", kind.alias("kind"), "seq"))
+
+    def begin():
+        flying: deque = deque()
+
+        def feed(ts, kind, seq):
+            out = []
+            if kind == 0:
+                while flying and ts - flying[0][1] >= timeout:
+                    out.append((*flying.popleft(), None, None, "expired"))
+                if len(flying) >= most:
+                    out.append((*flying.popleft(), None, None, "overflow"))
+                flying.append((seq, ts))
+            else:
+                for _ in range(len(flying) if kind == 2 else min(1, len(flying))):
+                    out.append((*flying.popleft(), ts, seq, "matched"))
+            return out
+
+        return feed, lambda: [(*f, None, None, "pending") for f in flying]
+
+    return in_order(both, ("host", "connection"), ("ts", "kind", "seq"), begin, "host string, connection string, seq long, start long, end long, response_seq long, outcome string")
 
 
 #: How a process shows that an agent in it exports traces already.
@@ -120,9 +132,24 @@ def passes_through(requests: DataFrame) -> DataFrame:
     return requests.where(~F.coalesce(through, F.lit(False)))
 
 
-def _identity(r: str = "") -> Column:
-    text = [F.initcap("protocol"), F.coalesce(F.concat(F.lit("Some("), F.initcap("role"), F.lit(")")), F.lit("None")), F.col("start").cast("string"), F.coalesce(F.col("end"), F.lit(0)).cast("string"), F.coalesce(F.col("pid"), F.lit(0)).cast("string")]
-    return F.concat_ws("|", *text, F.coalesce(fnv1a64(F.col("method")), F.lit("0")), F.coalesce(F.col("status_code"), F.lit(0)).cast("string"))
+#: The attributes, in whatever order they come, of which the first names a request's target.
+TARGET_KEYS = ("url.path", "http.route", "http.request.target", "db.operation.name")
+
+
+def _identity_ids(requests: DataFrame, needed: Column) -> Column:
+    """Generated ids (F5) from protocol, role, start, end, pid, cgroup, method, target, status and peer; null where not ``needed``."""
+
+    def known(name: str, kind: str) -> Column:
+        return F.col(name) if name in requests.columns else F.lit(None).cast(kind)
+
+    def number(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit("0"))
+
+    fits = F.filter("attributes", lambda a: a["key"].isin(*TARGET_KEYS) & (F.octet_length(a["value"]) <= 256))
+    head = F.concat_ws("|", F.initcap("protocol"), F.coalesce(F.concat(F.lit("Some("), F.initcap("role"), F.lit(")")), F.lit("None")), number(F.col("start")), number(F.col("end")), number(F.col("pid")), number(known("cgroup_id", "long")))
+    peer = F.coalesce(known("peer_domain", "string"), known("peer_address", "string"))
+    kind = F.when(known("peer_domain", "string").isNotNull(), "domain").when(peer.isNotNull(), "address")
+    return request_ids(F.when(needed, head), F.col("method"), F.get(fits, 0)["value"], number(F.col("status_code")), kind, peer, F.coalesce(known("peer_port", "int").cast("string"), F.lit("unknown")))
 
 
 def request_spans(requests: DataFrame, processes: DataFrame | None = None, ownership: Sequence[tuple] = ()) -> DataFrame:
@@ -131,8 +158,10 @@ def request_spans(requests: DataFrame, processes: DataFrame | None = None, owner
     Without an observed context the ids are generated. A server's span is a child of the span on the wire. Attributes are bounded.
     """
     live = passes_through(with_context(suppression(requests, processes, ownership).where("suppressed is null")))
-    one = dedup(live, FINGERPRINT, ("seq",)).withColumn("_ids", generated_ids(_identity()))
     seen, server = F.col("seen_trace").isNotNull(), F.col("role") == "server"
+    one = dedup(live, FINGERPRINT, ("seq",))
+    # a request whose span is on the wire needs no ids of its own
+    one = one.withColumn("_ids", _identity_ids(one, ~seen | F.coalesce(server, F.lit(False))))
     synthetic = F.col("correlation_kind") == "synthetic"
     attributes = bound_request_attributes(F.col("attributes"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, is_external_ipv4, is_network_tool, is_shell
+from ..functions.text import basename, is_external, is_network_tool, is_shell
 from .common import dimension
 
 #: Labels that mark workloads of the control plane.
@@ -27,6 +27,6 @@ def network_findings(opens: DataFrame, api_endpoints: DataFrame) -> DataFrame:
         control = control | F.coalesce(labels[key].isin(*CONTROL_VALUES), F.lit(False))
     ends = api_endpoints.select(F.col("address").alias("_a"), F.col("port").alias("_p"), F.lit(True).alias("_api")).distinct()
     both = opens.join(dimension(ends), (F.col("remote_address") == F.col("_a")) & (F.col("remote_port") == F.col("_p")), "left")
-    rule = F.when(F.col("_api") & ~control, "network.kubernetes_api_from_workload").when(F.col("container_id").isNotNull() & is_external_ipv4(F.col("remote_address")), "network.unexpected_external_connection")
+    rule = F.when(F.col("_api") & ~control, "network.kubernetes_api_from_workload").when(F.col("container_id").isNotNull() & is_external(F.col("remote_address")), "network.unexpected_external_connection")
     found = both.withColumn("rule_id", rule).where("rule_id is not null").drop("_a", "_p", "_api")
     return found.withColumn("severity", F.when(F.col("rule_id") == "network.kubernetes_api_from_workload", "high").otherwise("medium"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import analysis, profiling, requests, security
+from ..functions.hashing import SEEDS, hash_sql, label_hash
+from ..functions.text import GRPC_STATUS
+from ..operators import analysis, common, profiling, requests, security
 from .adapters import adapt, oracle
 from .registry import query
 from .network import connections
@@ -19,12 +21,23 @@ def _sides(spark, d):
     return ask, answer
 
 
-@query("j8_match_fifo", oracle(["convs"], """WITH e AS (SELECT *, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS k FROM convs WHERE role IN ('user', 'assistant')), b AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY connection ORDER BY ts, k, seq) AS bal FROM e),
-  l AS (SELECT *, least(0, min(bal) OVER (PARTITION BY connection ORDER BY ts, k, seq)) AS low FROM b), u AS (SELECT * FROM (SELECT *, coalesce(lag(low) OVER (PARTITION BY connection ORDER BY ts, k, seq), 0) AS pl FROM l) WHERE k = 0 OR low = pl),
-  n AS (SELECT *, row_number() OVER (PARTITION BY connection, k ORDER BY ts, seq) AS rk FROM u)
-  SELECT q.host, q.connection, q.seq, q.ts AS start, r.ts AS "end", r.seq AS response_seq FROM n q LEFT JOIN n r ON q.connection = r.connection AND r.k = 1 AND q.rk = r.rk WHERE q.k = 0"""))
+#: Turns as requests (0), responses (1) and responses that complete all (2), so that both limits are met.
+_TURN = "CASE (turn + conv_id) % 8 WHEN 3 THEN 1 WHEN 7 THEN 1 WHEN 5 THEN 2 ELSE 0 END"
+_MOST, _WAIT = 2, 3_000_000
+
+
+@query("j8_match_fifo", oracle(["convs"], f"""WITH e AS (SELECT *, {_TURN} AS k, row_number() OVER (PARTITION BY connection ORDER BY ts, {_TURN}, seq) AS i FROM convs),
+  m AS (SELECT DISTINCT connection, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(seq BIGINT, ts BIGINT, why VARCHAR)[]) AS q, CAST([] AS STRUCT(seq BIGINT, e BIGINT, r BIGINT, why VARCHAR)[]) AS done FROM e
+    UNION ALL SELECT n.connection, n.i,
+      CASE n.k WHEN 0 THEN list_append(n.live[greatest(len(n.live) - {_MOST - 2}, 1) :], struct_pack(seq := n.seq, ts := n.ts, why := 'pending')) WHEN 1 THEN n.q[2:] ELSE [] END,
+      CASE n.k WHEN 0 THEN list_transform(n.q[: len(n.q) - len(n.live)], lambda x: struct_pack(seq := x.seq, e := CAST(NULL AS BIGINT), r := CAST(NULL AS BIGINT), why := 'expired')) || list_transform(n.live[: greatest(len(n.live) - {_MOST - 1}, 0)], lambda x: struct_pack(seq := x.seq, e := CAST(NULL AS BIGINT), r := CAST(NULL AS BIGINT), why := 'overflow'))
+        WHEN 1 THEN list_transform(n.q[:1], lambda x: struct_pack(seq := x.seq, e := n.ts, r := n.seq, why := 'matched')) ELSE list_transform(n.q, lambda x: struct_pack(seq := x.seq, e := n.ts, r := n.seq, why := 'matched')) END
+    FROM (SELECT e.*, m.q, list_filter(m.q, lambda x: e.ts - x.ts < {_WAIT}) AS live FROM m JOIN e ON m.connection = e.connection AND e.i = m.i + 1) n),
+  d AS (SELECT connection, unnest(done) AS u FROM m)
+  SELECT a.host, a.connection, a.seq, a.ts AS start, d.u.e AS "end", d.u.r AS response_seq, coalesce(d.u.why, 'pending') AS outcome FROM e a LEFT JOIN d ON a.connection = d.connection AND a.seq = d.u.seq WHERE a.k = 0""").replace("WITH ", "WITH RECURSIVE ", 1))
 def j8(spark, d):
-    return requests.match_fifo(*_sides(spark, d))
+    rows = adapt(spark, d, "convs").withColumn("k", F.expr(_TURN))
+    return requests.match_fifo(rows.where("k = 0"), rows.where("k > 0").withColumn("all", F.col("k") == 2), _WAIT, _MOST, "all")
 
 
 @query("j8_match_by_id", oracle(["convs"], """SELECT q.host, q.connection, q.correlation_id, q.seq, q.ts AS start, CASE WHEN count(r.ts) = 1 THEN min(r.ts) END AS "end", CASE WHEN count(r.ts) = 1 THEN ['a', 'b'] ELSE ['a'] END AS keys
@@ -46,19 +59,25 @@ def request_table(spark, d):
         F.col("ts").alias("start"), (F.col("ts") + F.col("n")).alias("end"), F.when(n == 1, m).alias("trace_id"), F.when(n == 1, F.substring(m, 1, 16)).alias("span_id"), null.alias("parent_span_id"),
         F.when(n == 2, parent).alias("traceparent"), F.lit("observed").alias("correlation_kind"), F.lit("medium").alias("confidence"), F.lit("svc").alias("service_name"), F.col("role").alias("method"),
         (F.col("n") % 600).cast("int").alias("status_code"), (F.col("conv_id") % 50).alias("pid"), F.when(F.col("conv_id") % 7 != 0, F.col("connection")).alias("container_id"), null.alias("namespace"),
-        _kv(("error.type", F.lit("timeout")), ("n", F.col("n"))).alias("attributes"), F.create_map(F.lit("owner"), F.when(F.col("conv_id") % 11 == 0, "agent").otherwise("none")).alias("labels"),
+        _kv(("error.type", F.lit("timeout")), ("url.path", F.col("n"))).alias("attributes"), F.col("conv_id").alias("cgroup_id"), F.when(F.col("conv_id") % 3 == 0, F.col("host")).alias("peer_domain"), F.when(F.col("conv_id") % 3 == 1, "10.0.0.1").alias("peer_address"), F.when(F.col("conv_id") % 2 == 0, 80).alias("peer_port"), F.create_map(F.lit("owner"), F.when(F.col("conv_id") % 11 == 0, "agent").otherwise("none")).alias("labels"),
     )
 
 
 _REQ = """rq AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 'http' ELSE 'grpc' END AS protocol, CASE WHEN conv_id % 2 = 0 THEN 'server' ELSE 'client' END AS side, md5(CAST(seq AS STRING)) AS m, seq % 3 AS k, seq % 3 = 1 OR (seq % 3 = 2 AND turn <> 2) AS seen, conv_id % 11 = 0 AS owned FROM convs WHERE role IN ('user', 'assistant'))"""
 
 
-@query("d4_request_spans", oracle(["convs"], f"""WITH {_REQ} SELECT seq, protocol || ' request' AS name, seen, CASE WHEN seen THEN m END AS observed_trace, CASE WHEN seen AND side = 'server' THEN substr(m, 1, 16) END AS parent_span_id,
-  CASE WHEN seen THEN 'observed_trace_context' ELSE 'generated_trace_context' END AS correlation_kind, CASE WHEN seen THEN CASE WHEN side = 'server' THEN 4 ELSE 3 END ELSE 4 END AS attributes FROM rq WHERE NOT owned AND NOT (side = 'client' AND seen)"""))
+_UNSIGNED = "CAST(CAST('0x' || {} AS UBIGINT) AS STRING)"
+_ID = f"""CASE WHEN turn % 2 = 0 THEN 'Http' ELSE 'Grpc' END || '|Some(' || CASE WHEN side = 'server' THEN 'Server' ELSE 'Client' END || ')|' || ts || '|' || ts + n || '|' || conv_id % 50 || '|' || conv_id || '|' || {_UNSIGNED.format(hash_sql('role'))} || '|' || {_UNSIGNED.format(hash_sql('CAST(n AS STRING)'))}
+  || '|' || n % 600 || '|' || CASE conv_id % 3 WHEN 0 THEN 'domain:' || {hash_sql('host')} || ':' || CASE WHEN conv_id % 2 = 0 THEN '80' ELSE 'unknown' END WHEN 1 THEN 'address:' || {hash_sql("'10.0.0.1'")} || ':' || CASE WHEN conv_id % 2 = 0 THEN '80' ELSE 'unknown' END ELSE 'unknown-peer' END"""
+
+
+@query("d4_request_spans", oracle(["convs"], f"""WITH {_REQ}, ids AS (SELECT *, {_ID} AS identity FROM rq WHERE NOT owned AND NOT (side = 'client' AND seen))
+  SELECT seq, protocol || ' request' AS name, seen, CASE WHEN seen THEN m ELSE {hash_sql('identity', SEEDS[0])} || {hash_sql('identity', SEEDS[1])} END AS trace_id, CASE WHEN seen AND side <> 'server' THEN substr(m, 1, 16) ELSE {hash_sql('identity', SEEDS[2])} END AS span_id, CASE WHEN seen AND side = 'server' THEN substr(m, 1, 16) END AS parent_span_id,
+  CASE WHEN seen THEN 'observed_trace_context' ELSE 'generated_trace_context' END AS correlation_kind, CASE WHEN seen THEN CASE WHEN side = 'server' THEN 4 ELSE 3 END ELSE 4 END AS attributes FROM ids"""))
 def d4(spark, d):
     spans = requests.request_spans(request_table(spark, d), None, [("owner", "eq", "agent")])
     seen = F.col("correlation_kind") == "observed_trace_context"
-    return spans.select("seq", "name", seen.alias("seen"), F.when(seen, F.col("trace_id")).alias("observed_trace"), "parent_span_id", "correlation_kind", F.size("attributes").cast("long").alias("attributes"))
+    return spans.select("seq", "name", seen.alias("seen"), "trace_id", "span_id", "parent_span_id", "correlation_kind", F.size("attributes").cast("long").alias("attributes"))
 
 
 @query("d5_request_warnings", oracle(["convs"], f"""WITH {_REQ} SELECT DISTINCT warning, host, protocol, conv_id % 50 AS pid, ts FROM (
@@ -83,66 +102,95 @@ def p14(spark, d):
     return requests.suppression(rows, processes, [("owner", "eq", "agent")]).select("seq", "suppressed")
 
 
-@query("f13_status_message", oracle(["convs"], f"WITH {_REQ} SELECT seq, CASE WHEN protocol = 'http' AND n % 600 >= 400 THEN 'HTTP status code ' || CAST(n % 600 AS STRING) WHEN protocol = 'grpc' AND n % 600 > 16 THEN 'gRPC status code ' || CAST(n % 600 AS STRING) || ' (unknown)' ELSE 'timeout' END AS message FROM rq WHERE n % 600 > 16"))
+_GRPC = f"coalesce(list_extract({list(GRPC_STATUS)}, CAST({{}} + 1 AS BIGINT)), 'unknown')"
+
+
+@query("f13_status_message", oracle(["convs"], f"WITH {_REQ} SELECT seq, CASE WHEN protocol = 'http' AND n % 600 >= 400 THEN 'HTTP status code ' || CAST(n % 600 AS STRING) WHEN protocol = 'grpc' AND n % 600 <> 0 THEN 'gRPC status code ' || CAST(n % 600 AS STRING) || ' (' || {_GRPC.format('n % 600')} || ')' ELSE 'timeout' END AS message FROM rq"))
 def f13(spark, d):
-    rows = request_table(spark, d).where("status_code > 16")
-    return rows.select("seq", requests.status_message(F.col("protocol"), F.col("status_code"), F.col("attributes")).alias("message"))
+    return request_table(spark, d).select("seq", requests.status_message(F.col("protocol"), F.col("status_code"), F.col("attributes")).alias("message"))
 
 
 def samples(spark, d):
     rows = adapt(spark, d, "stacks")
     null = F.lit(None).cast("string")
-    return rows.withColumns({"host": F.col("source"), "correlation_kind": F.lit("process"), "container_id": F.when(F.col("pid") > 0, F.col("pid").cast("string")), "namespace": null, "pod_name": null, "sample_count": F.col("sample_count").cast("long")})
+    even = F.col("seq") % 2 == 0
+    weight = F.when(even, F.array(F.struct(F.lit("profiling.sample.weight_nanos").alias("key"), F.col("seq").cast("string").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    made = {"host": F.col("source"), "uid": F.when(even, F.col("pid") % 2), "period": F.col("seq") % 4, "container_name": F.when(F.col("seq") % 5 == 0, "main"), "attributes": F.concat(weight, _kv(("mode", F.col("kind")), ("n", F.col("stack_id"))))}
+    return rows.withColumns(made | {"correlation_kind": F.lit("process"), "container_id": F.when(F.col("pid") > 0, F.col("pid").cast("string")), "namespace": null, "pod_uid": null, "pod_name": null, "sample_count": F.col("sample_count").cast("long")})
 
 
-_S = "st AS (SELECT *, ts - ts % 300000000000 AS bucket, CASE WHEN pid > 0 THEN CAST(pid AS STRING) END AS container_id FROM stacks)"
+_S = "st AS (SELECT *, ts - ts % 300000000000 AS bucket, CASE WHEN pid > 0 THEN CAST(pid AS STRING) END AS container_id, CASE WHEN seq % 2 = 0 THEN pid % 2 END AS uid, seq % 4 AS period, CASE WHEN seq % 5 = 0 THEN 'main' END AS container_name, CASE WHEN seq % 2 = 0 THEN seq ELSE 0 END AS weight FROM stacks)"
+_KEYS = "source, kind, pid, uid, container_id, container_name, period, bucket"
+_SESSIONS = f"""s AS (SELECT {_KEYS}, CAST(least(sum(sample_count), 64) AS BIGINT) AS observed, CAST(greatest(sum(sample_count) - 64, 0) AS BIGINT) AS dropped, least(count(DISTINCT stack_id), 64) AS distinct_stacks, CASE min(CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence,
+  min(ts) AS first_seen, max(ts) AS last_seen, CAST(sum(weight) AS BIGINT) AS total_weight, list_sort(list_distinct(list('mode=' || kind) || list('n=' || stack_id) || coalesce(list('profiling.sample.weight_nanos=' || seq) FILTER (WHERE weight > 0), [])))[:16] AS kept FROM st GROUP BY ALL)"""
 
 
-@query("a16_profile_sessions", oracle(["stacks"], f"WITH {_S} SELECT source AS host, kind, pid, container_id, bucket, CAST(least(sum(sample_count), 64) AS BIGINT) AS observed, CAST(greatest(sum(sample_count) - 64, 0) AS BIGINT) AS dropped, least(count(DISTINCT stack_id), 64) AS distinct_stacks, CASE min(CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence, min(ts) AS first_seen, max(ts) AS last_seen FROM st GROUP BY source, kind, pid, container_id, bucket"))
+@query("a16_profile_sessions", oracle(["stacks"], f"WITH {_S}, {_SESSIONS.replace('FROM st GROUP BY ALL', 'FROM st GROUP BY ' + _KEYS)}, k AS (SELECT *, list_filter(kept, lambda x: NOT starts_with(x, 'profiling.sample.weight_nanos=')) AS own FROM s) SELECT source, kind, pid, uid, container_id, container_name, period, bucket, observed, dropped, distinct_stacks, confidence, first_seen, last_seen, total_weight, CASE WHEN total_weight > 0 THEN list_sort(own[:15] || ['profiling.session.total_weight_nanos=' || total_weight]) ELSE own END AS attributes FROM k"))
 def a16(spark, d):
-    return profiling.profile_sessions(samples(spark, d), 300_000_000_000).select("host", "kind", "pid", "container_id", "bucket", "observed", "dropped", "distinct_stacks", "confidence", "first_seen", "last_seen")
+    out = profiling.profile_sessions(samples(spark, d), 300_000_000_000)
+    return out.select("source", "kind", "pid", "uid", "container_id", "container_name", "period", "bucket", "observed", "dropped", "distinct_stacks", "confidence", "first_seen", "last_seen", "total_weight", F.transform("attributes", lambda a: F.concat_ws("=", a["key"], a["value"])).alias("attributes"))
 
 
-@query("s16_profile_metric_lines", oracle(["stacks"], f"WITH {_S}, s AS (SELECT source AS host, kind, bucket, pid, CAST(least(sum(sample_count), 64) AS BIGINT) AS o, CAST(greatest(sum(sample_count) - 64, 0) AS BIGINT) AS dr, least(count(DISTINCT stack_id), 64) AS ds FROM st GROUP BY source, kind, pid, container_id, bucket) SELECT host, kind, bucket, 'profile_session_samples_observed' AS name, o AS value FROM s UNION ALL SELECT host, kind, bucket, 'profile_session_samples_dropped', dr FROM s UNION ALL SELECT host, kind, bucket, 'profile_session_stacks_distinct', ds FROM s"))
+@query("s16_profile_metric_lines", oracle(["stacks"], f"WITH {_S}, {_SESSIONS.replace('FROM st GROUP BY ALL', 'FROM st GROUP BY ' + _KEYS)} SELECT source AS host, kind, bucket, 'profile_session_samples_observed' AS name, observed AS value FROM s UNION ALL SELECT source, kind, bucket, 'profile_session_samples_dropped', dropped FROM s UNION ALL SELECT source, kind, bucket, 'profile_session_stacks_distinct', distinct_stacks FROM s"))
 def s16(spark, d):
     return profiling.session_metric_lines(profiling.profile_sessions(samples(spark, d), 300_000_000_000)).select("host", "kind", "bucket", "name", "value")
 
 
-@query("d6_profile_warnings", oracle(["stacks"], f"WITH {_S}, r AS (SELECT *, sum(sample_count) OVER (PARTITION BY source, kind, pid, container_id, b ORDER BY ts, seq) AS upto FROM (SELECT *, ts - ts % 3000000000000000 AS b FROM st)) SELECT 'samples_dropped' AS warning, source AS host, pid, stack_id, ts, CAST(least(sample_count, upto - 64) AS BIGINT) AS dropped FROM r WHERE upto > 64 UNION ALL SELECT 'missing_attribution', source, pid, stack_id, ts, 0 FROM r WHERE container_id IS NULL"))
+@query("k4_bounded_windows", oracle(["stacks"], f"WITH {_S}, w AS (SELECT source, bucket, row_number() OVER (ORDER BY bucket DESC, source DESC) AS n FROM (SELECT DISTINCT source, bucket FROM st)) SELECT source, bucket, n > 20 AS evicted FROM w"))
+def k4(spark, d):
+    sessions = profiling.profile_sessions(samples(spark, d), 300_000_000_000)
+    return common.bounded_windows(sessions, ("source", "bucket"), "bucket", 20).select("source", "bucket", "evicted").distinct()
+
+
+@query("d6_profile_warnings", oracle(["stacks"], f"WITH {_S}, r AS (SELECT *, sum(sample_count) OVER (PARTITION BY source, kind, pid, uid, container_id, container_name, period, b ORDER BY ts, seq) AS upto FROM (SELECT *, ts - ts % 3000000000000000 AS b FROM st)) SELECT 'samples_dropped' AS warning, source AS host, pid, stack_id, ts, CAST(least(sample_count, upto - 64) AS BIGINT) AS dropped FROM r WHERE upto > 64 UNION ALL SELECT 'missing_attribution', source, pid, stack_id, ts, 0 FROM r WHERE container_id IS NULL"))
 def d6(spark, d):
     return profiling.profile_warnings(samples(spark, d), 3_000_000_000_000_000)
 
 
-def _frames(spark, d, whole=False):
-    words = F.split("text", " ")
-    words = words if whole else F.slice(words, 1, 5)  # the SQL of the other queries has the slice
-    frames = F.transform(words, lambda w: F.struct(F.lit("user").alias("domain"), w.alias("symbol"), F.lit("m").alias("module"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.length(w).cast("long").alias("module_offset")))
+def _frames(spark, d):
+    frames = F.transform(F.split("text", " "), lambda w: F.struct(F.lit("user").alias("domain"), w.alias("symbol"), F.lit("m").alias("module"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.length(w).cast("long").alias("module_offset")))
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("frames", frames)
     return docs.select("source", F.col("doc_id").alias("seq"), F.lit("cpu").alias("kind"), (F.col("doc_id") % 3).cast("long").alias("sample_count"), F.lit(10).cast("long").alias("period"), "frames", _kv(("mode", F.col("lang")), ("token", F.lit("x")), ("mode", F.lit("again"))).alias("attributes"))
 
 
-@query("p20_normalize_samples", "SELECT doc_id AS seq, ['mode'] AS keys, least(5, len(string_split(text, ' '))) AS frames FROM documents WHERE doc_id % 3 > 0")
+@query("p20_normalize_samples", "SELECT doc_id AS seq, CASE WHEN len(string_split(text, ' ')) > 64 THEN ['mode', 'profiling.stack.truncated'] ELSE ['mode'] END AS keys, least(64, len(string_split(text, ' '))) AS frames FROM documents WHERE doc_id % 3 > 0")
 def p20(spark, d):
     good, _ = profiling.normalize_samples(_frames(spark, d))
     return good.select("seq", F.transform("attributes", lambda a: a["key"]).alias("keys"), F.size("frames").cast("long").alias("frames"))
 
 
-@query("f6_stack_ids")
+_STACK = "string_agg('domain:user' || chr(31) || 'some:' || w || chr(31) || 'some:m' || chr(31) || 'none' || chr(31) || chr(31) || length(w) || chr(30), '' ORDER BY i)"
+
+
+@query("f6_stack_ids", f"WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[:64]) AS w, unnest(range(1, 1 + least(64, len(string_split(text, ' '))))) AS i FROM documents WHERE doc_id % 3 > 0), t AS (SELECT doc_id AS seq, {_STACK} AS stack FROM w GROUP BY doc_id) SELECT seq, 'stack:' || {hash_sql('stack')} AS stack_id FROM t")
 def f6(spark, d):
-    return profiling.normalize_samples(_frames(spark, d, whole=True))[0].select("seq", "stack_id")
+    return profiling.normalize_samples(_frames(spark, d))[0].select("seq", "stack_id")
+
+
+_PROFILE = "'source:' || source || '|host:some:' || source || '|pid:some:' || pid || '|uid:' || coalesce('some:' || uid, 'none') || '|container:' || coalesce('some:' || container_id, 'none') || '|namespace:none|pod:none|k8s_container:' || coalesce('some:' || container_name, 'none') || '|kind:' || kind || '|correlation:process|period:some:' || period || '|start:' || bucket || '|end:' || bucket + 300000000000"
 
 
-@query("f8_session_ids")
+@query("f8_session_ids", oracle(["stacks"], f"WITH {_S}, c AS (SELECT DISTINCT {_KEYS}, {_PROFILE} AS t FROM st) SELECT source, kind, pid, uid, container_id, container_name, period, bucket, 'profile:' || {hash_sql('t')} AS profile_id FROM c"))
 def f8(spark, d):
-    return profiling.session_ids(profiling.profile_sessions(samples(spark, d), 300_000_000_000)).select("host", "kind", "pid", "bucket", "session_id")
+    return profiling.session_ids(profiling.profile_sessions(samples(spark, d), 300_000_000_000)).select("source", "kind", "pid", "uid", "container_id", "container_name", "period", "bucket", "profile_id")
+
+
+@query("f8_sample_ids", oracle(["stacks"], f"WITH {_S}, t AS (SELECT seq, source || '|' || ts || '|' || source || '|' || pid || '|' || coalesce(CAST(uid AS STRING), '') || '|' || coalesce(container_id, '') || '||' || coalesce(container_name, '') || '|' || stack_id AS t FROM st) SELECT seq, 'profile-sample:' || {hash_sql('t')} AS sample_id FROM t"))
+def f8_samples(spark, d):
+    return profiling.sample_ids(samples(spark, d)).select("seq", "sample_id")
+
+
+@query("f8_label_hash", f"WITH t AS (SELECT p_partkey, p_brand FROM part) SELECT p_partkey, {hash_sql("p_brand").replace("hex(p_brand)", "hex('brand') || 'FF' || hex(p_brand)")} AS hash FROM t")
+def f8_labels(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", label_hash("brand", F.col("p_brand")).alias("hash"))
 
 
-@query("s15_pprof_functions", "WITH f AS (SELECT DISTINCT source, w AS symbol FROM (SELECT source, unnest(array_slice(string_split(text, ' '), 1, 5)) AS w FROM documents)) SELECT source, symbol, dense_rank() OVER (PARTITION BY source ORDER BY symbol) AS function_id FROM f")
+@query("s15_pprof_functions", "WITH f AS (SELECT DISTINCT source, w AS symbol FROM (SELECT source, unnest(array_slice(string_split(text, ' '), 1, 256)) AS w FROM documents)) SELECT source, symbol, dense_rank() OVER (PARTITION BY source ORDER BY symbol) AS function_id FROM f")
 def s15(spark, d):
     return profiling.pprof_tables(_frames(spark, d), ["source"])["functions"].select("source", "symbol", F.col("function_id").cast("long").alias("function_id"))
 
 
-@query("s15_pprof_samples", "SELECT doc_id AS seq, (doc_id % 3) * 10 AS value, least(5, len(string_split(text, ' '))) AS depth FROM documents")
+@query("s15_pprof_samples", "SELECT doc_id AS seq, (doc_id % 3) * 10 AS value, least(256, len(string_split(text, ' '))) AS depth FROM documents")
 def s15s(spark, d):
     return profiling.pprof_tables(_frames(spark, d), ["source"])["samples"].select("seq", "value", F.size("locations").cast("long").alias("depth"))
 

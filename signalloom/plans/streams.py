@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import signals
@@ -13,7 +13,11 @@ from .registry import query
 
 
 def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="signalloom-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="signalloom-")
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -47,11 +51,11 @@ def t2(spark, d):
     return _drain(streams.dedup_stream(_events(spark, d).select(*keys, "ts"), keys, "3650 days").select(*keys)).groupBy("kind", "host", "pid", "fd").agg(F.count("remote_port").alias("ports"))
 
 
-@query("t3_profile_windows", oracle(["conn_raw"], "SELECT host, kind, CAST(floor(ts / 3600000000000) AS BIGINT) AS hour, CAST(least(count(*), 64) AS BIGINT) AS observed, CAST(greatest(count(*) - 64, 0) AS BIGINT) AS dropped FROM conn_raw GROUP BY 1, 2, 3"))
+@query("t3_profile_windows", oracle(["conn_raw"], "SELECT host, kind, CAST(floor(ts / 3600000000000) AS BIGINT) AS hour, CAST(least(count(*), 64) AS BIGINT) AS observed, CAST(greatest(count(*) - 64, 0) AS BIGINT) AS dropped, least(count(DISTINCT pid), 64) AS distinct_stacks FROM conn_raw GROUP BY 1, 2, 3"))
 def t3(spark, d):
-    rows = _events(spark, d).withColumns({"sample_count": F.lit(1).cast("long"), "stack_id": F.col("pid")})
-    out = _drain(streams.profile_windows(rows, ["host", "kind"], "1 hour"), "complete")
-    return out.select("host", "kind", F.floor(F.unix_seconds("window.start") / 3600).cast("long").alias("hour"), "observed", "dropped")
+    rows = _events(spark, d).select("seq", "ts", "host", "kind", F.lit(1).cast("long").alias("sample_count"), F.col("pid").cast("string").alias("stack_id"))
+    out = _drain(streams.profile_windows(_with_late_row(rows, host=F.lit("late"), kind=F.lit("late"), stack_id=F.lit(""), sample_count=F.lit(1)), ["host", "kind"], "1 hour"))
+    return out.where("host <> 'late'").select("host", "kind", F.floor(F.unix_seconds("window.start") / 3600).cast("long").alias("hour"), "observed", "dropped", "distinct_stacks")
 
 
 @query("t4_flow_interval_stream", oracle(["conn_raw"], "SELECT seq, CASE WHEN pk IS NULL OR pk = 'close' OR k < pb THEN k ELSE k - pb END AS sent FROM (SELECT *, lag(kind) OVER w AS pk, lag(k) OVER w AS pb FROM (SELECT c.*, e.k FROM conn_raw c JOIN ev e USING (seq)) WHERE kind IN ('snapshot', 'close') WINDOW w AS (PARTITION BY host, pid, fd, remote_address, remote_port ORDER BY ts, seq))"))
@@ -65,23 +69,37 @@ def t5(spark, d):
     return _drain(state.active_gauge_stream(_events(spark, d), None)).select("seq", "delta")
 
 
-@query("t6_peer_stream", oracle(["conn_raw"], "WITH g AS (SELECT seq, host, remote_address, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY host, remote_address ORDER BY ts, seq) < 900000000000 THEN 0 ELSE 1 END AS n FROM conn_raw), s AS (SELECT *, sum(n) OVER (PARTITION BY host, remote_address ORDER BY ts, seq) AS sid FROM g) SELECT host, remote_address, CAST(count(*) AS BIGINT) AS value FROM s GROUP BY host, remote_address, sid"))
+@query("t6_peer_stream", oracle(["conn_raw"], "WITH b AS (SELECT c.*, k % 3 AS n FROM conn_raw c JOIN ev USING (seq)), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY b.host, b.remote_address ORDER BY ts, seq) < 900000000000 THEN 0 ELSE 1 END AS fresh FROM b), s AS (SELECT *, sum(fresh) OVER (PARTITION BY host, remote_address ORDER BY ts, seq) AS sid FROM g) SELECT host, remote_address, CAST(sum(n) AS BIGINT) AS value FROM s GROUP BY host, remote_address, sid HAVING sum(n) > 0"))
 def t6(spark, d):
-    rows = _events(spark, d).withColumn("bytes", F.lit(1).cast("long"))
-    return _drain(streams.peer_stream(rows, ["host", "remote_address"]), "complete").select("host", "remote_address", "value")
+    rows = _events(spark, d).select("seq", "ts", "host", "remote_address", (F.col("k") % 3).alias("bytes"))
+    late = _with_late_row(rows, host=F.lit("late"), bytes=F.lit(1))
+    return _drain(streams.peer_stream(late, ["host", "remote_address"])).where("host <> 'late'").select("host", "remote_address", "value")
 
 
-@query("t7_timestamp_guard_stream", oracle(["ev"], "WITH m AS (SELECT seq, user_id, CAST(floor((ts + (k % 7) * 1000000000000) / 1000000) AS BIGINT) AS ms FROM ev), f AS (SELECT *, max(ms) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY user_id, ms ORDER BY seq DESC) AS r FROM f WHERE top IS NULL OR ms >= top) SELECT seq FROM g WHERE r = 1"))
+@query("t7_timestamp_guard_stream", oracle(["ev"], "WITH m AS (SELECT seq, user_id, CAST(floor((ts + (k % 7) * 1000000000000) / 1000000) AS BIGINT) AS ms FROM ev), f AS (SELECT *, max(ms) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY user_id, ms ORDER BY seq DESC) AS r FROM f WHERE top IS NULL OR ms >= top) SELECT CAST(user_id AS STRING) AS series, seq, 0 AS dropped FROM g WHERE r = 1 UNION ALL SELECT CAST(user_id AS STRING), NULL, count(*) FROM f WHERE ms < top GROUP BY user_id"))
 def t7(spark, d):
     rows = _events(spark, d).select(F.col("pid").cast("string").alias("series"), "seq", (F.col("ts") + (F.col("k") % 7) * 1_000_000_000_000).alias("ts"))
-    return _drain(state.timestamp_guard_stream(rows, stale_ms=None)).where("seq is not null").select("seq")
+    return _drain(state.timestamp_guard_stream(rows, stale_ms=None)).groupBy("series", "seq").agg(F.sum("dropped").alias("dropped"))
 
 
-@query("t8_match_requests_stream", oracle(["conn_raw"], "SELECT a.seq, b.ts IS NOT NULL AS answered FROM conn_raw a LEFT JOIN conn_raw b ON a.pid = b.pid AND a.seq = b.seq - 1 AND b.kind = 'close' AND b.ts >= a.ts AND b.ts <= a.ts + 3600000000000 WHERE a.kind = 'open' AND b.ts IS NOT NULL"))
+#: A time after all events: rows at it pass the watermark, so that what waits for an answer or an end comes out.
+_LATE = 4_102_444_800_000_000_000
+
+
+def _with_late_row(rows: DataFrame, **columns) -> DataFrame:
+    """A stream and one row far behind its last (with seq -1), which is filtered out of the results."""
+    spark, path = rows.sparkSession, f"{_folder(rows.sparkSession)}/late"
+    made = {"seq": F.lit(-1), "ts": F.lit(_LATE)} | columns
+    spark.range(1).select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(path)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))
+
+
+@query("t8_match_requests_stream", oracle(["conn_raw"], "SELECT a.seq, b.ts IS NOT NULL AS answered FROM conn_raw a LEFT JOIN conn_raw b ON a.pid = b.pid AND a.seq = b.seq - 1 AND b.kind = 'close' AND b.ts >= a.ts AND b.ts <= a.ts + 3600000000000 WHERE a.kind = 'open'"))
 def t8(spark, d):
     rows = _events(spark, d).withColumns({"connection": F.col("pid").cast("string"), "correlation_id": F.when(F.col("kind") == "open", F.col("seq")).otherwise(F.col("seq") - 1)})
-    out = _drain(streams.match_requests_stream(rows.where("kind = 'open'"), rows.where("kind = 'close'"), "1 hour"))
-    return out.where("answered_at is not null").select("seq", F.col("answered_at").isNotNull().alias("answered"))
+    sides = [_with_late_row(rows.where(F.col("kind") == k), host=F.lit(f"late-{k}")) for k in ("open", "close")]
+    out = _drain(streams.match_requests_stream(*sides, "1 hour"))
+    return out.where("seq >= 0").select("seq", F.col("answered_at").isNotNull().alias("answered"))
 
 
 @query("t9_fan_out", oracle(["conn_raw"], "SELECT kind, count(*) AS n FROM conn_raw GROUP BY kind"))
@@ -99,15 +117,17 @@ def t9(spark, d):
     return spark.read.schema(events.schema).parquet(f"{base}/out").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t10_http_heads", "SELECT conv_id AS connection, turn AS message, length(text) % 100 AS n FROM conversations")
+@query("t10_http_heads", "SELECT conv_id AS connection, turn AS message, strlen(text) AS n FROM conversations")
 def t10(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet")
-    body = F.length("text") % 100
-    message = F.concat(F.lit("POST /"), F.col("turn").cast("string"), F.lit(" HTTP/1.1\r\nContent-Length: "), body.cast("string"), F.lit("\r\n\r\n"), F.repeat(F.lit("x"), body.cast("int")))
-    # the messages of a conversation, in one stream of bytes cut at odd places
-    text = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), "").alias("t"))
-    cut = text.select("conv_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 37).cast("int"))).alias("i"))
-    chunks = cut.select(F.lit("h").alias("host"), F.col("conv_id").cast("string").alias("connection"), F.lit("in").alias("direction"), (F.col("i") * 37).cast("long").alias("offset"), F.col("i").cast("long").alias("ts"), F.encode(F.substring("t", F.col("i") * 37 + 1, F.lit(37)), "UTF-8").alias("data"))
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    head = F.concat(F.lit("POST /"), F.col("turn").cast("string"), F.lit(" HTTP/1.1\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"))
+    made = rows.select("conv_id", "turn", F.concat(F.encode(head, "UTF-8"), text).alias("m")).withColumn("n", F.octet_length("m").cast("long"))
+    # a message begins where those before it end; the stream of a connection is cut every 37 bytes, and at the ends of messages
+    at = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    cut = made.withColumn("at", at).withColumn("i", F.explode(F.sequence(F.floor(F.col("at") / 37), F.floor((F.col("at") + F.col("n") - 1) / 37))))
+    low, high = F.greatest(F.col("i") * 37, F.col("at")), F.least(F.col("i") * 37 + 37, F.col("at") + F.col("n"))
+    chunks = cut.select(F.lit("h").alias("host"), F.col("conv_id").cast("string").alias("connection"), F.lit("in").alias("direction"), low.alias("offset"), low.alias("ts"), F.substring("m", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("data"))
     heads = state.http_heads(chunks).where("error is null")
     return heads.select(F.col("connection").cast("long").alias("connection"), F.regexp_extract("head", "^POST /([0-9]+) ", 1).cast("long").alias("message"), F.regexp_extract("head", "Length: ([0-9]+)", 1).cast("long").alias("n"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bounds, hashing, policy, text
 from ..operators import sanitize
+from ..sources import host
 from .adapters import adapt, oracle
 from .registry import query
 
@@ -17,14 +18,12 @@ def p1(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_utf8(F.col("text"), 50).alias("cut"))
 
 
-_ARGS = "array_slice(string_split(text, ' '), 1, 32)"
-
-
-@query("p2_sanitize_argv", f"SELECT doc_id, [substr(x, 1, 8) FOR x IN {_ARGS}] AS arguments, len(string_split(text, ' ')) AS n FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("p2_sanitize_argv", """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[:32]) AS x, unnest(range(1, 1 + least(32, len(string_split(text, ' '))))) AS i FROM documents),
+  c AS (SELECT doc_id, i, CASE WHEN strlen(x) <= 8 THEN x ELSE (SELECT max(p) FROM (SELECT substr(x, 1, k) AS p FROM range(0, 9) t(k)) WHERE strlen(p) <= 8) END AS cut FROM w)
+  SELECT d.doc_id, list(c.cut ORDER BY c.i) AS arguments, len(string_split(any_value(d.text), ' ')) AS n FROM documents d JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def p2(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^(?s)[\x00-\x7F]*$"))
     args = F.slice(F.split("text", " "), 1, 32)
-    return docs.select("doc_id", F.transform(args, lambda a: text.truncate_utf8(a, 8)).alias("arguments"), F.size(F.split("text", " ")).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.transform(args, lambda a: text.truncate_utf8(a, 8)).alias("arguments"), F.size(F.split("text", " ")).cast("long").alias("n"))
 
 
 _KEYS = "SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN '.Api-Key' WHEN 1 THEN '_token' ELSE '' END AS key, p_brand AS value FROM {part}"
@@ -53,6 +52,56 @@ def p5(spark, d):
     return table(spark, d, "part").select("p_partkey", F.transform(out, lambda a: a["key"]).alias("keys"))
 
 
+_ATTRS = "SELECT p_partkey, p_size, p_brand, p_type, repeat('x', p_size * 8) AS long FROM {part}"
+
+
+def _family(spark, d, rule):
+    """Each part's attributes by a family's rule, as key=value."""
+    rows = spark.sql(_ATTRS, part=table(spark, d, "part"))
+    pairs = [("brand", F.col("p_brand")), ("profile_id", F.col("p_type")), ("my.auth", F.col("p_brand")), ("long", F.col("long")), ("my_token", F.col("p_brand")), ("type", F.col("p_type"))]
+    out = rule(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]))
+    return rows.select("p_partkey", F.transform(out, lambda a: F.concat_ws("=", a["key"], a["value"])).alias("attributes"))
+
+
+_PART_ATTRS = f"WITH t AS ({_ATTRS.replace('{part}', 'part')}) SELECT p_partkey, "
+
+
+@query("p5_trace_attributes", _PART_ATTRS + "list_filter(['brand=' || p_brand, 'profile_id=' || p_type, 'my.auth=' || p_brand, CASE WHEN p_size * 8 <= 256 THEN 'long=' || long END, 'type=' || p_type], lambda x: x IS NOT NULL)[:4] AS attributes FROM t")
+def p5_trace(spark, d):
+    return _family(spark, d, lambda a: bounds.bound_trace_attributes(a, 4))
+
+
+@query("p5_resource_attributes", _PART_ATTRS + "['brand=' || p_brand, 'profile_id=' || p_type, 'long=' || left(long, 256)] AS attributes FROM t")
+def p5_resource(spark, d):
+    return _family(spark, d, lambda a: bounds.bound_resource_attributes(a, 3))
+
+
+@query("p5_profile_attributes", _PART_ATTRS + "['brand=' || p_brand, 'my.auth=' || p_brand, 'long=' || left(long, 256), 'type=' || p_type] AS attributes FROM t")
+def p5_profile(spark, d):
+    return _family(spark, d, lambda a: bounds.bound_profile_attributes(a, 4))
+
+
+@query("f15_saturating", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 9223372036854775807 ELSE o_orderkey + o_custkey END AS added, CAST(greatest(o_orderkey - o_custkey * 10, 0) AS BIGINT) AS left_over FROM orders")
+def f15(spark, d):
+    big = F.when(F.col("o_orderkey") % 2 == 0, F.lit(bounds.TOP - 1)).otherwise(F.col("o_orderkey"))
+    second = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") + 2).otherwise(F.col("o_custkey"))
+    return table(spark, d, "orders").select("o_orderkey", bounds.saturating_add(big, second).alias("added"), bounds.saturating_sub(F.col("o_orderkey"), F.col("o_custkey") * 10).alias("left_over"))
+
+
+@query("f16_units", "SELECT o_orderkey, o_orderkey * 10000000 AS ticks, o_orderkey * 4000000 AS fine_ticks, o_orderkey * 1024 AS kib, o_orderkey * 1000 AS usec, o_orderkey * 512 AS sectors FROM orders")
+def f16(spark, d):
+    n = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", host.ticks_to_nanos(n).alias("ticks"), host.ticks_to_nanos(n, 250).alias("fine_ticks"), host.kib_to_bytes(n).alias("kib"), host.usec_to_nanos(n).alias("usec"), host.sectors_to_bytes(n).alias("sectors"))
+
+
+@query("u2_map_difference", "SELECT p_partkey, ['brand'] AS gone, ['size'] AS fresh, CASE WHEN p_size % 2 = 0 THEN ['type'] ELSE [] END AS changed FROM part")
+def u2(spark, d):
+    before = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("name"), F.col("p_name"))
+    after = F.create_map(F.lit("type"), F.when(F.col("p_size") % 2 == 0, F.lit("other")).otherwise(F.col("p_type")), F.lit("name"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string"))
+    diff = bounds.map_difference(before, after)
+    return table(spark, d, "part").select("p_partkey", diff.alias("x")).select("p_partkey", "x.gone", "x.fresh", "x.changed")
+
+
 @query("p6_redact_argv", "SELECT doc_id, ['--' || CASE doc_id % 3 WHEN 0 THEN 'password=<redacted>' WHEN 1 THEN 'user=' || source ELSE 'token' END, CASE WHEN doc_id % 3 = 2 THEN '<redacted>' ELSE lang END, '<redacted>'] AS argv FROM documents")
 def p6(spark, d):
     first = F.concat(F.lit("--"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("password="), F.col("source"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("user="), F.col("source"))).otherwise("token"))
@@ -121,8 +170,8 @@ def p18(spark, d):
 
 @query("f1_normalize_domain", "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS domain, CAST(NULL AS STRING) AS bad FROM pages")
 def f1(spark, d):
-    host = F.parse_url("url", F.lit("HOST"))
-    return table(spark, d, "pages").select("page_id", text.normalize_domain(F.concat(F.lit(" "), F.upper(host), F.lit(".. "))).alias("domain"), text.normalize_domain(F.concat(F.lit("-"), host)).alias("bad"))
+    name = F.parse_url("url", F.lit("HOST"))
+    return table(spark, d, "pages").select("page_id", text.normalize_domain(F.concat(F.lit(" "), F.upper(name), F.lit(".. "))).alias("domain"), text.normalize_domain(F.concat(F.lit("-"), name)).alias("bad"))
 
 
 _IP = "SELECT o_orderkey, CAST(o_orderkey % 256 AS STRING) || '.' || CAST(o_custkey % 256 AS STRING) || '.7.9' AS ip FROM {orders}"
@@ -133,7 +182,19 @@ _IP = "SELECT o_orderkey, CAST(o_orderkey % 256 AS STRING) || '.' || CAST(o_cust
     f"WITH t AS ({_IP.replace('{orders}', 'orders')}), p AS (SELECT *, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b FROM t) SELECT o_orderkey, NOT (a = 10 OR a = 127 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239) AS external FROM p",
 )
 def f2(spark, d):
-    return spark.sql(_IP, orders=table(spark, d, "orders")).select("o_orderkey", text.is_external_ipv4(F.col("ip")).alias("external"))
+    return spark.sql(_IP, orders=table(spark, d, "orders")).select("o_orderkey", text.is_external(F.col("ip")).alias("external"))
+
+
+_IP6 = "SELECT o_orderkey, lpad(lower(hex(o_custkey * 7919 % 65536)), 4, '0') AS h, CASE o_orderkey % 5 WHEN 0 THEN '::' WHEN 1 THEN ':0:0:0:0:0:0:' WHEN 2 THEN ':1:2:3:4:5:6:' WHEN 3 THEN '::a:' ELSE ':::' END AS mid FROM {orders}"
+
+
+@query(
+    "f2_external_address6",
+    f"WITH t AS ({_IP6.replace('{orders}', 'orders')}), p AS (SELECT *, CAST('0x' || h AS INT) AS n FROM t) SELECT o_orderkey, h || mid || '1' AS ip, mid <> ':::' AND NOT (n >= 65280 OR n BETWEEN 64512 AND 65023 OR n BETWEEN 65152 AND 65215 OR (n = 0 AND mid IN ('::', ':0:0:0:0:0:0:'))) AS external FROM p",
+)
+def f2_6(spark, d):
+    rows = spark.sql(_IP6, orders=table(spark, d, "orders")).withColumn("ip", F.concat("h", "mid", F.lit("1")))
+    return rows.select("o_orderkey", "ip", text.is_external(F.col("ip")).alias("external"))
 
 
 _CG = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '/kubepods.slice/pod' || '12345678_1234_1234_1234_1234567890ab' || '/cri-containerd-' || h || '.scope' WHEN 1 THEN '/docker/' || h ELSE '/user.slice/' || h END AS path, h FROM (SELECT o_orderkey, md5('c' || CAST(o_orderkey AS STRING)) || md5('d' || CAST(o_orderkey AS STRING)) AS h FROM {orders})"
@@ -144,12 +205,12 @@ def f3(spark, d):
     return spark.sql(_CG, orders=table(spark, d, "orders")).select("o_orderkey", text.container_of_path(F.col("path")).alias("container_id"), text.runtime_of_path(F.col("path")).alias("runtime"), text.pod_uid_of_path(F.col("path")).alias("pod_uid"))
 
 
-@query("f4_fnv1a64")
+@query("f4_fnv1a64", f"WITH h AS MATERIALIZED (SELECT doc_id, text, {hashing.hash_sql('text')} AS hash FROM documents) SELECT doc_id, hash, CASE WHEN strlen(text) <= 64 THEN text ELSE 'hash:' || hash END AS bounded FROM h")
 def f4(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.fnv1a64(F.col("text")).alias("hash"), hashing.bounded_or_hash(F.col("text"), 64).alias("bounded"))
 
 
-@query("f5_generated_ids")
+@query("f5_generated_ids", f"WITH t AS (SELECT doc_id, source || '|' || lang || '|' || doc_id AS t FROM documents) SELECT doc_id, {hashing.hash_sql('t', hashing.SEEDS[0])} || {hashing.hash_sql('t', hashing.SEEDS[1])} AS trace_id, {hashing.hash_sql('t', hashing.SEEDS[2])} AS span_id FROM t")
 def f5(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.generated_ids(F.concat_ws("|", "source", "lang", F.col("doc_id").cast("string"))).alias("i")).select("doc_id", "i.*")
 
@@ -171,9 +232,9 @@ def f10(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.tcp_state(F.col("o_orderkey") % 14).alias("state"))
 
 
-@query("f12_grpc_status", "SELECT o_orderkey, CASE o_orderkey % 20 WHEN 0 THEN 'ok' WHEN 5 THEN 'not_found' WHEN 13 THEN 'internal' WHEN 16 THEN 'unauthenticated' ELSE 'unknown' END AS status FROM orders WHERE o_orderkey % 20 IN (0, 2, 5, 13, 16, 17, 19)")
+@query("f12_grpc_status", f"SELECT o_orderkey, coalesce(list_extract({list(text.GRPC_STATUS)}, CAST(o_orderkey % 20 + 1 AS BIGINT)), 'unknown') AS status FROM orders")
 def f12(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 20 in (0, 2, 5, 13, 16, 17, 19)").select("o_orderkey", text.grpc_status(F.col("o_orderkey") % 20).alias("status"))
+    return table(spark, d, "orders").select("o_orderkey", text.grpc_status(F.col("o_orderkey") % 20).alias("status"))
 
 
 @query("f14_valid_ids", "SELECT doc_id, doc_id % 3 = 0 AS trace_ok, doc_id % 3 < 2 AS span_ok FROM documents")

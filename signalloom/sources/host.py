@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounds import TOP
+
 #: Nanoseconds of a clock tick (100 a second), bytes of a sector, of a KiB and of a page.
 TICK, SECTOR, KIB, PAGE = 10_000_000, 512, 1024, 4096
 
 
+def _times(n: Column, unit: int) -> Column:
+    return F.coalesce(F.try_multiply(n.cast("long"), F.lit(unit).cast("long")), F.when(n.isNotNull(), F.lit(TOP)))
+
+
+def ticks_to_nanos(ticks: Column, per_second: int = 100) -> Column:
+    """Clock ticks in nanoseconds (F16); like the others it stops at the greatest number."""
+    return F.call_function("div", _times(ticks, 1_000_000_000), F.lit(max(1, per_second)))
+
+
+def kib_to_bytes(n: Column) -> Column:
+    return _times(n, KIB)
+
+
+def usec_to_nanos(n: Column) -> Column:
+    return _times(n, 1000)
+
+
+def sectors_to_bytes(n: Column) -> Column:
+    return _times(n, SECTOR)
+
+
 def _lines(files: DataFrame, path: str) -> DataFrame:
     return files.where(F.col("path").rlike(path)).select("host", "path", "ts", F.explode(F.split("contents", "\n")).alias("line"))
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.common import in_order
+
 CONNECTION = ("host", "pid", "fd", "remote_address", "remote_port")
 _KEY = "host string, pid long, fd int, remote_address string, remote_port int"
 
@@ -59,15 +62,16 @@ def active_gauge_stream(events: DataFrame, idle_ms: int | None = 86_400_000) ->
             state.remove()
             return
         is_open = state.get[0] if state.exists else False
-        out = []
-        for r in _rows(batches, "ts", "seq").itertuples():
-            if (r.kind == "open") != is_open:
-                out.append((*key, r.seq, -1 if is_open else 1))
-                is_open = not is_open
+        rows = _rows(batches, "ts", "seq")
+        # the state after a row is the row's own kind, whatever came before: a row counts where it differs from the one before it
+        opens = (rows["kind"] == "open").to_numpy()
+        changed = opens != np.concatenate([[is_open], opens[:-1]])
+        out = rows.loc[changed, ["seq"]].assign(delta=np.where(opens, 1, -1)[changed])
+        is_open = bool(opens[-1])
         state.update((is_open,))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[*CONNECTION, "seq", "delta"])
+        yield out.assign(**dict(zip(CONNECTION, key, strict=True)))[[*CONNECTION, "seq", "delta"]]
 
     rows = events.where("kind in ('open', 'close') and fd is not null").groupBy(*CONNECTION)
     return rows.applyInPandasWithState(step, f"{_KEY}, seq long, delta int", "is_open boolean", "append", _timeout(idle_ms))
@@ -81,22 +85,19 @@ def timestamp_guard_stream(records: DataFrame, key: str = "series", stale_ms: in
             state.remove()
             return
         newest = state.get[0] if state.exists else -1
-        kept: dict[int, tuple] = {}
-        dropped = 0
-        for r in _rows(batches, "seq").itertuples():
-            ms = r.ts // 1_000_000
-            if ms < newest:
-                dropped += 1
-                continue
-            newest = ms
-            kept[ms] = (r.seq, r.ts)
+        rows = _rows(batches, "seq")
+        ms = rows["ts"].to_numpy() // 1_000_000
+        before = np.maximum.accumulate(np.concatenate([[newest], ms]))[:-1]  # a row that is dropped is below the maximum and doesn't move it
+        good = ms >= before
+        kept = rows.loc[good, ["seq", "ts"]].assign(ms=ms[good]).drop_duplicates("ms", keep="last")
+        newest, dropped = max(newest, int(ms.max())), int((~good).sum())
         state.update((int(newest),))
         if stale_ms is not None:
             state.setTimeoutDuration(stale_ms)
-        rows = [(k[0], *v, 0) for v in kept.values()]
+        out = kept.assign(**{key: k[0]}, dropped=0)[[key, "seq", "ts", "dropped"]].astype({"seq": "Int64", "ts": "Int64"})
         if dropped:
-            rows.append((k[0], None, None, dropped))
-        yield pd.DataFrame(rows, columns=[key, "seq", "ts", "dropped"])
+            out = pd.concat([out, pd.DataFrame({key: [k[0]], "seq": pd.array([None], "Int64"), "ts": pd.array([None], "Int64"), "dropped": [dropped]})])
+        yield out
 
     return records.groupBy(key).applyInPandasWithState(step, f"{key} string, seq long, ts long, dropped int", "newest long", "append", _timeout(stale_ms))
 
@@ -105,30 +106,37 @@ def http_heads(chunks: DataFrame, most: int = 1 << 16) -> DataFrame:
     """Request and response heads of HTTP/1 from chunks of bytes (T10): host, connection, ts, head, error.
 
     ``chunks``: host, connection, direction, offset, ts, data. Chunks are put in order by offset; a body is skipped by its
-    content length, so pipelined messages follow on. A gap or a head above ``most`` bytes ends a connection with an error.
+    content length, so pipelined messages follow on; at most a head is held. A gap or a head above ``most`` bytes ends a connection with an error.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, at, skip, since = [], b"", None, 0, None
-        for r in pdf.sort_values(["offset", "ts"]).itertuples():
-            at = r.offset if at is None else at
-            if r.offset > at:
-                out.append((r.host, r.connection, r.direction, r.ts, None, "gap"))
-                break
-            data = r.data[at - r.offset :]
+    def begin():
+        held, at, skip, since, dead = b"", None, 0, None, False
+
+        def feed(offset, ts, data):
+            nonlocal held, at, skip, since, dead
+            if dead:
+                return []
+            out, at = [], offset if at is None else at
+            if offset > at:
+                dead = True
+                return [(ts, None, "gap")]
+            data = bytes(data[at - offset :])
             at += len(data)
             taken = min(skip, len(data))
             skip, data = skip - taken, data[taken:]
-            held, since = held + data, r.ts if not held else since
+            held, since = held + data, ts if not held else since
             while (end := held.find(b"\r\n\r\n")) >= 0:
                 head, held = held[:end], held[end + 4 :]
                 length = next((int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]) if k.strip().lower() == b"content-length" and v.strip().isdigit()), 0)
-                out.append((r.host, r.connection, r.direction, since, head.decode("latin-1"), None))
+                out.append((since, head.decode("latin-1"), None))
                 taken = min(length, len(held))
-                skip, held, since = length - taken, held[taken:], r.ts
+                skip, held, since = length - taken, held[taken:], ts
             if len(held) > most:
-                out.append((r.host, r.connection, r.direction, r.ts, None, "too_long"))
-                break
-        return pd.DataFrame(out, columns=["host", "connection", "direction", "ts", "head", "error"])
+                dead = True
+                out.append((ts, None, "too_long"))
+            return out
+
+        return feed, lambda: []
 
-    return chunks.groupBy("host", "connection", "direction").applyInPandas(run, "host string, connection string, direction string, ts long, head string, error string")
+    rows = chunks.select("host", "connection", "direction", "offset", "ts", "data")
+    return in_order(rows, ("host", "connection", "direction"), ("offset", "ts"), begin, "host string, connection string, direction string, ts long, head string, error string")

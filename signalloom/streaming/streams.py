@@ -19,16 +19,23 @@ def dedup_stream(df: DataFrame, fingerprint: Sequence[str], delay: str = "10 min
     return df.withColumn("event_time", event_time(F.col("ts"))).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(fingerprint))
 
 
-def profile_windows(samples: DataFrame, keys: Sequence[str], width: str = "30 seconds", delay: str = "1 minute", most: int = 64) -> DataFrame:
-    """Tumbling profile sessions, appended when the watermark passes them."""
+def profile_windows(samples: DataFrame, keys: Sequence[str], width: str = "30 seconds", delay: str = "1 minute", most: int = 64, stacks: int = 64) -> DataFrame:
+    """Tumbling profile sessions, appended when the watermark passes them (T3); distinct stacks are counted exactly, up to ``stacks``.
+
+    Stacks are counted by value in a first windowed aggregation, so that a busy session's state is spread over its stacks.
+    """
     rows = samples.withColumn("event_time", event_time(F.col("ts"))).withWatermark("event_time", delay)
-    return rows.groupBy(F.window("event_time", width), *keys).agg(F.least(F.sum("sample_count"), F.lit(most)).alias("observed"), F.greatest(F.sum("sample_count") - most, F.lit(0)).alias("dropped"), F.approx_count_distinct("stack_id").alias("distinct_stacks"))
+    by_stack = rows.groupBy(F.window("event_time", width), *keys, "stack_id").agg(F.sum("sample_count").alias("n"))
+    return by_stack.groupBy(F.window(F.window_time("window"), width).alias("window"), *keys).agg(F.least(F.sum("n"), F.lit(most)).alias("observed"), F.greatest(F.sum("n") - most, F.lit(0)).alias("dropped"), F.least(F.count(F.lit(1)), F.lit(stacks)).alias("distinct_stacks"))
 
 
 def peer_stream(flows: DataFrame, keys: Sequence[str], idle: str = "15 minutes", delay: str = "1 minute") -> DataFrame:
-    """Bytes of each series between idle gaps."""
+    """Bytes of each series between idle gaps (T6), appended when it has been idle. A flow without bytes keeps a series alive, but makes none.
+
+    The cap on series is applied where batches are written, with ``cap_keys`` in ``foreachBatch``.
+    """
     rows = flows.withColumn("event_time", event_time(F.col("ts"))).withWatermark("event_time", delay)
-    return rows.groupBy(F.session_window("event_time", idle).alias("session"), *keys).agg(F.sum("bytes").alias("value"))
+    return rows.groupBy(F.session_window("event_time", idle).alias("session"), *keys).agg(F.sum("bytes").alias("value")).where("value > 0")
 
 
 def match_requests_stream(requests: DataFrame, responses: DataFrame, timeout: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
