@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="signalloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -40,8 +43,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, text_bytes: int = 0) -> int:
+    """The session's shuffle partitions, or more where ``text_bytes`` would put over 64 MB of text into one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // (1 << 26)))
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def fresh(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered_columns(df: DataFrame, drop: Sequence[str] = ()) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``df`` with its columns called c0, c1, ..., so that an operator's own names can't clash; their old names in order; new name by old name in lower case."""
+    names = [c for c in df.columns if c.lower() not in drop]
+    new = [f"c{k}" for k in range(len(names))]
+    return df.select(*[df[f"`{c}`"].alias(n) for c, n in zip(names, new, strict=True)]), names, {c.lower(): n for c, n in zip(names, new, strict=True)}
 
 
 class Step(NamedTuple):

@@ -10,10 +10,12 @@ The global order of n-grams (by hash) is cut into fragments; a document's set is
    their rarest ones (prefix filter). Every document is first compared with one hub of each
    bucket it is in; partial overlaps are counted by fragment and summed per pair.
 3. What isn't connected yet but shares a bucket is compared too: pair by pair in small buckets, and
-   block by block, again fragment by fragment of the order, in large ones. No candidate is left out.
+   block by block, again fragment by fragment of the order, in large ones. Comparisons stay inside a bucket,
+   or inside several that hold nearly the same documents. No candidate is left out.
 
-Copies within a batch are collapsed before anything is shuffled. Segments carry 32 bits of an n-gram's hash beside
-its fragment.
+Copies within a batch are collapsed before anything is shuffled. Segments carry 48 bits of an n-gram's hash beside
+its fragment: 55 bits with 100 fragments, all 64 from 65,536 on; the number of fragments grows with the text.
+A bucket that holds far more documents than others is spread over tasks before it is joined.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import documents, partitions, written
+from ._util import documents, fresh, partitions, text_bytes, written
 from .components import components
 
 N = 5
 #: Bucket size beyond which documents are compared in blocks of BLOCK; columns of one partial product.
 LARGE, BLOCK, SLICE = 64, 512, 4096
-#: Fragments of the partial overlaps of single pairs.
+#: Fragments (ranges of the order) of the partial overlaps of single pairs.
 PARTS = 4
+#: Into how many parts a large bucket is dealt for a join; how many of the largest buckets, by partition.
+SPREAD, LARGEST = 64, 4
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,7 +127,7 @@ def _cut(fragments: int):
             doc = np.repeat(np.arange(len(own)), sizes)
             frag = ((hashes >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
             order = np.argsort(frag, kind="stable")
-            low = (hashes & _U(0xFFFFFFFF)).astype(np.uint32)[order]
+            low = hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             doc, frag = doc[order], frag[order]
             cuts = np.flatnonzero(np.diff(frag, prepend=-1, append=-1))
             out: list[list] = [[] for _ in range(5)]
@@ -144,7 +148,7 @@ def _record(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _share(buckets: int):
+def _share(buckets: int, fragments: int):
     """The shared n-grams of each document in a task's fragments, packed by the bucket that puts them together."""
     names = [x.split()[0] for x in _SHARED.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -164,7 +168,11 @@ def _share(buckets: int):
                 rows.append(np.frombuffer(r, np.int64))
                 sizes.append(np.frombuffer(s, np.int32))
                 ns.append(np.frombuffer(n, np.int32))
-                keys.append(np.frombuffer(h, np.uint32).astype(np.int64) | (f << 32))
+                six = np.frombuffer(h, np.uint8).reshape(-1, 6)
+                wide = np.zeros((len(six), 8), np.uint8)
+                wide[:, :6] = six
+                wide.view("<u2")[:, 3] = f if fragments <= 1 << 16 else f * (1 << 16) // fragments
+                keys.append(wide.view("<i8")[:, 0])
         if not keys:
             return
         row, size, n, key = (np.concatenate(x) for x in (rows, sizes, ns, keys))
@@ -216,11 +224,12 @@ def _enough(a: str, b: str) -> str:
     return f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})"
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs (a, b)`` with 100 * intersection >= 75 * union: partial overlaps by fragment, summed per pair."""
+def _linked(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` with 100 * intersection >= 75 * union: partial overlaps by range of the order, summed per pair."""
+    most = min(fragments, 1 << 16)
 
     def segment(k: int):
-        return F.filter("tokens", lambda t: F.pmod(t, F.lit(PARTS)) == k)
+        return F.filter("tokens", lambda t: F.floor(F.shiftrightunsigned(t, 48) * PARTS / most) == k)
 
     part = sets.select("row", "n", F.posexplode(F.array(*map(segment, range(PARTS)))).alias("part", "segment"))
     left = part.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("segment").alias("sa"))
@@ -232,6 +241,18 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return overlap.where("7 * o >= 3 * (na + nb)").select("a", "b")
 
 
+def _with_bucket(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
+    """``rows (token, row, ...)`` joined with the row of ``buckets (token, size, ...)``; the largest buckets are spread over SPREAD keys.
+
+    At most LARGEST * n of them are broadcast, whatever the data.
+    """
+    hot = F.broadcast(buckets.orderBy(F.desc("size"), "token").limit(LARGEST * n).select("token", F.lit(True).alias("hot")))
+    salted = rows.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread = buckets.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return salted.join(spread, ["token", "salt"]).drop("salt")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between documents of different labels in each block pair: overlaps summed over slices of the order; of the links, a spanning forest."""
     groups: dict[tuple, list] = {}
@@ -277,13 +298,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _in_blocks(mixed: DataFrame, sets: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:
-    """Links between labels inside large buckets. ``mixed (token, row)``: their members."""
-    hubs = mixed.groupBy("token").agg(F.min("row").alias("hub"))
-    near = written(mixed.join(hubs, "token").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct(), "near-hubs")
-    groups = components(near).select(F.col("id").alias("row"), F.col("label").alias("group"))
-    docs = sets.select("row", "n", "tokens").join(groups, "row").join(labels.select(F.col("id").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    docs = written(docs, "near-docs")
+def _groups_of_buckets(mixed: DataFrame) -> DataFrame:
+    """(group, row, n, label): the documents of large buckets ``mixed (token, size, h1, h2, row, n, label)``, each bucket whole in one group.
+
+    Buckets with the same two smallest member hashes are one group if all of them together have at most twice the documents of the
+    largest (so the passage's many n-grams are compared once, at no more than four times the cost of one); else each is a group of its own.
+    """
+    union = mixed.select("h1", "h2", "row").distinct().groupBy("h1", "h2").count()
+    most = mixed.groupBy("h1", "h2").agg(F.max("size").alias("most"))
+    alike = union.join(most, ["h1", "h2"]).select("h1", "h2", (F.col("count") <= 2 * F.col("most")).alias("alike"))
+    group = F.when(F.col("alike"), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("token"))
+    return mixed.join(alike, ["h1", "h2"]).select(group.alias("group"), "row", "n", "label").distinct()
+
+
+def _in_blocks(mixed: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Links between labels inside large buckets."""
+    docs = written(_groups_of_buckets(mixed), "near-groups")
     sizes = docs.groupBy("group", "label").count()
     main = sizes.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
     cut = docs.join(main, "group").withColumn("is_main", F.col("label") == F.col("main"))
@@ -293,25 +323,27 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, labels: DataFrame, spark: Spar
     block = F.when(F.col("is_main"), n_rest + F.pmod(h, n_main)).otherwise(F.pmod(h, F.greatest(n_rest, F.lit(1))))
     cut = cut.where("all > most").withColumn("block", block.cast("int")).withColumn("n_rest", n_rest.cast("int")).withColumn("n_all", (n_rest + n_main).cast("int"))
     others = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_all") - 1))
-    sent = cut.withColumn("other", F.explode(others)).select(
+    sent = cut.join(sets.select("row", "tokens"), "row").withColumn("other", F.explode(others)).select(
         "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "row", "n", "label", "tokens",
     )
-    return sent.repartition(partitions(spark), "group", "i", "j").mapInArrow(_blocks, "a long, b long")
+    return sent.repartition(n, "group", "i", "j").mapInArrow(_blocks, "a long, b long")
+
 
+def link_classes(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): rows (row, doc_id, rep, n) of the table, and the label of each representative that is linked with another.
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): rows (row, doc_id, rep, n) of the table, and the label of each representative that is linked with another."""
+    ``row``: a column of distinct longs that tells rows apart; without it they are numbered.
+    """
     spark = docs.sparkSession
-    fragments = 2 * partitions(spark)
-    rows = docs.select("doc_id", "text", *([] if "__row" not in docs.columns else [F.col("__row").alias("row")]))
-    if "row" not in rows.columns:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-    cut = rows.select("row", "doc_id", "text").mapInArrow(_cut(fragments), _SENT)
-    shared = written(cut.repartition(partitions(spark), "fragment").mapInArrow(_share(partitions(spark)), _SHARED), "near-shared")
+    n = partitions(spark, text_bytes(docs))
+    fragments = 2 * n
+    rows = docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id"), F.col("text"))
+    cut = rows.mapInArrow(_cut(fragments), _SENT)
+    shared = written(cut.repartition(n, "fragment").mapInArrow(_share(n, fragments), _SHARED), "near-shared")
     table = shared.where("kind = 0").select("row", "doc_id", "rep", "n")
     packed = shared.where("kind = 1").select("bucket", "rows", "ns", "sizes", "tokens")
-    sets = written(packed.repartition(partitions(spark), "bucket").mapInArrow(_able, "row long, n int, tokens array<long>"), "near-sets")
+    sets = written(packed.repartition(n, "bucket").mapInArrow(_able, "row long, n int, tokens array<long>"), "near-sets")
 
     # n-grams by document frequency among those left; the rarest first, those of one document before all
     tokens = sets.select("row", "n", F.explode("tokens").alias("token"))
@@ -324,33 +356,34 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "near-postings",
     )
 
-    hubs = postings.groupBy("token").agg(F.min(F.struct("row", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    first = postings.join(hubs, "token").where("row <> hub.row and " + _enough("n", "hub.n")).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct()
-    links = written(_linked(first, sets), "near-links")
+    hubs = written(postings.groupBy("token").agg(F.min(F.struct("row", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-hubs")
+    first = _with_bucket(postings, hubs, n).where("row <> hub.row and " + _enough("n", "hub.n")).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct()
+    links = written(_linked(first, sets, fragments), "near-links")
     labels = written(components(links), "near-labels")
 
     # buckets in which not all are connected yet
     marked = postings.join(labels.withColumnRenamed("id", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    buckets = marked.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
-    mixed = written(marked.join(buckets, "token"), "near-mixed")
+    per_bucket = marked.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.xxhash64("row", F.lit(1))).alias("h1"), F.min(F.xxhash64("row", F.lit(2))).alias("h2"))
+    buckets = written(per_bucket.where("low < high").drop("low", "high"), "near-buckets")
+    mixed = written(_with_bucket(marked, buckets, n), "near-mixed")
     small = mixed.where(f"size <= {LARGE}")
     a, b = small.alias("a"), small.alias("b")
     fits = "1 + least(a.n - a.place, b.n - b.place) >= ceil(3 * (a.n + b.n) / 7)"
     pairs = a.join(b, F.expr(f"a.token = b.token and a.row < b.row and a.label <> b.label and {_enough('a.n', 'b.n')} and {fits}")).select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
-    more = written(_linked(pairs, sets).union(_in_blocks(mixed.where(f"size > {LARGE}").select("token", "row"), sets, labels, spark)), "near-links")
+    more = written(_linked(pairs, sets, fragments).union(_in_blocks(mixed.where(f"size > {LARGE}"), sets, n)), "near-links")
     if not more.isEmpty():
         labels = written(components(links.union(more)), "near-labels")
     return table, labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach), ``row`` and ``label`` (the class, by one of its rows), one row for each row of ``docs``.
 
     Null and empty texts and texts of white space have no set and are linked with nothing. Rows with
     equal sets are linked. A null doc_id is never the smallest, unless there is no other. Classes can share a component_id,
-    where ids are null or repeated, but not a label. Other columns of ``docs`` don't matter.
+    where ids are null or repeated, but not a label. An empty table gives an empty one. Other columns of ``docs`` don't matter.
     """
-    table, labels = link_classes(docs)
+    table, labels = link_classes(docs, row)
     labels = labels.withColumnRenamed("id", "rep")
     # by representative first: of the rows of one, a batch has read all
     reps = table.groupBy("rep").agg(F.min("doc_id").alias("low")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -361,12 +394,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class of near duplicates, the one with the smallest doc_id, with the columns of ``docs``; rows without a set all stay."""
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-input")
-    found = classes(keyed)
-    first = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("label").agg(F.min("row").alias("__row")).select("__row")
-    empty = found.where("n_shingles = 0").select(F.col("row").alias("__row"))
-    return keyed.join(first.union(empty), "__row", "left_semi").select(*docs.columns)
+    """One row of each class of near duplicates, the one with the smallest doc_id (the first read of equal ids), with the columns of ``docs``.
+
+    Rows without a set (null, empty and white texts) all stay. An empty table gives an empty one.
+    """
+    row = fresh(docs.columns, "_row")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
+    found = classes(keyed, row)
+    first = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("label").agg(F.min("row").alias(row)).select(row)
+    empty = found.where("n_shingles = 0").select(F.col("row").alias(row))
+    return keyed.join(first.union(empty), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
