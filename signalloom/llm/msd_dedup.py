@@ -4,29 +4,31 @@ Texts are equal when they are identical after white space is deleted. Groups are
 split by successive bytes until they are singleton or their texts have ended; no
 digest decides equality.
 
-1. Map side: each task splits its own rows by radix and keeps one representative of
-   each distinct text with the count and the best row, so that a text with a third
-   of all rows is one row a task before anything is shuffled.
+1. Map side: each batch of up to ``BATCH`` rows is split by radix and keeps one representative of
+   each distinct text with the count and the best row.
 2. Digits: ``DIGITS`` prefixes of the representatives are counted. A prefix with
    more than its share of the bytes is split by the next digit, and so on until no
    heavy group is left or its texts have ended. At most ``total / share`` prefixes
-   are heavy, so their list is small whatever the data.
-3. Each group goes to a task by its shortest light prefix; there it's split on by
-   successive bytes. Members get the result of their representative by a join on
-   the representative's id, of which a task's rows have at most as many as it read.
+   are heavy, and they are joined as hashes of eight bytes, so what is broadcast is small whatever the data.
+3. A group that is still heavy (a text that many batches hold) is dealt to SPREAD tasks first, each of which
+   merges the representatives it gets: then at most SPREAD of a text are left.
+4. Each group goes to a task by its shortest light prefix; there it's split on by
+   successive bytes. Hashes only deal groups to tasks; equality is decided by bytes. A task holds the texts of its groups,
+   about ``share`` bytes, which grows no further as partitions are added with the text. Members get the result of their representative by a join on
+   the representative's id, of which a batch has at most as many as it read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import Step, append_columns, documents, partitions, written
+from ._util import Step, append_columns, documents, numbered_columns, partitions, written
 
 #: The white space that doesn't count, [\x20\x09-\x0D].
 WHITE = b" \t\n\v\f\r"
@@ -52,16 +54,17 @@ def radix_groups(texts: list[bytes]) -> Iterator[list[int]]:
                 stack.append((group, at + width, min(4 * width, 1 << 20)))
 
 
-_HEAD = 256
+_HEAD, BATCH, SPREAD = 256, 10_000, 64
 _LOCAL = [
-    T.StructField("__rep", T.LongType()),
-    T.StructField("__head", T.BinaryType()),
-    T.StructField("__count", T.LongType()),
-    T.StructField("__chars", T.LongType()),
-    T.StructField("__best", T.LongType()),
-    T.StructField("__best_id", T.LongType()),
+    T.StructField("rep", T.LongType()),
+    T.StructField("head", T.BinaryType()),
+    T.StructField("count", T.LongType()),
+    T.StructField("chars", T.LongType()),
+    T.StructField("best", T.LongType()),
+    T.StructField("best_id", T.LongType()),
 ]
-_GROUP = "__of long, __keep_row long, keep_id long, group_size long, text_sha256 string"
+_MERGED = "rep long, head binary, count long, chars long, best long, best_id long, text string, members array<long>"
+_GROUP = "of long, keep_row long, keep_id long, group_size long, text_sha256 string"
 
 
 def _bytes(texts) -> list[bytes]:
@@ -89,42 +92,65 @@ def _local():
 
 
 def _deal(reps: DataFrame, share: float) -> DataFrame:
-    """``reps`` with ``__bin``: the shortest prefix of each text whose group has at most ``share`` bytes."""
+    """``reps`` with ``bin``, the hash of the shortest prefix of each text whose group has at most ``share`` bytes, and ``hot``: no such prefix, a text or its longest prefix is heavy."""
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary")
-    prefix = {d: F.substring("__head" if d <= _HEAD else norm, 1, d) for d in DIGITS}
-    heavy: list[tuple[int, list[bytes]]] = []
-    left = reps
-    for digit in DIGITS:
-        sums = left.groupBy(prefix[digit].alias("__p")).agg(F.sum(F.octet_length("text") + 64).alias("__w"))
-        found = [bytes(r[0]) for r in sums.where((F.col("__w") > share) & (F.length("__p") == digit)).select("__p").collect()]
-        if not found:
+    dealt = reps.withColumns({"bin": F.lit(None).cast("long"), "hot": F.lit(False)})
+    for k, digit in enumerate(DIGITS):
+        prefix = F.substring("head" if digit <= _HEAD else norm, 1, digit)
+        key = F.xxhash64(F.lit(digit), prefix)
+        weight = F.sum(F.octet_length("text") + 64)
+        left = dealt.where("bin is null")
+        heavy = written(left.groupBy(key.alias("key")).agg(weight.alias("w"), (F.max(F.length(prefix)) < digit).alias("ended")).where(F.col("w") > share).select("key", "ended"), "exact-heavy")
+        done = heavy.isEmpty()
+        last = F.lit(k + 1 == len(DIGITS)) | F.col("ended")
+        marked = dealt.withColumn("key", key).join(F.broadcast(heavy), "key", "left")
+        light = F.col("bin").isNull() & (F.col("ended").isNull() | last)
+        dealt = marked.withColumns({"hot": F.col("hot") | (F.col("bin").isNull() & F.coalesce(last & F.col("ended").isNotNull(), F.lit(False))), "bin": F.when(light, F.col("key")).otherwise(F.col("bin"))}).drop("key", "ended")
+        if done:
             break
-        heavy.append((digit, found))
-        left = left.where(prefix[digit].isin([F.lit(p) for p in found]))
-    bin_ = prefix[DIGITS[len(heavy)]] if len(heavy) < len(DIGITS) else norm
-    for digit, found in reversed(heavy):
-        bin_ = F.when(prefix[digit].isin([F.lit(p) for p in found]), bin_).otherwise(prefix[digit])
-    return reps.withColumn("__bin", bin_)
+    return dealt
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The groups of a task's bins: one row for each representative."""
+def _read(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> tuple[list[bytes], list[list]]:
+    """The normalised texts of a task's rows, and columns of theirs."""
     norm: list[bytes] = []
-    cols: dict[str, list] = {f.name: [] for f in _LOCAL if f.name != "__head"}
+    cols: list[list] = [[] for _ in names]
     for b in batches:
         norm += [t.translate(None, WHITE) for t in _bytes(b.column("text"))]
-        for n, values in cols.items():
+        for values, n in zip(cols, names, strict=True):
             values += b.column(n).to_pylist()
-    rep, count, chars, best, ids = cols.values()
+    return norm, cols
+
+
+def _best(group: list[int], chars: list, ids: list, best: list) -> int:
+    return min(group, key=lambda i: (-chars[i], ids[i] is None, ids[i] or 0, best[i]))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One representative for the equal texts of a task, with those that it stands for."""
+    norm, (rep, count, chars, best, ids) = _read(batches, ("rep", "count", "chars", "best", "best_id"))
+    out: list[list] = [[] for _ in range(8)]
+    for group in radix_groups(norm):
+        top = _best(group, chars, ids, best)
+        row = (rep[group[0]], norm[top][:_HEAD], sum(count[i] for i in group), chars[top], best[top], ids[top], norm[top].decode("utf-8", "surrogatepass"), [rep[i] for i in group])
+        for column, v in zip(out, row, strict=True):
+            column.append(v)
+    kinds = (pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _MERGED.split(", ")])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups of a task's bins: one row for each representative."""
+    norm, (rep, count, chars, best, ids) = _read(batches, ("rep", "count", "chars", "best", "best_id"))
     out: list[list] = [[] for _ in range(5)]
     for group in radix_groups(norm):
-        top = min(group, key=lambda i: (-chars[i], ids[i] is None, ids[i] or 0, best[i]))
+        top = _best(group, chars, ids, best)
         same = (best[top], ids[top], sum(count[i] for i in group), hashlib.sha256(norm[top]).hexdigest())
         for i in group:
             for column, v in zip(out, (rep[i], *same), strict=True):
                 column.append(v)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["__of", "__keep_row", "keep_id", "group_size", "text_sha256"])
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _GROUP.split(", ")])
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -133,26 +159,44 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Null texts count as empty, and equal each other and texts of white space. Of equal
     texts the row with the most code points stays, then the smallest doc_id (null
     last), then the first row read; rows that are repeated whole count one by one.
-    Columns of ``docs`` with the names of the result are replaced; names that begin with two underscores are kept for the operator. An empty table gives an empty one.
+    Columns of ``docs`` with the names of the result are replaced, all others kept. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     new = ("keep_id", "group_size", "kept", "text_sha256")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in new]).withColumn("__row", F.monotonically_increasing_id())
-    local = written(append_columns(docs, Step(["__row", "doc_id", "text"], _LOCAL, _local), rows=10_000), "exact-local")
-    reps = local.where("__count is not null")
-    total = reps.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    dealt = _deal(reps.withColumn("text", F.coalesce("text", F.lit(""))), max(1, total / partitions(spark)))
-    groups = dealt.repartition(partitions(spark), "__bin").select("text", *[f.name for f in _LOCAL if f.name != "__head"]).mapInArrow(_groups, _GROUP)
-    return (
-        local.join(groups, F.col("__rep") == F.col("__of"))
-        .withColumn("kept", F.col("__row") == F.col("__keep_row"))
-        .select(*[c for c in docs.columns if c != "__row"], *new)
-    )
+    work, names, now = numbered_columns(docs, new)
+    doc_id, text = now["doc_id"], now["text"]
+    work = work.withColumn("row", F.monotonically_increasing_id())
+    local = written(append_columns(work, Step(["row", doc_id, text], _LOCAL, _local), rows=BATCH), "exact-local")
+    reps = local.where("count is not null").select(F.coalesce(text, F.lit("")).alias("text"), *[f.name for f in _LOCAL])
+    total = reps.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = partitions(spark, total)
+    dealt = _deal(reps, max(1, total / n))
+    # texts that many batches hold: merged in SPREAD tasks first
+    hot = dealt.where("hot").repartition(n, "bin", F.pmod(F.xxhash64("rep"), F.lit(SPREAD))).select("text", *[f.name for f in _LOCAL if f.name != "head"])
+    merged = written(hot.mapInArrow(_merge, _MERGED), "exact-merged")
+    one = merged.select("text", "rep", "count", "chars", "best", "best_id", F.xxhash64("head").alias("bin"))
+    rest = dealt.where("not hot").select("text", "rep", "count", "chars", "best", "best_id", "bin")
+    groups = rest.unionByName(one).repartition(n, "bin").drop("bin").mapInArrow(_groups, _GROUP)
+    members = merged.select(F.col("rep").alias("of"), F.explode("members").alias("member"))
+    result = [x.split()[0] for x in _GROUP.split(", ")][1:]
+    if merged.isEmpty():
+        told = groups
+    else:
+        groups = written(groups, "exact-groups")
+        told = groups.join(members, "of", "left").select(F.coalesce("member", "of").alias("of"), *result)
+    kept = F.col("row") == F.col("keep_row")
+    return local.join(told, F.col("rep") == F.col("of")).select(*[F.col(n_).alias(c) for n_, c in zip(now.values(), names, strict=True)], "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return exact_groups(docs).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that stay (see ``exact_groups``), with the columns of ``docs`` and their values: one row of each distinct text.
+
+    Columns named like a result of ``exact_groups`` are handed through as they are.
+    """
+    work, names, now = numbered_columns(docs)
+    kept = exact_groups(work.withColumnsRenamed({now["doc_id"]: "doc_id", now["text"]: "text"})).where("kept")
+    back = {now["doc_id"]: "doc_id", now["text"]: "text"}
+    return kept.select(*[F.col(back.get(n, n)).alias(c) for n, c in zip(now.values(), names, strict=True)])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
