@@ -241,16 +241,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
     return overlap.where("7 * o >= 3 * (na + nb)").select("a", "b")
 
 
-def _with_bucket(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
-    """``rows (token, row, ...)`` joined with the row of ``buckets (token, size, ...)``; the largest buckets are spread over SPREAD keys.
+def _with_bucket(rows: DataFrame, buckets: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows (keys, row, ...)`` joined with the row of ``buckets (keys, size, ...)``; the largest buckets are spread over SPREAD keys.
 
     At most LARGEST * n of them are broadcast, whatever the data.
     """
-    hot = F.broadcast(buckets.orderBy(F.desc("size"), "token").limit(LARGEST * n).select("token", F.lit(True).alias("hot")))
-    salted = rows.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop("hot")
+    hot = F.broadcast(buckets.orderBy(F.desc("size"), *keys).limit(LARGEST * n).select(*keys, F.lit(True).alias("hot")))
+    salted = rows.join(hot, list(keys), "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    spread = buckets.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return salted.join(spread, ["token", "salt"]).drop("salt")
+    spread = buckets.join(hot, list(keys), "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return salted.join(spread, [*keys, "salt"]).drop("salt")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,22 +298,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _groups_of_buckets(mixed: DataFrame) -> DataFrame:
+def _groups_of_buckets(mixed: DataFrame, n: int) -> DataFrame:
     """(group, row, n, label): the documents of large buckets ``mixed (token, size, h1, h2, row, n, label)``, each bucket whole in one group.
 
     Buckets with the same two smallest member hashes are one group if all of them together have at most twice the documents of the
     largest (so the passage's many n-grams are compared once, at no more than four times the cost of one); else each is a group of its own.
     """
     union = mixed.select("h1", "h2", "row").distinct().groupBy("h1", "h2").count()
-    most = mixed.groupBy("h1", "h2").agg(F.max("size").alias("most"))
-    alike = union.join(most, ["h1", "h2"]).select("h1", "h2", (F.col("count") <= 2 * F.col("most")).alias("alike"))
+    most = mixed.groupBy("h1", "h2").agg(F.max("size").alias("most"), F.count(F.lit(1)).alias("size"))
+    alike = written(union.join(most, ["h1", "h2"]).select("h1", "h2", "size", (F.col("count") <= 2 * F.col("most")).alias("alike")), "near-alike")
     group = F.when(F.col("alike"), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("token"))
-    return mixed.join(alike, ["h1", "h2"]).select(group.alias("group"), "row", "n", "label").distinct()
+    return _with_bucket(mixed.drop("size"), alike, n, "h1", "h2").select(group.alias("group"), "row", "n", "label").distinct()
 
 
 def _in_blocks(mixed: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """Links between labels inside large buckets."""
-    docs = written(_groups_of_buckets(mixed), "near-groups")
+    docs = written(_groups_of_buckets(mixed, n), "near-groups")
     sizes = docs.groupBy("group", "label").count()
     main = sizes.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
     cut = docs.join(main, "group").withColumn("is_main", F.col("label") == F.col("main"))
@@ -357,7 +357,7 @@ def link_classes(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, Da
     )
 
     hubs = written(postings.groupBy("token").agg(F.min(F.struct("row", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-hubs")
-    first = _with_bucket(postings, hubs, n).where("row <> hub.row and " + _enough("n", "hub.n")).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct()
+    first = _with_bucket(postings, hubs, n, "token").where("row <> hub.row and " + _enough("n", "hub.n")).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct()
     links = written(_linked(first, sets, fragments), "near-links")
     labels = written(components(links), "near-labels")
 
@@ -365,7 +365,7 @@ def link_classes(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, Da
     marked = postings.join(labels.withColumnRenamed("id", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     per_bucket = marked.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.xxhash64("row", F.lit(1))).alias("h1"), F.min(F.xxhash64("row", F.lit(2))).alias("h2"))
     buckets = written(per_bucket.where("low < high").drop("low", "high"), "near-buckets")
-    mixed = written(_with_bucket(marked, buckets, n), "near-mixed")
+    mixed = written(_with_bucket(marked, buckets, n, "token"), "near-mixed")
     small = mixed.where(f"size <= {LARGE}")
     a, b = small.alias("a"), small.alias("b")
     fits = "1 + least(a.n - a.place, b.n - b.place) >= ceil(3 * (a.n + b.n) / 7)"

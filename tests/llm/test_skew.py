@@ -12,8 +12,8 @@ def test_chained_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     seen, real = [], ngram_join._blocks
 
-    def counted(mixed):
-        out = _groups(mixed)
+    def counted(mixed, n):
+        out = _groups(mixed, n)
         seen.append(out)
         return out
 
