@@ -4,11 +4,12 @@ Each language has a character model of order ``ORDER`` over words with borders.
 lie in sorted arrays of 64-bit hashes, one for each order, with a column for each
 language. A text belongs to the language of the lowest cross-entropy per
 character. Whether an answer is to be trusted is calibrated on rows that the models
-haven't seen: ``rejected`` marks texts far outside what a language's own texts cost.
+haven't seen: a text is ``rejected`` if it costs more than three quarters of the way from what nearly all of its language's own texts cost
+to what texts of other languages usually do (a text with passages in two languages lies below). Languages with few such rows take the pooled distance.
 
 The classifier is fitted on a bounded sample: at most about ``TRAIN_DOCS`` labelled rows for
-each language, and ``CALIBRATION_DOCS`` more for the calibration. Their word counts are
-summed by Spark; what reaches the driver is bounded by the sample, not the table.
+each language, and ``CALIBRATION_DOCS`` more for the calibration. Their word counts (words of any length) are
+summed by Spark; what reaches the driver is bounded by the sample and the number of languages, not the table.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import Step, append_columns, documents
+from ._util import Step, append_columns, documents, numbered_columns
 
-ORDER, TRAIN_DOCS, CALIBRATION_DOCS, MAX_LANGUAGES = 5, 500, 200, 1000
-#: How many standard deviations a text may cost more than its language's texts do before it is rejected.
-REJECT_SD = 20.0
+ORDER, TRAIN_DOCS, CALIBRATION_DOCS = 5, 500, 200
+#: Share of a language's own texts that the calibration takes for outliers; rows it needs; robust deviations where no other language tells how far is far.
+OUTLIERS, ENOUGH, FAR = 0.005, 20, 12.0
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = 2, 3
@@ -177,7 +178,7 @@ class Scorer:
 
 def _sampled(labelled: DataFrame, docs_each: int, salt: int) -> DataFrame:
     """At most about ``docs_each`` rows of each language, chosen by a hash of the row."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return labelled.where("false")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_each / n))])
@@ -189,12 +190,34 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: Counter = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            counts.update((lang, w) for w in words_of(text or "") if len(w) <= 64)
+            counts.update((lang, w) for w in words_of(text or ""))
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
 
+def limits_of(cost: np.ndarray, chars: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """For each language: the usual cost of its texts, how far above it a text is rejected, and the usual number of characters.
+
+    ``cost``: entropy of unseen texts by language; ``truth``: their languages.
+    """
+    n = cost.shape[1]
+    own = cost[np.arange(len(truth)), truth]
+    usual, reach = np.full(n, np.nan), np.full(n, np.nan)
+    for k in range(n):
+        mine = own[truth == k]
+        if len(mine):
+            usual[k] = np.median(mine)
+        if len(mine) >= ENOUGH:
+            high, others = np.quantile(mine, 1 - OUTLIERS), cost[truth != k, k]
+            far = high + FAR * 1.4826 * np.median(np.abs(mine - usual[k]))
+            low = np.median(others) if len(others) else -np.inf
+            reach[k] = ((high + 3 * low) / 4 if low > high else far) - usual[k]
+    pooled = np.nanmedian(reach) if np.isfinite(reach).any() else np.inf
+    usual = np.where(np.isnan(usual), np.nanmedian(usual) if np.isfinite(usual).any() else 0.0, usual)
+    return np.column_stack([usual, np.where(np.isnan(reach), pooled, reach), np.full(n, np.median(chars) if len(chars) else 1.0)])
+
+
 class Classifier:
-    def __init__(self, models: Models, limits: dict[str, tuple[float, float, float]], slope: float):
+    def __init__(self, models: Models, limits: np.ndarray, slope: float):
         self.models, self.limits, self.slope = models, limits, slope
 
 
@@ -211,15 +234,12 @@ def fit(docs: DataFrame) -> Classifier | None:
     scorer = Scorer(models)
     unseen = _sampled(labelled, CALIBRATION_DOCS, 2).select("lang", "text", "doc_id").orderBy("lang", "doc_id").collect()
     rows = [r for r in unseen if words_of(r["text"] or "") and r["lang"] in counts]
-    limits, slope = {}, 1.0
+    n, slope = len(models.langs), 1.0
+    limits = limits_of(np.zeros((0, n)), np.zeros(0), np.zeros(0, int))
     if rows:
         cost, chars = scorer([r["text"] for r in rows])
         truth = np.array([models.langs.index(r["lang"]) for r in rows])
-        own = cost[np.arange(len(rows)), truth]
-        for k, lang in enumerate(models.langs):
-            mine = truth == k
-            if mine.sum() >= 5:
-                limits[lang] = (float(np.median(own[mine])), float(own[mine].std()), float(np.median(chars[mine])))
+        limits = limits_of(cost, chars, truth)
         # confidence: softmax of -slope * cost, the slope by maximum likelihood
         grid = np.geomspace(1, 200, 60)
         shifted = cost - cost.min(axis=1, keepdims=True)
@@ -231,8 +251,8 @@ def fit(docs: DataFrame) -> Classifier | None:
 def identify(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1), entropy (nats per character) and rejected.
 
-    A null text, one without letters, or a table without labelled rows gives ``und``, score 0, rejected.
-    Ties go to the first language in order. Columns of ``docs`` with those names are replaced.
+    A null text, one without letters, or a table without labelled rows gives ``und``, score 0, rejected. Without a language with
+    ENOUGH unseen rows nothing else is rejected. Each row is judged alone, repeated or not; an empty table gives an empty one. Ties go to the first language in order. Columns of ``docs`` with those names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
@@ -250,9 +270,8 @@ def identify(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
             low = cost.min(axis=1)
             score = 1 / np.exp(-fitted.slope * (cost - low[:, None])).sum(axis=1)
             none = chars == 0
-            limit = np.array([(*fitted.limits.get(lang, (np.inf, 0.0, 1.0)),) for lang in fitted.models.langs])[best]
-            with np.errstate(invalid="ignore"):
-                beyond = low > limit[:, 0] + REJECT_SD * limit[:, 1] * np.maximum(1, np.sqrt(limit[:, 2] / np.maximum(chars, 1)))
+            usual, reach, length = fitted.limits[best].T
+            beyond = low > usual + reach * np.maximum(1, np.sqrt(length / np.maximum(chars, 1)))  # short texts vary more
             names = [UNKNOWN if x else fitted.models.langs[k] for k, x in zip(best, none, strict=True)]
             return [pa.array(names), pa.array(np.where(none, 0.0, np.clip(score, 0, 1))), pa.array(low, mask=none), pa.array(none | beyond)]
 
@@ -263,9 +282,13 @@ def identify(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
 
 
 def trusted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with the columns of ``docs``."""
-    marked = identify(docs.select(F.struct("*").alias("_all"), "text"), fit(docs))
-    return marked.where("not rejected").select("_all.*")
+    """The rows of ``docs`` that ``identify`` doesn't reject, with the columns of ``docs``, whatever these are called.
+
+    Null and empty texts and those without letters go; without labelled rows, all go. Rows that are repeated all stay or all go.
+    """
+    work, names, now = numbered_columns(docs)
+    marked = identify(work.withColumnRenamed(now["text"], "text"), fit(docs)).where("not rejected")
+    return marked.select(*[F.col("text" if n == now["text"] else n).alias(c) for n, c in zip(now.values(), names, strict=True)])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
