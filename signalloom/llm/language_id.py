@@ -4,7 +4,7 @@ Each language has a character model of order ``ORDER`` over words with borders.
 lie in sorted arrays of 64-bit hashes, one for each order, with a column for each
 language. A text belongs to the language of the lowest cross-entropy per
 character. Whether an answer is to be trusted is calibrated on rows that the models
-haven't seen: a text is ``rejected`` if it costs more than three quarters of the way from what nearly all of its language's own texts cost
+haven't seen: a text is ``rejected`` if it costs more than halfway from what nearly all of its language's own texts cost
 to what texts of other languages usually do (a text with passages in two languages lies below). Languages with few such rows take the pooled distance.
 
 The classifier is fitted on a bounded sample: at most about ``TRAIN_DOCS`` labelled rows for
@@ -210,7 +210,7 @@ def limits_of(cost: np.ndarray, chars: np.ndarray, truth: np.ndarray) -> np.ndar
             high, others = np.quantile(mine, 1 - OUTLIERS), cost[truth != k, k]
             far = high + FAR * 1.4826 * np.median(np.abs(mine - usual[k]))
             low = np.median(others) if len(others) else -np.inf
-            reach[k] = ((high + 3 * low) / 4 if low > high else far) - usual[k]
+            reach[k] = ((high + low) / 2 if low > high else far) - usual[k]
     pooled = np.nanmedian(reach) if np.isfinite(reach).any() else np.inf
     usual = np.where(np.isnan(usual), np.nanmedian(usual) if np.isfinite(usual).any() else 0.0, usual)
     return np.column_stack([usual, np.where(np.isnan(reach), pooled, reach), np.full(n, np.median(chars) if len(chars) else 1.0)])
