@@ -1,8 +1,9 @@
 """Main text of HTML pages from flat text blocks.
 
 A page is cut into blocks of text at block-level tags. A block is described by its
-words and link density, those of the blocks before and after it, and what contains
-it; a decision tree, trained on the small labelled table below, keeps or drops it.
+words and link density and those of the blocks before and after it, by how much of the page's running text its
+container holds, by the elements around it, and by one hint from names; a decision tree keeps or drops it. The tree is
+trained on the labelled blocks of the small pages below.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from ._util import Step, append_columns
 #: Elements of HTML by what they do to text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tr td th figure blockquote fieldset dialog details menu select button template svg object canvas".split())
-BOILERPLATE = frozenset("nav header footer aside form dialog menu select button template svg object canvas fieldset".split())
-#: Words of class, id and role that name what isn't the article, and what is.
-BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner banners sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended trending widget widgets copyright legal pagination pager search hidden complementary contentinfo".split())
-CONTENT_WORDS = frozenset("article articles content post entry story main body text hentry".split())
+ASIDE = frozenset("nav header footer aside form dialog menu select button template svg object canvas fieldset".split())
+#: Names (of class, id and role) that hint at what an element holds: one weak feature among others.
+HINT_AGAINST = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header comment comments reply replies cookie cookies consent notice alert popup modal newsletter signup login share social related pager pagination".split())
+HINT_FOR = frozenset("article articles content post entry story main body text".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -35,112 +36,48 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_PARTS = re.compile(r"[^a-z]+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_boilerplate", "ends_sentence", "heading")
-#: Labelled blocks: the features in this order, then 1 for the article and 0 for the rest.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "held", "in_article", "in_aside", "hint", "ends_sentence", "heading")
+#: Labelled pages, one a line, annotated by hand: +12. is a text of 12 words and a full stop that belongs to the article, -12 one that doesn't.
 LABELLED = """
-1 1 0 0 1 1 0 1 0 0 0
-1 1 1 1 1 1 0 1 0 0 0
-2 1 1 1 9 0 0 1 0 0 0
-3 1 2 1 12 0 0 1 0 0 0
-2 1 0 0 2 1 0 0 0 0 0
-2 1 2 1 2 1 0 0 0 0 0
-3 1 2 1 40 0 0 0 0 0 0
-4 0.9 3 1 4 1 0 0 0 0 0
-6 1 5 1 7 1 0 0 0 0 0
-9 0 1 1 10 0 0 1 1 0 0
-8 0 2 1 120 0 0 1 1 0 0
-25 0 1 1 10 0 0 1 1 0 0
-60 0 80 0 12 0 0 1 1 0 0
-45 0 20 0.1 30 0 0 1 1 0 0
-120 0 90 0 0 0 0 1 1 0 0
-14 0.2 90 0 0 0 0 1 1 0 0
-10 0 60 0 0 0 0 1 0 0 0
-12 0 90 0 0 0 0 1 1 0 0
-5 0 3 0 4 0 0 1 0 1 0
-3 0 4 0 60 0 0 1 0 1 0
-18 0.3 40 0 0 0 1 1 1 0 0
-6 0 50 0 40 0 1 1 0 0 0
-30 0 60 0 20 0 1 1 1 0 0
-2 1 60 0 3 1 1 1 0 0 0
-50 0 80 0 60 0 1 1 1 0 0
-11 0 9 0 40 0 1 0 0 1 1
-6 0 2 1 150 0 1 0 0 1 1
-2 0 60 0 50 0 1 0 0 1 1
-11 0 9 0 3 0 1 0 1 1 1
-40 0 11 0 60 0 1 0 1 0 1
-150 0 40 0 3 0 1 0 1 0 1
-3 0 150 0 70 0 1 0 1 0 1
-1 0 80 0 30 0 1 0 1 0 1
-1 0 30 0 2 0 1 0 0 0 1
-4 0 70 0 9 0 1 0 0 0 1
-8 0 70 0 10 0 1 0 1 0 1
-5 0 12 0 14 0.2 1 0 1 0 1
-12 0 5 0 14 0.2 1 0 0 0 1
-300 0.02 11 0 60 0 1 0 1 0 1
-60 0.2 40 0 80 0.1 1 0 1 0 1
-25 0.4 60 0.1 40 0 1 0 1 0 1
-1 0 1 1 2 0 1 0 0 0 1
-7 0 1 1 12 0.1 1 0 0 1 1
-20 0 1 1 9 0 1 0 0 0 1
-4 1 60 0 50 0 1 0 0 0 1
-10 1 80 0 90 0 1 0 1 0 1
-9 0 5 1 1 0 1 0 0 1 1
-12 0 1 1 1 0 1 0 1 1 1
-1 0 9 0 45 0 1 0 0 0 1
-1 0 1 0 1 0 1 0 1 0 1
-2 0 30 0 0 0 1 0 1 0 1
-30 0 1 0 5 1 1 0 1 0 1
-80 0 12 0 2 1 1 0 1 0 1
-15 0 3 0 1 0 1 0 1 0 1
-6 0 1 0 14 0 1 0 0 1 1
-1 0 12 0 1 0 1 0 0 1 1
-45 0 70 0 0 0 1 0 1 0 1
-5 0 2 1 3 1 1 0 1 0 1
-22 0 1 1 2 1 1 0 0 0 1
-4 0 0 0 0 0 1 0 1 0 1
-70 0 0 0 0 0 1 0 1 0 1
-3 0 0 0 9 0 1 0 0 0 1
-10 0 8 0 3 0.9 1 0 1 0 1
-17 0 20 0.5 4 0.8 1 0 1 0 1
-2 0 1 0 2 0.6 1 0 0 0 1
-33 0 40 0 12 0.7 1 0 1 0 1
-1 0 1 0 1 1 1 0 0 0 1
-120 0 1 0 7 0.4 1 0 1 0 1
-1 0 0 0 1 1 0 1 0 0 0
-2 0 3 1 40 0 0 1 0 0 0
-6 0 8 1 90 0 0 1 1 0 0
-45 0 60 0 0 0 0 1 1 0 0
-80 0 3 0 2 0 0 1 1 0 0
-1 0.5 1 1 1 0.5 0 1 0 0 0
-100 0.1 50 0 40 0 0 1 1 0 0
-12 0.6 3 0 60 0 0 1 0 0 0
-4 0 70 0 80 0 0 1 0 0 0
-16 0 9 0 3 1 0 1 1 0 0
-3 0 80 0 60 0 0 0 1 0 1
-4 0 90 0 70 0 0 0 1 0 1
-2 0 45 0 66 0 0 0 1 0 1
-90 0 10 0 80 0 0 0 1 0 1
-80 0.1 90 0 60 0 0 0 1 0 1
-40 0 6 0 90 0 0 0 1 0 1
-60 0 70 0 4 0.5 0 0 1 0 1
-20 0 60 0 50 0 0 0 1 0 1
-6 0 60 0 70 0 0 0 1 0 1
-5 0 8 0.5 90 0 0 0 0 1 1
-7 0 90 0 80 0 0 0 0 1 1
-25 0 4 1 30 0 0 0 1 0 1
-15 0 40 0 30 0 0 0 0 0 1
-4 0 0 0 3 1 0 0 0 0 0
-3 0 2 1 4 0.5 0 0 0 0 0
-5 0.6 8 0.7 6 0.8 0 0 0 0 0
-7 0 3 1 2 1 0 0 0 0 0
-8 0.4 40 0 0 0 0 0 0 0 0
-5 0 60 0 2 1 0 0 0 0 0
-9 0.5 5 0.8 3 1 0 0 0 0 0
-30 0.8 20 0.9 25 0.8 0 0 0 0 0
-40 0.7 30 0.8 5 1 0 0 1 0 0
+<nav><ul><li><a>-1</a><li><a>-1</a><li><a>-2</a></ul></nav><div class=ad>-8.</div><article><h1>+9</h1><p>+45.<p>+80.<p>+3.<p>+30.</article><footer>-9.</footer>
+<nav><a>-1</a><a>-1</a></nav><div class=ad>-12.</div><article><h1>+4</h1><p>+3.</article><footer>-14.</footer>
+<nav><ul><li><a>-1</a><li><a>-1</a></ul></nav><div class=ad>-5.</div><article><h1>+12</h1><p><b>+70.</b><br><p>+8.<p>+1.</article><footer>-6</footer>
+<div><a>-1</a> <a>-1</a> <a>-2</a></div><div><div><h1>+7</h1><p>+60.<p>+35.<p>+12.</div></div><div>-15.</div><div><a>-2</a> <a>-3</a></div>
+<div><a>-1</a></div><div><a>-2</a></div><div class=x1><p>+90.<p>+40 <a>+5</a> +20.<p>+6.<p>+75.</div><div class=x2><a>-6</a><a>-5</a></div><div>-7.</div>
+<table><tr><td><a>-2</a><br><a>-2</a><br><a>-3</a></td><td><h2>+5</h2>+120.<p>+60.<p>+25.</td><td>-18.<br><a>-3</a></td></tr></table>
+<table><tr><td><a>-1</a></td><td><a>-1</a></td></tr><tr><td>+70.<br>+50.<br>+9.</td></tr><tr><td>-5</td></tr></table>
+<div class=article><h1>+6</h1><div><p>+50.<p>+44.</div><ul><li>+5<li>+7<li>+4</ul><p>+33.</div><div class=sidebar><h3>-2</h3><p>-20.</p><a>-4</a></div>
+<main><h1>+8</h1><p>+3 <a>+1</a><p>+66.<blockquote>+30.</blockquote><figure><figcaption>+9.</figcaption></figure><p>+52.</main><aside><h2>-2</h2><p>-40.<p>-22.</aside>
+<main><p>+100.<div class=ad>-11.</div><p>+80.<form><label>-3</label><button>-2</button></form><p>+60.</main>
+<article><h1>+5</h1><p>+40.<p class=advert>-9.</p><p>+70.<section class=comments><h2>-1</h2><p>-14.<p>-35.<p>-6.</section></article>
+<article><header><h1>+7</h1><p>+4</header><p>+55.<h2>+3</h2><p>+48.<h2>+2</h2><p>+36.<footer>-5 <a>-2</a></footer></article>
+<header><p>-6</p><a>-1</a></header><div id=content><h1>+6</h1><p>+58.<p>+47.<ol><li>+12.<li>+15.<li>+9.</ol></div><footer><p>-20.<p>-12.</footer>
+<div role=banner>-4</div><div class=c9><h2>+6</h2><p>+62.<p>+18.<p>+77.</div><div class=c8><h4>-2</h4><p>-16.</div><div class=c7><h4>-2</h4><ul><li><a>-5</a><li><a>-6</a><li><a>-4</a></ul></div>
+<div class=notice>-22.</div><div><p>+85.<p>+64.<p>+5.<p>+91.</div><div><p>-13.</p></div>
+<p>+40.<p>+55.<p>+20.<p>+70.
+<h1>+5</h1><p>+30.<p>+45.<hr><a>-3</a> <a>-2</a> <a>-4</a>
+<div><a>-2</a><a>-3</a></div><p>+80.<p>+15 <a>+4</a> +30.<p>+50.<p><a>-4</a></p></div>
+<div class="article has-sidebar"><h1>+6</h1><p>+40.<p>+30.<p>+25.</div><div class=rightcol><p>-25.</p><p><a>-5</a></p></div>
+<div><div><div><p>-3</p></div><div><h1>+9</h1><div><p>+66.<p>+71.</div><div><p>+42.</div></div></div></div><div><ul><li><a>-2</a><li><a>-2</a></ul></div><div>-10</div>
+<nav><a>-1</a></nav><article><p>+2.</article><footer>-3</footer>
+<nav><a>-2</a><a>-2</a></nav><div class=ad>-9.</div><article><h1>+1</h1><p>+1</article><footer>-10.</footer>
+<div><p>+120 <a>+3</a> +40.<p>+35.<p>+50.</div><div><p>-8 <a>-6</a></p><p>-5 <a>-4</a></p><p>-6 <a>-7</a></p></div>
+<div class=post><h2>+7</h2><p>+52.<p>+38.<div class=share><a>-1</a><a>-1</a></div></div><div class=comments><p>-30.<p>-45.<p>-8.</div>
+<div class=post><h2>+5</h2><p>+22.<p>+61.</div><div class=newsletter><p>-12.</p><form>-2</form></div><div class=related><a>-8</a><a>-7</a></div>
+<div><h3>-2</h3><a>-3</a><a>-3</a></div><div><p>+44.<pre>+30</pre><p>+28.<table><tr><td>+2<td>+3</tr><tr><td>+1<td>+2</tr></table><p>+60.</div>
+<aside><p>-60.<p>-40.</aside><article><h1>+4</h1><p>+20.</article>
+<div class=cookie>-30. <a>-2</a></div><div class=q1><h1>+8</h1><p>+35.<p>+48.</div><div class=q2>-6.</div>
+<article><h1>+10</h1><p>+75.</article><div class=ad>-13.</div><footer>-5</footer>
+<nav><a>-1</a></nav><article><h1>+5</h1><p>+40.<p>+31.</article>
+<div><a>-2</a></div><div><h1>+4</h1><p>+50.<p>+9.</div>
+<div class=x3><p>+60.<p>+22.<p>+12.</div>
+<article><h1>+6</h1><p>+33.<p class=advert>-8.<p>+28.<p>+4.</article>
+<div><p>+45 <a>+6</a><p>+70.<p>+26.<p>+17.</div>
+<nav><ul><li><a>-1</a></ul></nav><div>-10.</div><article><h1>+8</h1><p>+200.<p>+90.</article><div>-18.</div>
 """
+_MARK = re.compile(r"([+-])(\d+)(\.?)")
 
 
 # --- the tree -------------------------------------------------------------------------------------------------------
@@ -169,9 +106,18 @@ def fit_tree(rows: list[list[float]], depth: int = 8, least: int = 1):
     return f, cut, fit_tree([r for r in rows if r[f] <= cut], depth - 1, least), fit_tree([r for r in rows if r[f] > cut], depth - 1, least)
 
 
+def labelled_table() -> list[list[float]]:
+    """The features of the labelled blocks, then 1 for the article and 0 for the rest."""
+    table = []
+    for line in LABELLED.strip().split("\n"):
+        page = _MARK.sub(lambda m: " ".join(["yes" if m[1] == "+" else "no"] * int(m[2])) + m[3], line)
+        table += [[*x, float("yes" in text.replace(".", "").split())] for text, x in described(page)]
+    return table
+
+
 @cache
 def default_tree():
-    return fit_tree([[float(x) for x in line.split()] for line in LABELLED.split("\n") if line.strip()])
+    return fit_tree(labelled_table())
 
 
 def predict(tree, x) -> float:
@@ -183,25 +129,28 @@ def predict(tree, x) -> float:
 # --- blocks ---------------------------------------------------------------------------------------------------------
 
 
-def _role(tag: str, attributes: str) -> int:
-    """-1: not the article, 1: the article, 0: neither."""
-    if tag in BOILERPLATE:
-        return -1
-    words: set[str] = set()
+def _hint(attributes: str) -> int:
+    """What the names of an element hint at: 1 for the article, -1 against it, 0 for neither or both.
+
+    A name counts by its last part (site-footer), unless it says what the element has (has-sidebar).
+    """
+    found = set()
     if "=" in attributes:
         for m in _NAMED.finditer(attributes):
-            words.update(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
-    if words & BOILERPLATE_WORDS or (attributes and _HIDDEN.search(attributes)):
-        return -1
-    return 1 if tag in ("article", "main") or words & CONTENT_WORDS else 0
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = [x for x in _PARTS.split(name) if x]
+                if parts and parts[0] not in ("has", "with", "no"):
+                    found.add(parts[-1])
+    return bool(found & HINT_FOR) - bool(found & HINT_AGAINST)
 
 
-def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """The text blocks of a page with their own features: words, links, in_article, in_boilerplate, ends_sentence, heading."""
-    found: list[tuple[str, list[float]]] = []
+def blocks(page: str) -> list[tuple[str, list[float], tuple[int, ...]]]:
+    """The text blocks of a page: text, [words, links, in_article, in_aside, hint, ends_sentence, heading], and the containers around it, outermost first."""
+    found: list[tuple[str, list[float], tuple[int, ...]]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []
-    state = {"link": 0, "linked": 0, "good": 0, "bad": 0, "heading": 0}
+    stack: list[tuple[str, int, int, bool]] = []  # tag, number, hint, aside
+    path: tuple[int, ...] = ()
+    state = {"link": 0, "linked": 0, "heading": 0, "made": 0, "own": 0}
 
     def add(text: str) -> None:
         if text:
@@ -213,8 +162,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     def flush() -> None:
         words = "".join(parts).split()
         if words:
-            # a header, form or the like inside the article still isn't the article's text
-            found.append((" ".join(words), [float(len(words)), min(1.0, state["linked"] / len(words)), float(state["good"] > 0), float(state["bad"] > 0), float(words[-1][-1] in ".!?…:\"”'"), float(state["heading"] > 0)]))
+            near = state["own"] or next((h for _, _, h, _ in reversed(stack) if h), 0)
+            article = any(t in ("article", "main") for t, *_ in stack)
+            found.append((" ".join(words), [float(len(words)), min(1.0, state["linked"] / len(words)), float(article), float(any(x for *_, x in stack)), float(near), float(words[-1][-1] in ".!?…:\"”'"), float(state["heading"] > 0)], path))
         parts.clear()
         state["linked"] = 0
 
@@ -228,54 +178,67 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 flush()
             continue
         tag, closes = tag.lower(), bool(m[2])
-        if tag == "a":
-            state["link"] = 0 if closes else 1
+        if tag == "a":  # a link may hold blocks; it ends at its end tag, at the next link or with the container around it
+            state["link"] = 0 if closes else len(stack) + 1
         if tag in INLINE:
             continue
         flush()
-        state["link"] = 0
+        state["own"] = 0
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             state["heading"] = 0 if closes else 1
-        elif tag in CONTAINERS:
+        if tag in CONTAINERS:
             state["heading"] = 0
             if not closes:
-                role = _role(tag, m[4])
-                if tag == "header" and state["good"]:
-                    role = 0  # the heading of the article
-                if tag in ("html", "body"):
-                    role = 0
                 if not m[4].endswith("/"):
-                    stack.append((tag, role))
-                    state["good"] += role > 0
-                    state["bad"] += role < 0
-            elif any(t == tag for t, _ in stack):
-                while True:
-                    t, role = stack.pop()
-                    state["good"] -= role > 0
-                    state["bad"] -= role < 0
-                    if t == tag:
-                        break
+                    # the header of an article is its heading; what is hidden is as good as aside
+                    aside = (tag in ASIDE and not (tag == "header" and any(t in ("article", "main") for t, *_ in stack))) or bool(m[4] and _HIDDEN.search(m[4]))
+                    state["made"] += 1
+                    stack.append((tag, state["made"], 0 if tag in ("html", "body") else _hint(m[4]), aside))
+            elif any(t == tag for t, *_ in stack):
+                while stack.pop()[0] != tag:
+                    pass
+                if state["link"] > len(stack) + 1:
+                    state["link"] = 0
+            path = tuple(k for _, k, *_ in stack)
+        elif not closes:
+            state["own"] = _hint(m[4])
     add(page[at:])
     flush()
     return found
 
 
+def described(page: str) -> list[tuple[str, list[float]]]:
+    """The blocks of a page with all ``FEATURES``.
+
+    ``held``: the share of the page's unlinked words in the smallest container of the block that holds at least half
+    of them, if there is one below the page's own; else the share of the block's outermost container. Blocks outside have the share of theirs.
+    """
+    own = blocks(page)
+    loose = [x[0] * (1 - x[1]) for _, x, _ in own]
+    total = sum(loose) or 1.0
+    held: dict[int, float] = {}
+    for n, (_, _, path) in zip(loose, own, strict=True):
+        for k in path:
+            held[k] = held.get(k, 0.0) + n
+    main = max((k for k, n in held.items() if 2 * n >= total), default=0)  # containers are numbered from the outside in
+    out = []
+    for k, (text, x, path) in enumerate(own):
+        before, after = own[k - 1][1] if k else (0.0, 0.0), own[k + 1][1] if k + 1 < len(own) else (0.0, 0.0)
+        share = (held[main] / total if main else 1.0) if main in path or not main else max((held[c] / total for c in path if 2 * held[c] < total), default=0.0)
+        out.append((text, [x[0], x[1], before[0], before[1], after[0], after[1], share, *x[2:]]))
+    return out
+
+
 def main_text(page: str | None, tree=None) -> str:
     """The article's blocks in page order, joined by one space. Null and empty pages give an empty text."""
-    own = blocks(page or "")
     tree = default_tree() if tree is None else tree
-    kept = []
-    for k, (text, x) in enumerate(own):
-        before, after = own[k - 1][1] if k else (0.0, 0.0), own[k + 1][1] if k + 1 < len(own) else (0.0, 0.0)
-        if predict(tree, (x[0], x[1], before[0], before[1], after[0], after[1], x[2], x[3], x[4], x[5])) >= 0.5:
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join([text for text, x in described(page or "") if predict(tree, x) >= 0.5])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with ``out_col``: the main text of the whole page, empty if none; a column of that name is replaced.
 
-    Broken markup is read as far as it goes: a tag without an end is ended by the next
+    Null and empty pages give an empty text; repeated rows are read one by one, and an empty table gives an empty one. Broken markup is read as far as it goes: a tag without an end is ended by the next
     one or the page; an end tag without a start is skipped.
     """
 
