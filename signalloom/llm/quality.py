@@ -2,7 +2,7 @@
 
 Trusted positives (label 1) and unlabelled web text train a small network that
 minimises the non-negative unbiased risk: prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)).
-The class prior is estimated from labelled rows, or, without negatives
+A text is described by its hashed byte trigrams and by a few statistics of its words and lines. The class prior is estimated from labelled rows, or, without negatives
 among them, from how a positive-versus-unlabelled model scores the positives it hasn't seen.
 
 The model is fitted on a bounded sample, at most about ``POSITIVES`` labelled and ``UNLABELLED``
@@ -25,6 +25,10 @@ from ._util import Step, append_columns, documents
 from .language_id import held_out
 
 POSITIVES, UNLABELLED, HIDDEN, EPOCHS, RATE, DECAY, SEED = 4000, 8000, 16, 400, 0.02, 1e-4, 7
+#: Buckets of the trigrams' hash; bytes of a text that are hashed at once.
+BUCKETS, _PIECE = 512, 1 << 20
+#: Weight of a trigram's bucket beside a statistic: there are many, and each says little.
+GRAM_WEIGHT = 0.05
 THRESHOLD = 0.3
 
 FEATURES = (
@@ -60,6 +64,21 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def trigrams(text: str | None) -> np.ndarray:
+    """The square root of each bucket's share of the trigrams of a text, all of them; zeros below three bytes."""
+    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    out = np.zeros(BUCKETS)
+    for at in range(0, len(data) - 2, _PIECE):
+        a = data[at : at + _PIECE + 2].astype(np.uint32)
+        h = (a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+        out += np.bincount(h, minlength=BUCKETS)
+    return np.sqrt(out / max(1, len(data) - 2))
+
+
+def described(text: str | None) -> np.ndarray:
+    return np.concatenate([features(text), trigrams(text)]).astype(np.float32)
+
+
 class Network:
     """One hidden layer on standardised features."""
 
@@ -77,9 +96,13 @@ class Network:
 def _fit(x: np.ndarray, gradient, seed: int = SEED) -> Network:
     """Adam on the loss whose derivative by the margins is ``gradient(margins)``."""
     rng = np.random.default_rng(seed)
+    n = len(FEATURES)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - mean) / scale, -8, 8)
-    w = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+    scale[n:] /= GRAM_WEIGHT
+    z = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
+    w = [rng.normal(0, 1 / np.sqrt(min(n, z.shape[1])), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+    w[0][n:] = 0
+    w = [p.astype(np.float32) for p in w]
     m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
     for t in range(1, EPOCHS + 1):
         h = np.tanh(z @ w[0] + w[1])
@@ -97,23 +120,26 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risks(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risk of positives, and the unbiased estimate of that of negatives (which can fall below zero), by the margins of trusted positives and unlabelled rows."""
+    return prior * np.logaddexp(0, -p).mean(), np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+
+
+def risk_gradient(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The direction of a step: the gradient of both risks, or, where that of negatives is below zero, against its own."""
+    minus_p, minus_u = -prior * _sigmoid(p) / len(p), _sigmoid(u) / len(u)
+    if risks(p, u, prior)[1] >= 0:
+        return np.concatenate([prior * (_sigmoid(p) - 1) / len(p) + minus_p, minus_u])
+    return np.concatenate([-minus_p, -minus_u])
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
     """Minimises the non-negative risk with the logistic loss.
 
     Where the estimated risk of negatives falls below zero, the step goes against it, as the method has it.
     """
-    n_p, n_u = len(positive), len(unlabelled)
-
-    def gradient(margin):
-        p, u = margin[:n_p], margin[n_p:]
-        risk = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-        plus = prior * (_sigmoid(p) - 1) / n_p
-        minus_p, minus_u = -prior * _sigmoid(p) / n_p, _sigmoid(u) / n_u
-        if risk >= 0:
-            return np.concatenate([plus + minus_p, minus_u])
-        return np.concatenate([-minus_p, -minus_u])
-
-    return _fit(np.concatenate([positive, unlabelled]), gradient)
+    n_p = len(positive)
+    return _fit(np.concatenate([positive, unlabelled]), lambda margin: risk_gradient(margin[:n_p], margin[n_p:], prior))
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_negative: int) -> float:
@@ -131,12 +157,12 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int
     return float(min(0.99, max(0.01, (plain.score(unlabelled).mean() / labelled - share) / (1 - share))))
 
 
-_FIELD = [T.StructField("_x", T.ArrayType(T.DoubleType(), False))]
+_FIELD = [T.StructField("_x", T.BinaryType())]
 
 
 def _features():
     def step(texts):
-        return [pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))]
+        return [pa.array([described(t.as_py()).tobytes() for t in texts], pa.binary())]
 
     return step
 
@@ -159,14 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     unl = append_columns(_some(docs, docs.count(), UNLABELLED, 2), step, drop=("text",)).orderBy("doc_id", "_x").collect()
     if not pos or not unl:
         return None
-    p, u = np.array([r["_x"] for r in pos]), np.array([r["_x"] for r in unl])
+    p, u = (np.stack([np.frombuffer(r["_x"], np.float32) for r in rows]) for rows in (pos, unl))
     return fit_pu(p, u, estimate_prior(p, u, n_pos, n_neg))
 
 
 def score(docs: DataFrame, model: Network | None) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= THRESHOLD).
 
-    Null and empty texts are scored like texts without words. Without a model every score is 0.5.
+    Null and empty texts are scored like texts without words; each row is scored alone, repeated or not; an empty table gives an empty one. Without a model every score is 0.5.
     Columns of ``docs`` with those names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,8 +201,10 @@ def score(docs: DataFrame, model: Network | None) -> DataFrame:
         net = shared.value
 
         def step(texts):
-            x = np.array([features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
-            s = net.score(x) if net else np.full(len(x), 0.5)
+            if net:
+                s = net.score(np.stack([described(t.as_py()) for t in texts])).astype(np.float64) if len(texts) else np.zeros(0)
+            else:
+                s = np.full(len(texts), 0.5)
             return [pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
 
         return step
