@@ -17,16 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import documents, written
+from ._util import documents, numbered_columns, written
 
 #: Fixed values of the mix.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-BINS, STEPS, TOLERANCE = 1024, 40, 1e-9
+BINS, STEPS, TOLERANCE = 1024, 200, 1e-9
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``: its words, runs without white space; null text has none."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+def _words(text: Column) -> Column:
+    """Runs without white space; null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -93,19 +93,21 @@ def solve(sized: DataFrame) -> DataFrame:
             .withColumn("lam", F.when(F.col("got").isNull() | (F.col("miss") < TOLERANCE), F.col("lam")).when((F.col("stepped") > F.col("low")) & (F.col("stepped") < F.col("high")), F.col("stepped")).otherwise(middle))
         )
         state = written(moved.select(*state.columns), "mix-state")
-        if (state.agg(F.max("miss")).first()[0] or 0) < TOLERANCE:
+        miss = state.agg(F.max("miss")).first()[0] or 0
+        if miss < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the tilts still miss a target by {miss} of it after {STEPS} steps")
     return state.select("source", "source_size", "target", "mean_size", "lam", "full")
 
 
-def with_rate(sized: DataFrame, state: DataFrame, key: Column) -> DataFrame:
-    """``sized`` with source_size, target, rate and ``_u``, a hash of the row in [0, 1)."""
-    drop = [c for c in sized.columns if c.lower() in ("source_size", "target", "mean_size", "lam", "full", "_src", "rate", "_u")]
-    state = state.withColumnRenamed("source", "_src")
+def with_rate(sized: DataFrame, state: DataFrame) -> DataFrame:
+    """``sized`` (source, size, key) with source_size, target, rate, full, shift and ``u``, a hash of the row in [0, 1)."""
+    state = state.withColumnRenamed("source", "src")
     mean, _ = _tilt(F.col("lam"), F.col("size") / F.col("mean_size"))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("full"), float(CAP)).otherwise(mean)
-    u = F.shiftrightunsigned(key, 12) / float(1 << 52)
-    return sized.withColumn("_u", u).drop(*[c for c in drop if c != "_u"]).join(state, F.col("source").eqNullSafe(F.col("_src"))).withColumn("rate", rate)
+    u = F.shiftrightunsigned("key", 12) / float(1 << 52)
+    return sized.withColumn("u", u).join(state, F.col("source").eqNullSafe(F.col("src"))).withColumn("rate", rate)
 
 
 def offsets(rated: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def offsets(rated: DataFrame) -> DataFrame:
     """
     step = written(
         rated.where("size > 0 and not full")
-        .select("source", "target", "size", F.explode(F.array(*[F.lit(float(k)) - F.col("rate") - F.col("_u") for k in range(1, CAP + 1)])).alias("d"))
+        .select("source", "target", "size", F.explode(F.array(*[F.lit(float(k)) - F.col("rate") - F.col("u") for k in range(1, CAP + 1)])).alias("d"))
         .groupBy("source", "target", "d").agg(F.sum("size").alias("w")),
         "mix-steps",
     )
@@ -138,49 +140,55 @@ def offsets(rated: DataFrame) -> DataFrame:
     return state.select("src", shift.alias("shift"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` and ``_key``, a hash of the row."""
-    return with_size(docs).withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))))
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``size`` and ``key``, a hash of the row."""
+    key = F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.coalesce(F.col(text), F.lit("")))
+    return docs.withColumns({"size": _words(F.col(text)), "key": key})
 
 
 def plan(meta: DataFrame) -> DataFrame:
-    """The state of each source, from doc_id, source, size and _key of all rows (read several times: a table)."""
+    """The state of each source, from source, size and key of all rows (read several times: a table)."""
     state = solve(meta)
-    shifts = offsets(with_rate(meta, state, F.col("_key")))
+    shifts = offsets(with_rate(meta, state))
     return written(state.join(shifts, F.col("source").eqNullSafe(F.col("src")), "left").drop("src"), "mix-plan")
 
 
 def taken(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """``rows`` (with source, size and _key) with source_size, target, rate, copies and taken."""
-    copies = F.least(F.greatest(F.floor(F.col("rate") + F.col("_u") + F.coalesce("shift", F.lit(0.0))), F.lit(0)), F.lit(CAP))
+    """``rows`` (with source, size and key) with source_size, target, rate, copies and taken."""
+    copies = F.least(F.greatest(F.floor(F.col("rate") + F.col("u") + F.coalesce("shift", F.lit(0.0))), F.lit(0)), F.lit(CAP))
     copies = F.when(F.col("size") == 0, 1).when(F.col("full"), CAP).otherwise(copies).cast("int")
-    return with_rate(rows, state, F.col("_key")).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return with_rate(rows, state).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 NEW = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
+def _mixed(docs: DataFrame, drop: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """The rows of the mix with NEW, the columns of ``docs`` under names of their own, and how to call them back."""
+    work, names, now = numbered_columns(docs, drop)
+    rows = keyed(work, now["doc_id"], now["text"]).withColumn("source", F.col(now["source"]))
+    state = plan(written(rows.select("source", "key", "size"), "mix-rows"))
+    return taken(rows, state), [F.col(n).alias(c) for n, c in zip(now.values(), names, strict=True)]
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken.
 
     Rows without words are taken once and count nothing. A source whose target is CAP
     times its size is taken CAP times. Rows equal in doc_id and text share their copies;
-    null ids and texts are hashed like values. A table without words has targets of 0. Columns of ``docs``
-    with the names of the result are replaced.
+    null ids and texts are hashed like values, and null sources are one source. A table without words has targets of 0. An empty table gives an
+    empty one. Columns of ``docs`` with the names of the result are replaced, all others kept as they are.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in NEW])
-    rows = keyed(docs)
-    state = plan(written(rows.select("source", "_key", "size"), "mix-rows"))
-    return taken(rows, state).select(*docs.columns, *NEW)
+    rows, back = _mixed(docs, NEW)
+    return rows.select(*back, *NEW)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of the mix, each as often as it is taken, with the columns of ``docs``."""
-    rows = keyed(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumns({c: F.col(f"in_{c}") for c in ("doc_id", "text", "source")}))
-    state = plan(written(rows.select("source", "_key", "size"), "mix-rows"))
-    return taken(rows, state).withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    """The rows of the mix (see ``mix``), each as often as it is taken, with the columns of ``docs``, whatever these are called."""
+    rows, back = _mixed(docs, ())
+    return rows.withColumn("copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*back)
 
 
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = written(keyed(documents(spark, sf_dir)).select("doc_id", "source", "_key", "size"), "mix-rows")
+    meta = written(keyed(documents(spark, sf_dir)).select("doc_id", "source", "key", "size"), "mix-rows")
     return taken(meta, plan(meta)).select("doc_id", *NEW)
