@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows up to which a dimension table may be broadcast; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a dimension table is marked for broadcasting, and the rows that are weighed to know; beyond, Spark plans the join by itself.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 500_000
 
 
 def dimension(df: DataFrame, bound: int | None = None) -> DataFrame:
-    """``df`` marked for broadcasting if its size is known to be small: ``bound`` rows by contract, or counted."""
-    rows = bound if bound is not None else df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df`` marked for broadcasting if it is known to be small.
+
+    With ``bound``, rows by contract, the width of its columns decides, without a job. Otherwise at most ``BROADCAST_ROWS`` rows are weighed
+    in one job; a table with more rows or bytes is left to the planner, which sees real sizes while it runs.
+    """
+    if bound is not None:
+        wide = sum({"string": 64}.get(f.dataType.typeName(), 16) for f in df.schema.fields)
+        return F.broadcast(df) if bound * wide <= BROADCAST_BYTES else df
+    weight = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def dedup(df: DataFrame, fingerprint: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -60,11 +68,21 @@ def changelog(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     return df.withColumns({"cumulative": F.sum(value).over(w), "window_start": F.min(start).over(w), "window_end": F.max(end).over(w)})
 
 
-def bounds_extensions(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str) -> DataFrame:
-    """``df`` with ``extends``: 1 where ``at`` is before the first or after the last of its key so far."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.min(at).over(before), F.max(at).over(before)
-    return df.withColumn("extends", F.when(low.isNull() | (F.col(at) < low) | (F.col(at) > high), 1).otherwise(0))
+def bounds_extensions(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``extends``: 1 where ``at`` is before the first or after the last of its key so far.
+
+    Two levels, so that a busy key isn't one task: the extremes of each slice of ``width`` arrivals (the first column of ``order``, a whole
+    number) are carried into the slices behind it; rows are then read slice by slice. A slice without rows costs nothing.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(order[0]) / width))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sliced.groupBy(*keys, "_slice").agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.min(order[0]).alias(order[0]))
+    carried = ends.withColumns({"_low": F.min("_low").over(earlier), "_high": F.max("_high").over(earlier), "_row": F.lit(0)})
+    both = sliced.withColumns({"_row": F.lit(1), "_low": F.col(at), "_high": F.col(at)}).unionByName(carried, allowMissingColumns=True)
+    before = Window.partitionBy(*keys, "_slice").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.min("_low").over(before), F.max("_high").over(before)
+    out = both.withColumn("extends", F.when(low.isNull() | (F.col(at) < low) | (F.col(at) > high), 1).otherwise(0))
+    return out.where("_row = 1").select(*df.columns, "extends")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,10 +113,13 @@ def trace_records(spans: DataFrame, status: Column) -> DataFrame:
     )
 
 
-def group_for_export(records: DataFrame, resource: Sequence[str], groups: int = 64) -> DataFrame:
-    """Spans with ids grouped by equal resource (S13), in chunks of a resource so that no group is gathered whole."""
-    chunk = F.pmod(F.xxhash64("trace_id", "span_id"), F.lit(groups))
-    return records.where("trace_id is not null").groupBy(*resource, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("trace_id", "span_id", "name", "start", "end"))).alias("spans"))
+def group_for_export(records: DataFrame, resource: Sequence[str], most: int = 4096) -> DataFrame:
+    """Spans with ids grouped by equal resource (S13), in chunks of about ``most`` spans, as many as a resource's count needs."""
+    traced = records.where("trace_id is not null")
+    chunks = traced.groupBy(*[F.col(c).alias(f"_{c}") for c in resource]).agg(F.ceil(F.count(F.lit(1)) / most).alias("_chunks"))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in resource])
+    dealt = traced.join(chunks, on).withColumn("chunk", F.pmod(F.xxhash64("trace_id", "span_id"), F.col("_chunks")))
+    return dealt.groupBy(*resource, "chunk").agg(F.array_sort(F.collect_list(F.struct("trace_id", "span_id", "name", "start", "end"))).alias("spans"))
 
 
 def route_family(df: DataFrame) -> DataFrame:

@@ -149,33 +149,50 @@ def resolve_module(samples: DataFrame, maps: DataFrame) -> DataFrame:
     return found.select(*samples.columns, F.when(inside, F.col("path")).alias("module"), F.when(inside, F.col("file_offset") + F.col("ip") - F.col("range_start")).alias("module_offset"))
 
 
+def _by_address(frames: DataFrame, keys: Sequence[str], found: DataFrame, column: str) -> DataFrame:
+    """``frames`` with ``column`` of ``found``, which has a row for each of their distinct ``keys``."""
+    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], column)
+    return frames.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").select(*frames.columns, column)
+
+
 def resolve_function(frames: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``frames`` (module, module_offset) with function (J12): the symbol of the greatest start; a size of 0 has no end."""
-    found = as_of(frames, symbols, ("module",), "module_offset", "start", ("size", "name"), ("name",))
+    """``frames`` (module, module_offset) with function (J12): the symbol of the greatest start; a size of 0 has no end.
+
+    Distinct addresses are resolved and joined back, so a library that the whole fleet uses costs its size, not its samples.
+    """
+    keys = ("module", "module_offset")
+    found = as_of(frames.select(*keys).distinct(), symbols, keys[:1], "module_offset", "start", ("size", "name"), ("name",))
     inside = (F.col("size") == 0) | (F.col("module_offset") < F.col("range_start") + F.col("size"))
-    return found.select(*frames.columns, F.when(inside, F.col("name")).alias("function"))
+    return _by_address(frames, keys, found.withColumn("function", F.when(inside, F.col("name"))), "function")
 
 
 def resolve_kernel(frames: DataFrame, kallsyms: DataFrame) -> DataFrame:
     """``frames`` (host, ip) with function (J13): a symbol ends where the next begins; the last matches only exactly; zero addresses are dropped."""
     known = kallsyms.where("address > 0").groupBy("host", "address").agg(F.max("name").alias("name"))
     ends = known.withColumn("next", F.lead("address").over(Window.partitionBy("host").orderBy("address")))
-    found = as_of(frames, ends, ("host",), "ip", "address", ("next", "name"))
+    found = as_of(frames.select("host", "ip").distinct(), ends, ("host",), "ip", "address", ("next", "name"))
     inside = F.col("next").isNotNull() | (F.col("ip") == F.col("range_start"))
-    return found.select(*frames.columns, F.when(inside, F.col("name")).alias("function"))
+    return _by_address(frames, ("host", "ip"), found.withColumn("function", F.when(inside, F.col("name"))), "function")
+
+
+#: Bits of an address within a page, by level: a range lies on the first level where it covers at most 2 ** 8 pages (and one more).
+PAGE_BITS = (12, 20, 28, 36, 44, 52)
 
 
-def resolve_jit(frames: DataFrame, perfmap: DataFrame, bits: int = 12) -> DataFrame:
-    """``frames`` (host, pid, seq, ip) with function (J14). Ranges may overlap: the greatest start that holds the address, of equal starts the last line.
+def resolve_jit(frames: DataFrame, perfmap: DataFrame) -> DataFrame:
+    """``frames`` (host, pid, ip, ...) with function (J14). Ranges may overlap: the greatest start that holds the address, of equal starts the last line.
 
-    Ranges are cut into pages of ``2 ** bits`` addresses and joined by page, so only ranges near an address are tried.
+    Ranges are cut into pages and joined by page, so only ranges near an address are tried; large ranges have larger pages. Each distinct address looks on all levels.
     """
-    page = F.explode(F.sequence(F.shiftright("start", bits), F.shiftright(F.col("start") + F.col("size") - 1, bits)))
-    cut = perfmap.where("size > 0").select("host", "pid", "start", "size", "name", "line_no", page.alias("_page"))
-    f, r = frames.withColumn("_page", F.shiftright("ip", bits)), cut
-    on = (f["host"] == r["host"]) & (f["pid"] == r["pid"]) & (f["_page"] == r["_page"]) & (f["ip"] >= r["start"]) & (f["ip"] < r["start"] + r["size"])
-    hit = f.join(r, on, "left").groupBy(*[f[c] for c in frames.columns]).agg(F.max_by(r["name"], F.struct(r["start"], r["line_no"])).alias("function"))
-    return hit
+    bits = F.coalesce(*[F.when(F.shiftright("size", b) <= 256, F.lit(b)) for b in PAGE_BITS], F.lit(PAGE_BITS[-1]))
+    levels = perfmap.where("size > 0").select("host", "pid", "start", "size", "name", "line_no", bits.alias("_bits"))
+    first, last = F.expr("shiftright(start, _bits)"), F.expr("shiftright(start + size - 1, _bits)")
+    r = levels.withColumn("_page", F.explode(F.sequence(first, last)))
+    keys = ("host", "pid", "ip")
+    f = frames.select(*keys).distinct().withColumn("_bits", F.explode(F.array(*map(F.lit, PAGE_BITS)))).withColumn("_page", F.expr("shiftright(ip, _bits)"))
+    on = reduce(and_, [f[c] == r[c] for c in ("host", "pid", "_bits", "_page")]) & (f["ip"] >= r["start"]) & (f["ip"] < r["start"] + r["size"])
+    hit = f.join(r, on).groupBy(*[f[c] for c in keys]).agg(F.max_by(r["name"], F.struct(r["start"], r["line_no"])).alias("function"))
+    return _by_address(frames, keys, hit, "function")
 
 
 def parse_maps(lines: DataFrame) -> DataFrame:
