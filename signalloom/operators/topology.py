@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64
-from .common import bounds_extensions, dedup
+from .common import bounds_extensions, dedup, in_order
 from .network import workload
 
 EDGE = ("host", "workload", "container_id", "remote_address", "remote_port", "protocol")
@@ -29,14 +29,68 @@ def path_labels(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"source_label": source, "destination_label": destination, "path_label": F.concat(source, F.lit("->"), destination)})
 
 
-def service_paths(edges: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Paths between labels (A15): the greatest cumulative count of their edges, plus answers with a new time."""
-    by = ("host", "path_label", "source_label", "destination_label")
-    total = path_labels(edges).groupBy(*by).agg(F.max("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    if answers is not None:
-        total = total.unionByName(path_labels(answers).groupBy(*by).agg(F.sum("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")))
-        total = total.groupBy(*by).agg(F.max("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    return total
+PATH = ("host", "path_label", "source_label", "destination_label")
+
+
+def service_paths(edges: DataFrame) -> DataFrame:
+    """Paths between labels of aggregated edges (A15): the greatest cumulative count of their edges."""
+    return _greatest(path_labels(edges))
+
+
+def _greatest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(*PATH).agg(F.max("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def _path_state():
+    """Count, first and last time of one path, in order of arrival: (feed, end)."""
+    now: list = []
+
+    def feed(seq, answer, count, low, high, source, destination):
+        if not now:
+            now[:] = [source, destination, count, low, high]
+        else:
+            if not answer:
+                now[2] = max(now[2], count)
+            elif not low == high == now[4]:
+                now[2] += count
+            now[3:] = min(now[3], low), max(now[4], high)
+        return []
+
+    return feed, lambda: [tuple(now)]
+
+
+def observed_paths(opens: DataFrame, answers: DataFrame) -> DataFrame:
+    """Paths of connections and of DNS answers (A15). ``opens`` and ``answers`` have the columns that name a path, ``ts`` and ``seq``.
+
+    A connection gives its edge's cumulative count, of which the greatest counts; an answer adds one unless its time is the path's last.
+    Paths that only one of them feeds are aggregated; only those that both feed are read in order, by a small state.
+    """
+    named = ("source_owner", "destination_owner", "domain", "remote_address", "remote_port")
+
+    def labelled(df: DataFrame) -> DataFrame:
+        kind = {"remote_port": "int"}
+        full = df.withColumns({c: F.lit(None).cast(kind.get(c, "string")) for c in named if c not in df.columns})
+        return path_labels(full.withColumn("workload", workload()))
+
+    def of(df: DataFrame, paths: DataFrame, how: str) -> DataFrame:
+        return df.join(paths, df["host"].eqNullSafe(paths["_host"]) & (df["path_label"] == paths["_path"]), how)
+
+    e, a = labelled(opens), labelled(answers.where("response_code = 'no_error' and domain is not null"))
+    both = e.select("host", "path_label").intersect(a.select("host", "path_label")).toDF("_host", "_path")
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return bounds_extensions(rows, (*EDGE, *PATH[1:]), ("seq",), "ts")
+
+    spans = F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
+    by_edge = edges(of(e, both, "left_anti")).groupBy(*EDGE, *PATH[1:]).agg(F.sum("extends").alias("observations"), *spans)
+    before = F.max("ts").over(Window.partitionBy(*PATH).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    counted = of(a, both, "left_anti").withColumn("_last", before)
+    only_answers = counted.groupBy(*PATH).agg(F.sum(F.when(F.col("_last").isNull() | (F.col("ts") != F.col("_last")), 1).otherwise(0)).alias("observations"), *spans)
+    so_far = Window.partitionBy(*EDGE, *PATH[1:]).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    updates = edges(of(e, both, "left_semi")).where("extends = 1").select("host", "path_label", "seq", F.lit(0).alias("_answer"), F.count(F.lit(1)).over(so_far).alias("_count"), F.min("ts").over(so_far).alias("_low"), F.max("ts").over(so_far).alias("_high"), *PATH[2:])
+    each = of(a, both, "left_semi").select("host", "path_label", "seq", F.lit(1), F.lit(1).cast("long"), "ts", F.col("ts"), *PATH[2:])
+    mixed = in_order(updates.union(each), ("host", "path_label"), ("seq", "_answer"), _path_state, "host string, path_label string, source_label string, destination_label string, observations long, first_seen long, last_seen long")
+    return _greatest(by_edge).unionByName(only_answers).unionByName(mixed)
 
 
 def path_ids(paths: DataFrame) -> DataFrame:

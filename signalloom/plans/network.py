@@ -229,10 +229,7 @@ LABELS = "coalesce(workload, 'container:' || container_id, 'unknown')"
     SELECT host, source_label || '->' || destination_label AS path_label, source_label, destination_label, max(observations) AS observations, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM u GROUP BY host, source_label, destination_label"""),
 )
 def a15(spark, d):
-    null = F.lit(None).cast("string")
-    edges = topology.dependency_edges(connections(spark, d).where("kind = 'open'")).withColumns({"source_owner": null, "destination_owner": null, "domain": null})
-    names = dns.domain_edges(resolver(spark, d)).withColumns({"source_owner": null, "destination_owner": null, "remote_address": null, "remote_port": null})
-    return topology.service_paths(edges.unionByName(names, allowMissingColumns=True))
+    return topology.observed_paths(connections(spark, d).where("kind = 'open'"), resolver(spark, d))
 
 
 @query("a15_path_ids")
