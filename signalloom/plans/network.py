@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import attribution, common, dns, network, peer, topology
+from ..functions.hashing import hash_sql
 from .adapters import adapt, oracle
-from .registry import query
+from .registry import ORACLES, query
 
 
 def connections(spark, d):
@@ -232,7 +233,7 @@ def a15(spark, d):
     return topology.observed_paths(connections(spark, d).where("kind = 'open'"), resolver(spark, d))
 
 
-@query("a15_path_ids")
+@query("a15_path_ids", f"SELECT host, path_label, {hash_sql('path_label')} AS path_id FROM ({ORACLES['a15_service_paths']})")
 def a15_ids(spark, d):
     return topology.path_ids(a15(spark, d)).select("host", "path_label", "path_id")
 
