@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, html_text, language_id, media, mixing, msd_dedup, ngram_join, quality, suffix_dedup, token_counts, vector_codes
+from . import bpe, html_text, language_id, lexical, media, mixing, msd_dedup, ngram_join, quality, suffix_dedup, token_counts, vector_codes
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_exact_dedup": msd_dedup.op10_exact_dedup,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op10_exact_dedup": msd_dedup.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }
