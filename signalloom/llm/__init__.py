@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, html_text, language_id, lexical, media, mixing, msd_dedup, ngram_join, quality, suffix_dedup, token_counts, vector_codes
+from . import bpe, html_text, language_id, lexical, media, mixing, msd_dedup, ngram_join, quality, suffix_dedup, token_counts, vector_codes, wavelet
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_exact_dedup": msd_dedup.op10_exact_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_token_files": wavelet.op12_token_files,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
