@@ -33,7 +33,7 @@ SEPARATORS = (*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 WEIGHT, IMPACT, SATURATION, LENGTH, SHARE = 1000, 1_000_000_000, 1000, 12, 25
 TOP = 20
 #: Bytes of text in a shard, and of items in a block.
-SHARD_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 #: Strata visited at first, and how much more each further time.
 _FIRST, _MORE = 16, 4
 
@@ -112,7 +112,15 @@ class Index:
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Index:
     """Indexes every whole text of ``docs`` (doc_id, text). Null and empty texts, and those without terms, aren't found by anything; repeated rows are documents of their own."""
-    n, length = docs.select(F.regexp_count("text", F.lit(PATTERN)).cast("long").alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(2, np.int64)
+        for b in batches:
+            for t in b.column("text"):
+                k = len(terms(t.as_py() or ""))
+                found += k > 0, k
+        yield pa.RecordBatch.from_pydict({"n": found[:1], "length": found[1:]})
+
+    n, length = docs.select("text").mapInArrow(count, "n long, length long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, held, k = [], [], 0, TaskContext.get().partitionId() << 24
