@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .running import running
+
 #: Bytes up to which a dimension table is marked for broadcasting, and the rows that are weighed to know; beyond, Spark plans the join by itself.
 BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 500_000
 
@@ -64,8 +66,7 @@ def suppressed(flagged: DataFrame, by: Sequence[str] = (), flag: str = "within_c
 
 def changelog(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, start: str, end: str) -> DataFrame:
     """One row for each input: the cumulative value, earliest start and latest end so far."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"cumulative": F.sum(value).over(w), "window_start": F.min(start).over(w), "window_end": F.max(end).over(w)})
+    return running(df, keys, order, {"cumulative": ("sum", value), "window_start": ("min", start), "window_end": ("max", end)})
 
 
 def bounds_extensions(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, width: int = 1 << 16) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_domain
 from .common import cap_keys
 from .network import workload
+from .running import running
 
 OWNER = ("host", "workload", "container_id", "domain", "query_type")
 #: Fingerprints of DNS events, and the domains kept as labels.
@@ -43,7 +44,5 @@ def domain_edges(responses: DataFrame) -> DataFrame:
     """Workload -> domain edges of successful answers (A13); an answer with the time of the last one isn't counted again."""
     keys = ("host", "workload", "container_id", "domain")
     good = responses.where("response_code = 'no_error' and domain is not null")
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("ts").over(w)
-    counted = good.withColumn("_n", F.when(last.isNull() | (F.col("ts") != last), 1).otherwise(0))
+    counted = running(good, keys, ("seq",), {"_last": ("max", "ts")}, inclusive=False).withColumn("_n", F.when(F.col("_last").isNull() | (F.col("ts") != F.col("_last")), 1).otherwise(0))
     return counted.groupBy(*keys).agg(F.sum("_n").alias("observations"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))

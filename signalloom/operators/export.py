@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import label_hash
 from ..functions.text import SENSITIVE, is_sensitive, prom_identifier, valid_span_id, valid_trace_id
+from .running import running
 
 #: Resource keys that are copied to the data point, labels whose value is hashed, words that keep a label out.
 MIRROR = ("host.name", "container.id", "container.runtime", "k8s.namespace.name", "k8s.pod.name", "k8s.pod.uid", "k8s.container.name", "k8s.node.name")
@@ -90,11 +91,10 @@ def coalesce_series(records: DataFrame) -> DataFrame:
 def timestamp_guard(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``records`` with ``kept``: the last row of each series and millisecond, unless an earlier row was newer (A23). ``ts`` in nanoseconds, ``seq`` arrival."""
     ms = F.floor(F.col("ts") / 1_000_000)
-    order = Window.partitionBy(*keys).orderBy("seq")
-    newest = F.max("_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = records.withColumn("_ms", ms).withColumn("_fresh", newest.isNull() | (F.col("_ms") >= newest))
+    seen = running(records.withColumn("_ms", ms), keys, ("seq",), {"_newest": ("max", "_ms")}, inclusive=False)
+    fresh = seen.withColumn("_fresh", F.col("_newest").isNull() | (F.col("_ms") >= F.col("_newest")))
     last = F.row_number().over(Window.partitionBy(*keys, "_ms", "_fresh").orderBy(F.col("seq").desc()))
-    return fresh.withColumn("kept", F.col("_fresh") & (last == 1)).drop("_ms", "_fresh")
+    return fresh.withColumn("kept", F.col("_fresh") & (last == 1)).drop("_ms", "_newest", "_fresh")
 
 
 def latest_series(lines: DataFrame, most: int) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.bounds import drop_sensitive
 from ..functions.hashing import bounded_or_hash, fnv1a64, stack_id
 from ..functions.text import bucket
 from .common import dedup
+from .running import dense_ids, running
 
 #: Nanoseconds of a session; samples and stacks it keeps; frames, attributes and samples of one row; reserved attribute keys.
 WINDOW, SAMPLES, STACKS, FRAMES, ATTRIBUTES, MAX_COUNT = 30_000_000_000, 64, 64, 64, 16, 65_536
@@ -87,9 +88,8 @@ def sample_ids(samples: DataFrame) -> DataFrame:
 def profile_warnings(samples: DataFrame, window: int = WINDOW) -> DataFrame:
     """Samples without attribution, and those beyond a session's cap with how many were dropped."""
     rows = samples.withColumn("bucket", bucket(F.col("ts"), window))
-    run = Window.partitionBy(*SESSION).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("sample_count").over(run)
-    lost = rows.withColumn("dropped", F.least(F.col("sample_count"), upto - SAMPLES)).where("dropped > 0")
+    so_far = running(rows, SESSION, ("ts", "seq"), {"_upto": ("sum", "sample_count")})
+    lost = so_far.withColumn("dropped", F.least(F.col("sample_count"), F.col("_upto") - SAMPLES)).where("dropped > 0")
     bare = rows.where("container_id is null and namespace is null")
     both = lost.select(F.lit("samples_dropped").alias("warning"), "host", "pid", "stack_id", "ts", "dropped").unionByName(bare.select(F.lit("missing_attribution").alias("warning"), "host", "pid", "stack_id", "ts", F.lit(0).cast("long").alias("dropped")))
     return dedup(both, ("warning", "host", "pid", "stack_id", "ts"), ("dropped",))
@@ -105,20 +105,17 @@ def session_metric_lines(sessions: DataFrame) -> DataFrame:
 def pprof_tables(samples: DataFrame, batch: Sequence[str]) -> dict[str, DataFrame]:
     """strings, functions, locations and samples of one profile for each ``batch``.
 
-    Ids are ranks within the batch, so they don't depend on the order of rows. Samples with empty stacks are skipped.
+    Ids are dense ranks within the batch (functions by symbol, domain and file), numbered slice by slice, so they don't depend on the order of rows. Samples with empty stacks are skipped.
     """
     keys = list(batch)
     frames = samples.where("size(frames) > 0").select(*keys, "seq", "kind", "sample_count", "period", F.posexplode(F.slice("frames", 1, 256)).alias("depth", "f")).select(*keys, "seq", "kind", "sample_count", "period", "depth", "f.*")
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("domain", "symbol", "file")]
     named = frames.withColumns({"domain": text[0], "symbol": text[1], "file": text[2], "module": F.coalesce("module", F.lit("")), "line": F.coalesce("line", F.lit(0)), "module_offset": F.coalesce("module_offset", F.lit(0))})
 
-    def ids(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
-        return df.select(*keys, *cols).distinct().withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy(*cols)))
-
-    functions = ids(named, ("domain", "symbol", "file"), "function_id")
+    functions = dense_ids(named, keys, ("symbol", "domain", "file"), "function_id")
     place = ("module", "module_offset", "domain", "symbol", "file", "line")
-    locations = ids(named, place, "location_id")
-    strings = ids(named.select(*keys, F.explode(F.array("symbol", "file", "module")).alias("string")), ("string",), "string_id")
+    locations = dense_ids(named, keys, place, "location_id")
+    strings = dense_ids(named.select(*keys, F.explode(F.array("symbol", "file", "module")).alias("string")), keys, ("string",), "string_id")
     stacks = named.join(locations, [*keys, *place]).groupBy(*keys, "seq", "kind", "sample_count", "period").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "location_id"))), lambda x: x["location_id"]).alias("locations"))
     values = stacks.withColumn("value", F.col("sample_count") * F.coalesce("period", F.lit(1)))
     return {"strings": strings, "functions": functions, "locations": locations.join(functions, [*keys, "domain", "symbol", "file"]), "samples": values}

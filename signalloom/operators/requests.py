@@ -18,6 +18,7 @@ from ..functions.hashing import bounded_or_hash, request_ids
 from ..functions.policy import selector
 from ..functions.text import grpc_status, parse_traceparent, valid_span_id, valid_trace_id
 from .common import dedup, in_order
+from .running import sessions
 
 #: Requests in flight on a connection, and nanoseconds until a request is given up.
 IN_FLIGHT, TIMEOUT = 32, 30_000_000_000
@@ -46,36 +47,58 @@ def match_by_id(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOU
     return found.select(*keys, "start", F.when(one, F.col("_end")).alias("end"), _appended(F.col("_mine"), F.when(one, F.coalesce("_theirs", empty)).otherwise(empty)).alias("attributes"))
 
 
-def match_fifo(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOUT, most: int = IN_FLIGHT, answers_all: str | None = None) -> DataFrame:
+def fifo(timeout: int, most: int, strict: bool = False):
+    """The requests in flight on a connection: (queue of (seq, ts), feed). ``feed`` takes ts, kind and seq and returns (seq, start, end, response_seq, outcome) of what is done."""
+    flying: deque = deque()
+
+    def feed(ts, kind, seq):
+        out = []
+        if kind == 0 or strict:
+            while flying and ts - flying[0][1] >= timeout:
+                out.append((*flying.popleft(), None, None, "expired"))
+        if kind == 0:
+            if len(flying) >= most:
+                out.append((*flying.popleft(), None, None, "overflow"))
+            flying.append((seq, ts))
+        else:
+            for _ in range(len(flying) if kind == 2 else min(1, len(flying))):
+                out.append((*flying.popleft(), ts, seq, "matched"))
+        return out
+
+    return flying, feed
+
+
+def fifo_rows(requests: DataFrame, responses: DataFrame, answers_all: str | None = None) -> DataFrame:
+    """Requests (kind 0), responses (1) and those that answer all (2) in one table: host, connection, ts, kind, seq."""
+    kind = F.when(F.coalesce(F.col(answers_all), F.lit(False)), 2).otherwise(1) if answers_all else F.lit(1)
+    return requests.select("host", "connection", "ts", F.lit(0).alias("kind"), "seq").unionByName(responses.select("host", "connection", "ts", kind.alias("kind"), "seq"))
+
+
+def match_fifo(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOUT, most: int = IN_FLIGHT, answers_all: str | None = None, strict: bool = False) -> DataFrame:
     """Requests of a connection with the response that answers them, in order (J8): host, connection, seq, start, end, response_seq, outcome.
 
     A response answers the oldest request in flight, or all of them where the Boolean column ``answers_all`` says so; without one
     in flight it is ignored. Before a new request those that have waited for ``timeout`` or longer are given up (``expired``), and with ``most``
     still in flight the oldest is (``overflow``). Requests that are never answered have no end; those left at the end are ``pending``. At equal times
-    requests come before responses, then by seq. A connection is read in order by one task that holds ``most`` requests.
+    requests come before responses, then by seq. With ``strict`` a response doesn't find requests that have waited so long either.
+
+    A connection is cut where a request comes at least ``timeout`` after the one before it: nothing is in flight there. Each piece is read in order by one
+    task that holds ``most`` requests; what is in flight at the end of a piece is given up by the next one, if there is one.
     """
-    kind = F.when(F.coalesce(F.col(answers_all), F.lit(False)), 2).otherwise(1) if answers_all else F.lit(1)
-    both = requests.select("host", "connection", "ts", F.lit(0).alias("kind"), "seq").unionByName(responses.select("host", "connection", "ts", kind.alias("kind"), "seq"))
+    both = fifo_rows(requests, responses, answers_all).withColumn("_asked", F.when(F.col("kind") == 0, F.col("ts")))
+    cut = sessions(both, ("host", "connection"), ("ts", "kind", "seq"), "_asked", timeout, "piece", "pieces")
+    pieces = cut.select("host", "connection", "piece", "ts", "kind", "seq", (F.col("piece") == F.col("pieces")).alias("last"))
 
     def begin():
-        flying: deque = deque()
-
-        def feed(ts, kind, seq):
-            out = []
-            if kind == 0:
-                while flying and ts - flying[0][1] >= timeout:
-                    out.append((*flying.popleft(), None, None, "expired"))
-                if len(flying) >= most:
-                    out.append((*flying.popleft(), None, None, "overflow"))
-                flying.append((seq, ts))
-            else:
-                for _ in range(len(flying) if kind == 2 else min(1, len(flying))):
-                    out.append((*flying.popleft(), ts, seq, "matched"))
-            return out
-
-        return feed, lambda: [(*f, None, None, "pending") for f in flying]
-
-    return in_order(both, ("host", "connection"), ("ts", "kind", "seq"), begin, "host string, connection string, seq long, start long, end long, response_seq long, outcome string")
+        (flying, feed), left = fifo(timeout, most, strict), []
+
+        def row(ts, kind, seq, last):
+            left[:] = ["pending" if last else "expired"]
+            return feed(ts, kind, seq)
+
+        return row, lambda: [(*f, None, None, left[0]) for f in flying]
+
+    return in_order(pieces, ("host", "connection", "piece"), ("ts", "kind", "seq"), begin, "host string, connection string, piece long, seq long, start long, end long, response_seq long, outcome string").drop("piece")
 
 
 #: How a process shows that an agent in it exports traces already.

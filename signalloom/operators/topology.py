@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import fnv1a64
 from .common import bounds_extensions, dedup, in_order
 from .network import workload
+from .running import running
 
 EDGE = ("host", "workload", "container_id", "remote_address", "remote_port", "protocol")
 
@@ -83,8 +84,7 @@ def observed_paths(opens: DataFrame, answers: DataFrame) -> DataFrame:
 
     spans = F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     by_edge = edges(of(e, both, "left_anti")).groupBy(*EDGE, *PATH[1:]).agg(F.sum("extends").alias("observations"), *spans)
-    before = F.max("ts").over(Window.partitionBy(*PATH).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    counted = of(a, both, "left_anti").withColumn("_last", before)
+    counted = running(of(a, both, "left_anti"), PATH, ("seq",), {"_last": ("max", "ts")}, inclusive=False)
     only_answers = counted.groupBy(*PATH).agg(F.sum(F.when(F.col("_last").isNull() | (F.col("ts") != F.col("_last")), 1).otherwise(0)).alias("observations"), *spans)
     so_far = Window.partitionBy(*EDGE, *PATH[1:]).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     updates = edges(of(e, both, "left_semi")).where("extends = 1").select("host", "path_label", "seq", F.lit(0).alias("_answer"), F.count(F.lit(1)).over(so_far).alias("_count"), F.min("ts").over(so_far).alias("_low"), F.max("ts").over(so_far).alias("_high"), *PATH[2:])

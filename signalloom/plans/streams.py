@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import signals
-from ..streaming import state, streams
-from .adapters import oracle
+from ..operators import requests
+from ..streaming import processors, state, streams
+from .adapters import adapt, oracle
 from .registry import query
 
 
@@ -41,10 +42,33 @@ def _drain(df: DataFrame, mode: str = "append") -> DataFrame:
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    with processors.with_rocksdb(spark):
+        df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
+#: Batches that the replayed streams come in, and files of each.
+_BATCHES, _FILES = 3, 2
+
+
+def _replayed(df: DataFrame, place: str, **late) -> DataFrame:
+    """A table as a stream that comes in ``_BATCHES`` batches by the whole number ``place`` (a column), from a folder in the shared one; with ``late``, a row far behind the others comes last."""
+    spark, path = df.sparkSession, f"{_folder(df.sparkSession)}/replay"
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    width = (high or 0) - (low or 0) + 1
+    for k in range(_BATCHES):
+        part = df.where(F.floor((F.col(place) - (low or 0)) * _BATCHES / width) == k)
+        part.repartition(_FILES, place).write.mode("append").parquet(path)
+    if late:
+        _late_row(df, late).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+
+
+def _event_table(spark, d) -> DataFrame:
+    """The events of ``_events`` as a table."""
+    return adapt(spark, d, "conn_raw").drop("bytes_sent", "bytes_received").join(adapt(spark, d, "ev").select("seq", "k"), "seq")
+
+
 @query("t2_dedup_stream", oracle(["conn_raw"], "SELECT kind, host, pid, fd, count(DISTINCT remote_port) AS ports FROM conn_raw GROUP BY kind, host, pid, fd"))
 def t2(spark, d):
     keys = ("kind", "host", "pid", "fd", "remote_port")
@@ -58,10 +82,20 @@ def t3(spark, d):
     return out.where("host <> 'late'").select("host", "kind", F.floor(F.unix_seconds("window.start") / 3600).cast("long").alias("hour"), "observed", "dropped", "distinct_stacks")
 
 
-@query("t4_flow_interval_stream", oracle(["conn_raw"], "SELECT seq, CASE WHEN pk IS NULL OR pk = 'close' OR k < pb THEN k ELSE k - pb END AS sent FROM (SELECT *, lag(kind) OVER w AS pk, lag(k) OVER w AS pb FROM (SELECT c.*, e.k FROM conn_raw c JOIN ev e USING (seq)) WHERE kind IN ('snapshot', 'close') WINDOW w AS (PARTITION BY host, pid, fd, remote_address, remote_port ORDER BY ts, seq))"))
+_CYCLES = """c AS (SELECT c.*, e.k, CASE WHEN e.k % 4 > 0 THEN (e.k // 250) * 1000 END AS opened_at FROM conn_raw c JOIN ev e USING (seq) WHERE kind IN ('snapshot', 'close')),
+  f AS (SELECT *, coalesce(last_value(opened_at IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(opened_at IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), -1) AS cycle FROM c WINDOW w AS (PARTITION BY host, pid, fd, remote_address, remote_port ORDER BY seq)),
+  r AS (SELECT *, last_value(CASE WHEN kind = 'close' THEN ts END IGNORE NULLS) OVER w AS ended, count(CASE WHEN kind = 'close' THEN 1 END) OVER w AS run FROM f WINDOW w AS (PARTITION BY host, pid, fd, remote_address, remote_port, cycle ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p AS (SELECT *, max(CASE WHEN ended IS NULL OR ts > ended THEN 1 ELSE 0 END) OVER (PARTITION BY host, pid, fd, remote_address, remote_port, cycle, run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS passes FROM r),
+  n AS (SELECT *, lag(k) OVER (PARTITION BY host, pid, fd, remote_address, remote_port, cycle, run ORDER BY seq) AS was FROM p WHERE kind = 'close' OR passes = 1)
+  SELECT seq, CASE WHEN was IS NULL OR k < was THEN k ELSE k - was END AS sent FROM n"""
+
+
+@query("t4_flow_interval_stream", oracle(["conn_raw"], f"WITH {_CYCLES}"))
 def t4(spark, d):
-    rows = _events(spark, d).withColumns({"bytes_sent": F.col("k"), "bytes_received": F.col("k")})
-    return _drain(state.flow_interval_stream(rows, None)).select("seq", "sent")
+    """Several batches; a connection is used again and again, and its times don't follow its arrivals, so that snapshots come late."""
+    k = F.col("k")
+    rows = _event_table(spark, d).withColumns({"bytes_sent": k, "bytes_received": k, "opened_at": F.when(k % 4 > 0, F.floor(k / 250) * 1000)})
+    return _drain(processors.flow_interval_stream(_replayed(rows, "seq"), None)).select("seq", "sent")
 
 
 @query("t5_active_gauge_stream", oracle(["conn_raw"], "SELECT seq, CASE WHEN kind = 'open' THEN 1 ELSE -1 END AS delta FROM (SELECT *, lag(kind) OVER (PARTITION BY host, pid, fd, remote_address, remote_port ORDER BY ts, seq) AS was FROM conn_raw WHERE kind IN ('open', 'close')) WHERE CASE WHEN kind = 'open' THEN was IS DISTINCT FROM 'open' ELSE was = 'open' END"))
@@ -76,32 +110,78 @@ def t6(spark, d):
     return _drain(streams.peer_stream(late, ["host", "remote_address"])).where("host <> 'late'").select("host", "remote_address", "value")
 
 
-@query("t7_timestamp_guard_stream", oracle(["ev"], "WITH m AS (SELECT seq, user_id, CAST(floor((ts + (k % 7) * 1000000000000) / 1000000) AS BIGINT) AS ms FROM ev), f AS (SELECT *, max(ms) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY user_id, ms ORDER BY seq DESC) AS r FROM f WHERE top IS NULL OR ms >= top) SELECT CAST(user_id AS STRING) AS series, seq, 0 AS dropped FROM g WHERE r = 1 UNION ALL SELECT CAST(user_id AS STRING), NULL, count(*) FROM f WHERE ms < top GROUP BY user_id"))
-def t7(spark, d):
-    rows = _events(spark, d).select(F.col("pid").cast("string").alias("series"), "seq", (F.col("ts") + (F.col("k") % 7) * 1_000_000_000_000).alias("ts"))
-    return _drain(state.timestamp_guard_stream(rows, stale_ms=None)).groupBy("series", "seq").agg(F.sum("dropped").alias("dropped"))
-
-
 #: A time after all events: rows at it pass the watermark, so that what waits for an answer or an end comes out.
 _LATE = 4_102_444_800_000_000_000
 
 
+def _late_row(rows: DataFrame, columns: dict) -> DataFrame:
+    made = {"seq": F.lit(-1), "ts": F.lit(_LATE)} | columns
+    return rows.sparkSession.range(1).select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 def _with_late_row(rows: DataFrame, **columns) -> DataFrame:
     """A stream and one row far behind its last (with seq -1), which is filtered out of the results."""
     spark, path = rows.sparkSession, f"{_folder(rows.sparkSession)}/late"
-    made = {"seq": F.lit(-1), "ts": F.lit(_LATE)} | columns
-    spark.range(1).select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(path)
+    _late_row(rows, columns).write.parquet(path)
     return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))
 
 
+#: Nanoseconds between arrivals, until a pending row is sent, and until a series is forgotten.
+_STEP, _PENDING, _SILENT = 1_000_000, 150_000_000, 900_000_000
+_GUARD = f"""m AS (SELECT seq, CAST(user_id AS STRING) AS series, (seq + 1) * {_STEP} AS arrived, (k % 3) * 7 + CAST(floor(seq / 400) AS BIGINT) AS ms FROM ev),
+  l AS (SELECT *, sum(CASE WHEN was IS NULL OR arrived - was >= {_SILENT} THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY seq) AS life FROM (SELECT *, lag(arrived) OVER (PARTITION BY series ORDER BY seq) AS was FROM m)),
+  f AS (SELECT *, max(ms) OVER (PARTITION BY series, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM l),
+  g AS (SELECT *, arrived - lag(arrived) OVER (PARTITION BY series, life, ms ORDER BY seq) >= {_PENDING} AS gap FROM f WHERE top IS NULL OR ms >= top),
+  h AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY series, life, ms ORDER BY seq) AS chain FROM g),
+  o AS (SELECT series, max(seq) AS seq FROM h WHERE chain = 0 GROUP BY series, life, ms),
+  n AS (SELECT series, count(*) FILTER (WHERE ms < top) AS dropped, count(*) FILTER (WHERE ms = top) AS suppressed FROM f GROUP BY series)
+  SELECT series, seq, 0 AS dropped, 0 AS suppressed FROM o UNION ALL SELECT series, NULL, dropped, suppressed FROM n WHERE dropped + suppressed > 0"""
+
+
+@query("t7_timestamp_guard_stream", oracle(["ev"], f"WITH {_GUARD}"))
+def t7(spark, d):
+    """Several batches; rows of a millisecond are spread over them."""
+    rows = adapt(spark, d, "ev").select(F.col("user_id").cast("string").alias("series"), "seq", ((F.col("seq") + 1) * _STEP).alias("arrived"), (((F.col("k") % 3) * 7 + F.floor(F.col("seq") / 400)) * 1_000_000).alias("ts"))
+    out = _drain(processors.timestamp_guard_stream(_replayed(rows, "seq", series=F.lit("late"), arrived=F.lit(_LATE)), _PENDING, _SILENT, "0 seconds")).where("series <> 'late'")
+    return out.groupBy("series", "seq").agg(F.sum("dropped").alias("dropped"), F.sum("suppressed").alias("suppressed"))
+
+
 @query("t8_match_requests_stream", oracle(["conn_raw"], "SELECT a.seq, b.ts IS NOT NULL AS answered FROM conn_raw a LEFT JOIN conn_raw b ON a.pid = b.pid AND a.seq = b.seq - 1 AND b.kind = 'close' AND b.ts >= a.ts AND b.ts <= a.ts + 3600000000000 WHERE a.kind = 'open'"))
 def t8(spark, d):
     rows = _events(spark, d).withColumns({"connection": F.col("pid").cast("string"), "correlation_id": F.when(F.col("kind") == "open", F.col("seq")).otherwise(F.col("seq") - 1)})
-    sides = [_with_late_row(rows.where(F.col("kind") == k), host=F.lit(f"late-{k}")) for k in ("open", "close")]
+    sides = [_with_late_row(rows.where(F.col("kind") == k), host=F.lit(f"late-{k}"), connection=F.lit("late"), correlation_id=F.lit(-1)) for k in ("open", "close")]
     out = _drain(streams.match_requests_stream(*sides, "1 hour"))
     return out.where("seq >= 0").select("seq", F.col("answered_at").isNotNull().alias("answered"))
 
 
+_TURN, _MOST, _WAIT = "CASE (turn + conv_id) % 8 WHEN 3 THEN 1 WHEN 7 THEN 1 WHEN 5 THEN 2 ELSE 0 END", 2, 3_000_000
+_EMPTY = "CAST(NULL AS BIGINT)"
+
+
+def _given_up(items: str, why: str) -> str:
+    return f"list_transform({items}, lambda x: struct_pack(seq := x.seq, e := {_EMPTY}, r := {_EMPTY}, why := '{why}'))"
+
+
+_MATCHED = "lambda x: struct_pack(seq := x.seq, e := n.ts, r := n.seq, why := 'matched')"
+_FIFO = f"""WITH RECURSIVE e AS (SELECT *, {_TURN} AS k, row_number() OVER (PARTITION BY connection ORDER BY ts, {_TURN}, seq) AS i FROM convs),
+  m AS (SELECT DISTINCT connection, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(seq BIGINT, ts BIGINT)[]) AS q, CAST([] AS STRUCT(seq BIGINT, e BIGINT, r BIGINT, why VARCHAR)[]) AS done FROM e
+    UNION ALL SELECT n.connection, n.i, CASE n.k WHEN 0 THEN list_append(n.live[greatest(len(n.live) - {_MOST - 2}, 1) :], struct_pack(seq := n.seq, ts := n.ts)) WHEN 1 THEN n.live[2:] ELSE [] END,
+      {_given_up("n.q[: len(n.q) - len(n.live)]", "expired")} || CASE n.k WHEN 0 THEN {_given_up(f"n.live[: greatest(len(n.live) - {_MOST - 1}, 0)]", "overflow")} WHEN 1 THEN list_transform(n.live[:1], {_MATCHED}) ELSE list_transform(n.live, {_MATCHED}) END
+    FROM (SELECT e.*, m.q, list_filter(m.q, lambda x: e.ts - x.ts < {_WAIT}) AS live FROM m JOIN e ON m.connection = e.connection AND e.i = m.i + 1) n),
+  d AS (SELECT connection, unnest(done) AS u FROM m)
+  SELECT a.host, a.connection, a.seq, a.ts AS start, d.u.e AS "end", d.u.r AS response_seq, coalesce(d.u.why, 'expired') AS outcome FROM e a LEFT JOIN d ON a.connection = d.connection AND a.seq = d.u.seq WHERE a.k = 0"""
+
+
+@query("t8_match_fifo_stream", oracle(["convs"], _FIFO.replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1))
+def t8_fifo(spark, d):
+    """Several batches that cut conversations; requests without an answer come out of the timer."""
+    later = 1_000_000_000  # no time is 0, where watermarks begin
+    rows = adapt(spark, d, "convs").withColumns({"k": F.expr(_TURN), "ts": F.col("ts") + later})
+    both = requests.fifo_rows(rows.where("k = 0"), rows.where("k > 0").withColumn("all", F.col("k") == 2), "all").withColumn("_turn", F.col("seq") % 1000)
+    # batches go by turn and not by time, so the watermark may not pass a row before the last of them
+    return _drain(processors.match_fifo_stream(_replayed(both, "_turn", host=F.lit("late"), connection=F.lit("late"), kind=F.lit(0)), _WAIT, _MOST, "3650 days")).where("host <> 'late'").withColumns({"start": F.col("start") - later, "end": F.col("end") - later})
+
+
 @query("t9_fan_out", oracle(["conn_raw"], "SELECT kind, count(*) AS n FROM conn_raw GROUP BY kind"))
 def t9(spark, d):
     base = _folder(spark)
@@ -117,19 +197,32 @@ def t9(spark, d):
     return spark.read.schema(events.schema).parquet(f"{base}/out").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t10_http_heads", "SELECT conv_id AS connection, turn AS message, strlen(text) AS n FROM conversations")
-def t10(spark, d):
+def _chunks(spark, d) -> DataFrame:
+    """Conversations as HTTP messages whose heads say the length: the stream of a connection is cut every 37 bytes, and at the ends of messages."""
     rows = spark.read.parquet(f"{d}/conversations.parquet")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     head = F.concat(F.lit("POST /"), F.col("turn").cast("string"), F.lit(" HTTP/1.1\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"))
     made = rows.select("conv_id", "turn", F.concat(F.encode(head, "UTF-8"), text).alias("m")).withColumn("n", F.octet_length("m").cast("long"))
-    # a message begins where those before it end; the stream of a connection is cut every 37 bytes, and at the ends of messages
     at = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     cut = made.withColumn("at", at).withColumn("i", F.explode(F.sequence(F.floor(F.col("at") / 37), F.floor((F.col("at") + F.col("n") - 1) / 37))))
     low, high = F.greatest(F.col("i") * 37, F.col("at")), F.least(F.col("i") * 37 + 37, F.col("at") + F.col("n"))
-    chunks = cut.select(F.lit("h").alias("host"), F.col("conv_id").cast("string").alias("connection"), F.lit("in").alias("direction"), low.alias("offset"), low.alias("ts"), F.substring("m", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("data"))
-    heads = state.http_heads(chunks).where("error is null")
-    return heads.select(F.col("connection").cast("long").alias("connection"), F.regexp_extract("head", "^POST /([0-9]+) ", 1).cast("long").alias("message"), F.regexp_extract("head", "Length: ([0-9]+)", 1).cast("long").alias("n"))
+    return cut.select(F.lit("h").alias("host"), F.col("conv_id").cast("string").alias("connection"), F.lit("in").alias("direction"), low.alias("offset"), (low + 1_000_000_000).alias("ts"), F.substring("m", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("data"))
+
+
+def _messages(heads: DataFrame) -> DataFrame:
+    return heads.select(F.col("connection").cast("long").alias("connection"), F.regexp_extract("head", "^POST /([0-9]+) ", 1).cast("long").alias("message"), F.regexp_extract("head", "Length: ([0-9]+)", 1).cast("long").alias("n"), "error")
+
+
+@query("t10_http_heads", "SELECT conv_id AS connection, turn AS message, strlen(text) AS n, CAST(NULL AS VARCHAR) AS error FROM conversations")
+def t10(spark, d):
+    return _messages(state.http_heads(_chunks(spark, d)))
+
+
+@query("t10_http_heads_stream", "SELECT conv_id AS connection, turn AS message, strlen(text) AS n, CAST(NULL AS VARCHAR) AS error FROM conversations")
+def t10_stream(spark, d):
+    """Chunks in no order over several batches."""
+    chunks = _replayed(_chunks(spark, d).withColumn("_place", F.pmod(F.xxhash64("connection", "offset"), F.lit(64))), "_place").drop("_place")
+    return _messages(_drain(processors.http_heads_stream(chunks)))
 
 
 @query("t1_signal_stream", oracle(["conn_raw"], "SELECT remote_address, count(*) AS n FROM conn_raw WHERE kind = 'open' GROUP BY remote_address"))

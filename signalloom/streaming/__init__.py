@@ -1,6 +1,7 @@
 """The same derivations on streams, with event-time watermarks."""
 
+from .processors import flow_interval_stream, http_heads_stream, match_fifo_stream, timestamp_guard_stream, with_rocksdb
+from .state import active_gauge_stream, http_heads
 from .streams import dedup_stream, fan_out, match_requests_stream, peer_stream, profile_windows
-from .state import active_gauge_stream, flow_interval_stream, http_heads, timestamp_guard_stream
 
-__all__ = ["active_gauge_stream", "dedup_stream", "fan_out", "flow_interval_stream", "http_heads", "match_requests_stream", "peer_stream", "profile_windows", "timestamp_guard_stream"]
+__all__ = ["active_gauge_stream", "dedup_stream", "fan_out", "flow_interval_stream", "http_heads", "http_heads_stream", "match_fifo_stream", "match_requests_stream", "peer_stream", "profile_windows", "timestamp_guard_stream", "with_rocksdb"]

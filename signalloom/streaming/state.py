@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import in_order
+from .processors import CONNECTION, MOST_BYTES, HeadReader
 
-CONNECTION = ("host", "pid", "fd", "remote_address", "remote_port")
 _KEY = "host string, pid long, fd int, remote_address string, remote_port int"
 
 
@@ -25,35 +25,6 @@ def _timeout(ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def flow_interval_stream(events: DataFrame, idle_ms: int | None = 900_000) -> DataFrame:
-    """Bytes since the event before on the same connection (T4): seq, sent, received.
-
-    After a close its life cycle is remembered: a late snapshot of it gives nothing. State goes after ``idle_ms`` without events.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        sent, received, closed_at = state.get if state.exists else (None, None, None)
-        out = []
-        for r in _rows(batches, "ts", "seq").itertuples():
-            if closed_at is not None and r.kind == "snapshot" and r.ts <= closed_at:
-                continue
-            fresh = sent is None
-            a = r.bytes_sent if fresh or r.bytes_sent < sent else r.bytes_sent - sent
-            b = r.bytes_received if fresh or r.bytes_received < received else r.bytes_received - received
-            out.append((*key, r.seq, a, b))
-            sent, received, closed_at = (None, None, r.ts) if r.kind == "close" else (r.bytes_sent, r.bytes_received, None)
-        state.update((sent, received, closed_at))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[*CONNECTION, "seq", "sent", "received"])
-
-    rows = events.where("kind in ('snapshot', 'close') and fd is not null").groupBy(*CONNECTION)
-    return rows.applyInPandasWithState(step, f"{_KEY}, seq long, sent long, received long", "sent long, received long, closed_at long", "append", _timeout(idle_ms))
-
-
 def active_gauge_stream(events: DataFrame, idle_ms: int | None = 86_400_000) -> DataFrame:
     """+1 for an open of a connection that isn't open, -1 for a close of one that is (T5): seq, delta."""
 
@@ -77,66 +48,14 @@ def active_gauge_stream(events: DataFrame, idle_ms: int | None = 86_400_000) ->
     return rows.applyInPandasWithState(step, f"{_KEY}, seq long, delta int", "is_open boolean", "append", _timeout(idle_ms))
 
 
-def timestamp_guard_stream(records: DataFrame, key: str = "series", stale_ms: int | None = 600_000) -> DataFrame:
-    """The last row of each series and millisecond within a batch; older ones are counted as dropped (T7): series, seq, ts, dropped."""
+def http_heads(chunks: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """Request and response heads of HTTP/1 from a table of chunks of bytes (T10): host, connection, direction, ts, head, error.
 
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        newest = state.get[0] if state.exists else -1
-        rows = _rows(batches, "seq")
-        ms = rows["ts"].to_numpy() // 1_000_000
-        before = np.maximum.accumulate(np.concatenate([[newest], ms]))[:-1]  # a row that is dropped is below the maximum and doesn't move it
-        good = ms >= before
-        kept = rows.loc[good, ["seq", "ts"]].assign(ms=ms[good]).drop_duplicates("ms", keep="last")
-        newest, dropped = max(newest, int(ms.max())), int((~good).sum())
-        state.update((int(newest),))
-        if stale_ms is not None:
-            state.setTimeoutDuration(stale_ms)
-        out = kept.assign(**{key: k[0]}, dropped=0)[[key, "seq", "ts", "dropped"]].astype({"seq": "Int64", "ts": "Int64"})
-        if dropped:
-            out = pd.concat([out, pd.DataFrame({key: [k[0]], "seq": pd.array([None], "Int64"), "ts": pd.array([None], "Int64"), "dropped": [dropped]})])
-        yield out
-
-    return records.groupBy(key).applyInPandasWithState(step, f"{key} string, seq long, ts long, dropped int", "newest long", "append", _timeout(stale_ms))
-
-
-def http_heads(chunks: DataFrame, most: int = 1 << 16) -> DataFrame:
-    """Request and response heads of HTTP/1 from chunks of bytes (T10): host, connection, ts, head, error.
-
-    ``chunks``: host, connection, direction, offset, ts, data. Chunks are put in order by offset; a body is skipped by its
-    content length, so pipelined messages follow on; at most a head is held. A gap or a head above ``most`` bytes ends a connection with an error.
+    ``chunks``: host, connection, direction, offset, ts, data. Chunks are put in order by offset; at most a head is held. A gap or a head above ``most`` bytes ends a connection with an error.
     """
 
     def begin():
-        held, at, skip, since, dead = b"", None, 0, None, False
-
-        def feed(offset, ts, data):
-            nonlocal held, at, skip, since, dead
-            if dead:
-                return []
-            out, at = [], offset if at is None else at
-            if offset > at:
-                dead = True
-                return [(ts, None, "gap")]
-            data = bytes(data[at - offset :])
-            at += len(data)
-            taken = min(skip, len(data))
-            skip, data = skip - taken, data[taken:]
-            held, since = held + data, ts if not held else since
-            while (end := held.find(b"\r\n\r\n")) >= 0:
-                head, held = held[:end], held[end + 4 :]
-                length = next((int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]) if k.strip().lower() == b"content-length" and v.strip().isdigit()), 0)
-                out.append((since, head.decode("latin-1"), None))
-                taken = min(length, len(held))
-                skip, held, since = length - taken, held[taken:], ts
-            if len(held) > most:
-                dead = True
-                out.append((ts, None, "too_long"))
-            return out
-
-        return feed, lambda: []
+        return HeadReader(most=most).feed, lambda: []
 
     rows = chunks.select("host", "connection", "direction", "offset", "ts", "data")
     return in_order(rows, ("host", "connection", "direction"), ("offset", "ts"), begin, "host string, connection string, direction string, ts long, head string, error string")

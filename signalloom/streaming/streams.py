@@ -39,7 +39,10 @@ def peer_stream(flows: DataFrame, keys: Sequence[str], idle: str = "15 minutes",
 
 
 def match_requests_stream(requests: DataFrame, responses: DataFrame, timeout: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
-    """Requests with their response by id, or without one once the timeout has passed."""
+    """Requests with their response by id, or without one once the timeout has passed.
+
+    The join looks only at rows whose host, connection and correlation id are known, and the slower side's watermark counts: as long as one side has no such rows, nothing goes out unanswered.
+    """
     a = requests.select("host", "connection", "correlation_id", "seq", event_time(F.col("ts")).alias("asked_at")).withWatermark("asked_at", delay).alias("a")
     b = responses.select("host", "connection", "correlation_id", event_time(F.col("ts")).alias("answered_at")).withWatermark("answered_at", delay).alias("b")
     on = F.expr(f"a.host = b.host and a.connection = b.connection and a.correlation_id = b.correlation_id and answered_at >= asked_at and answered_at <= asked_at + interval {timeout}")
