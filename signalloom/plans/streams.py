@@ -1,25 +1,18 @@
 """Stream forms run over the provided tables: a file stream, read to its end, into a table in the shared folder."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import signals
-from ..operators import requests
+from ..operators import peer, requests
+from ..operators.common import shared_folder
 from ..streaming import processors, state, streams
 from .adapters import adapt, oracle
 from .registry import query
 
 
 def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="signalloom-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark, d) -> DataFrame:
@@ -126,6 +119,37 @@ def _with_late_row(rows: DataFrame, **columns) -> DataFrame:
     return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))
 
 
+_PEERS, _CAP = ("host", "remote_address"), 3
+_NOBODY = "CAST([] AS STRUCT(a VARCHAR, e BIGINT, b BIGINT)[])"
+_ADMITTED = f"""WITH RECURSIVE f AS (SELECT c.seq, c.host, c.remote_address, c.ts, e.k % 3 AS bytes, row_number() OVER (PARTITION BY c.host ORDER BY c.ts, c.seq) AS i FROM conn_raw c JOIN ev e USING (seq)),
+  m AS (SELECT DISTINCT host, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, {_NOBODY} AS live, CAST(NULL AS BIGINT) AS born, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS a FROM f
+    UNION ALL SELECT host, i, seq, CASE WHEN here THEN list_transform(q, lambda x: CASE WHEN x.a = remote_address THEN struct_pack(a := x.a, e := greatest(x.e, ts), b := x.b) ELSE x END) WHEN bytes > 0 AND len(q) < {_CAP} THEN list_append(q, struct_pack(a := remote_address, e := ts, b := ts)) ELSE q END,
+      CASE WHEN here THEN list_filter(q, lambda x: x.a = remote_address)[1].b WHEN bytes > 0 AND len(q) < {_CAP} THEN ts END, bytes, remote_address
+    FROM (SELECT *, len(list_filter(q, lambda x: x.a = remote_address)) > 0 AS here FROM (SELECT f.*, list_filter(m.live, lambda x: f.ts - x.e < {peer.IDLE}) AS q FROM m JOIN f ON m.host = f.host AND f.i = m.i + 1)))"""
+_PLACES = oracle(["conn_raw"], _ADMITTED.replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _peer_flows(spark, d) -> DataFrame:
+    return _event_table(spark, d).select("seq", "ts", "host", "remote_address", (F.col("k") % 3).alias("bytes"))
+
+
+@query("a9_live_cap", _PLACES + " SELECT seq, born, born IS NULL AS overflow FROM m WHERE i > 0 AND (born IS NOT NULL OR bytes > 0)")
+def a9_live(spark, d):
+    """At most three series of a host are alive at a time; those that fall silent free their place."""
+    return peer.admitted(_peer_flows(spark, d), _PEERS, ("host",), _CAP)[0].select("seq", "born", "overflow")
+
+
+@query("t6_peer_cap_stream", _PLACES + " SELECT host, CASE WHEN born IS NOT NULL THEN a END AS remote_address, born, CAST(sum(bytes) AS BIGINT) AS value FROM m WHERE i > 0 AND (born IS NOT NULL OR bytes > 0) GROUP BY ALL")
+def t6_cap(spark, d):
+    """The same over several batches; the series alive are a table that each batch reads and writes anew."""
+    base = _folder(spark)
+    rows = _peer_flows(spark, d)
+    put = streams.peer_cap(base, _PEERS, ("host",), _CAP)
+    _replayed(rows, "ts").writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/bytes")
+    return out.groupBy("host", F.when(~F.col("overflow"), F.col("remote_address")).alias("remote_address"), "born").agg(F.sum("value").alias("value"))
+
+
 #: Nanoseconds between arrivals, until a pending row is sent, and until a series is forgotten.
 _STEP, _PENDING, _SILENT = 1_000_000, 150_000_000, 900_000_000
 _GUARD = f"""m AS (SELECT seq, CAST(user_id AS STRING) AS series, (seq + 1) * {_STEP} AS arrived, (k % 3) * 7 + CAST(floor(seq / 400) AS BIGINT) AS ms FROM ev),

@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.peer import IDLE, admitted
+
 
 def event_time(ts: Column) -> Column:
     """Nanoseconds as a timestamp, for watermarks only."""
@@ -30,14 +32,30 @@ def profile_windows(samples: DataFrame, keys: Sequence[str], width: str = "30 se
 
 
 def peer_stream(flows: DataFrame, keys: Sequence[str], idle: str = "15 minutes", delay: str = "1 minute") -> DataFrame:
-    """Bytes of each series between idle gaps (T6), appended when it has been idle. A flow without bytes keeps a series alive, but makes none.
-
-    The cap on series is applied where batches are written, with ``cap_keys`` in ``foreachBatch``.
-    """
+    """Bytes of each series between idle gaps (T6), appended when it has been idle. A flow without bytes keeps a series alive, but makes none. ``peer_cap`` bounds the series alive."""
     rows = flows.withColumn("event_time", event_time(F.col("ts"))).withWatermark("event_time", delay)
     return rows.groupBy(F.session_window("event_time", idle).alias("session"), *keys).agg(F.sum("bytes").alias("value")).where("value > 0")
 
 
+def peer_cap(root: str, keys: Sequence[str], scope: Sequence[str], most: int, idle: int = IDLE) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that counts bytes of flows (keys, ts, seq, bytes) by series, at most ``most`` of a scope alive at a time (T6; see ``peer.admitted``).
+
+    The series alive are a table for each batch (``root/live/<epoch>``), from the one before; what is added (keys, born, overflow, value) goes to ``root/bytes/epoch=<epoch>``. Both
+    are overwritten when a batch is repeated, so it counts once. Batches come in order of time.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        before = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/live/{epoch - 1}") if epoch else None
+        rows, alive = admitted(batch, keys, scope, most, idle, before)
+        rows.groupBy(*keys, "born", "overflow").agg(F.sum("bytes").alias("value")).write.mode("overwrite").parquet(f"{root}/bytes/epoch={epoch}")
+        alive.write.mode("overwrite").parquet(f"{root}/live/{epoch}")
+
+    return run
+
+
 def match_requests_stream(requests: DataFrame, responses: DataFrame, timeout: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
     """Requests with their response by id, or without one once the timeout has passed.
 
