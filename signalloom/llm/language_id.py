@@ -7,8 +7,8 @@ character. Whether an answer is to be trusted is calibrated on rows that the mod
 haven't seen: a text is ``rejected`` if it costs more than halfway from what nearly all of its language's own texts cost
 to what texts of other languages usually do (a text with passages in two languages lies below). Languages with few such rows take the pooled distance.
 
-The classifier is fitted on a bounded sample: at most about ``TRAIN_DOCS`` labelled rows for
-each language, and ``CALIBRATION_DOCS`` more for the calibration. Their word counts (words of any length) are
+The classifier is fitted on a bounded sample: at most ``TRAIN_DOCS`` and ``CALIBRATION_DOCS`` labelled rows of each language, of at most ``SAMPLE_BYTES``. Each
+row is dealt once, so the calibration sees no text that the models were fitted on, in small languages either. Word counts (words of any length) are
 summed by Spark; what reaches the driver is bounded by the sample and the number of languages, not the table.
 """
 
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import Step, append_columns, documents, numbered_columns
+from ._util import Step, append_columns, documents, numbered_columns, written
 
-ORDER, TRAIN_DOCS, CALIBRATION_DOCS = 5, 500, 200
+ORDER, TRAIN_DOCS, CALIBRATION_DOCS, SAMPLE_BYTES = 5, 500, 200, 16 << 20
 #: Share of a language's own texts that the calibration takes for outliers; rows it needs; robust deviations where no other language tells how far is far.
 OUTLIERS, ENOUGH, FAR = 0.005, 20, 12.0
 UNKNOWN = "und"
@@ -176,14 +176,25 @@ class Scorer:
 # --- fitting --------------------------------------------------------------------------------------------------------
 
 
-def _sampled(labelled: DataFrame, docs_each: int, salt: int) -> DataFrame:
-    """At most about ``docs_each`` rows of each language, chosen by a hash of the row."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return labelled.where("false")
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_each / n))])
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text"), F.lit(salt)), 12) / float(1 << 52)
-    return labelled.where(u < share[F.col("lang")])
+def dealt(labelled: DataFrame, docs_each: int = TRAIN_DOCS + CALIBRATION_DOCS, bytes_each: int = SAMPLE_BYTES) -> DataFrame:
+    """lang, text and ``unseen`` of a sample: of each language the ``docs_each`` rows with the smallest hashes, while their texts have at most ``bytes_each`` bytes (the first one always).
+
+    Each row is dealt once, equal texts alike: to the models, or ``unseen`` to the calibration (two of seven texts, from the fourth on). Repeated ids or rows don't make the sample larger.
+    """
+    spark = labelled.sparkSession
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # ranked without texts first; what passes is a row for each language
+    limit = hashed.select("lang", "h", "doc_id").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= docs_each).groupBy("lang").agg(F.max("h").alias("most"))
+    limits = {r["lang"]: r["most"] for r in limit.collect()}
+    if not limits:
+        return spark.createDataFrame([], "lang string, text string, unseen boolean")
+    most = F.create_map(*[F.lit(x) for item in limits.items() for x in item])
+    ranked = hashed.where(F.col("h") <= most[F.col("lang")]).withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= docs_each)
+    held = F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))
+    small = ranked.withColumn("held", held).where((F.col("n") == 1) | (F.col("held") <= bytes_each))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    return written(small.select("lang", "text", (place % 7).isin(4, 0).alias("unseen")), "language-sample")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +236,15 @@ def fit(docs: DataFrame) -> Classifier | None:
     """The classifier from text and non-null lang of the rows that aren't held out; None if there are none."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts: dict[str, Counter] = {}
-    pairs = _sampled(labelled, TRAIN_DOCS, 1).select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
+    sample = dealt(labelled)
+    pairs = sample.where("not unseen").select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
     for lang, word, n in pairs.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect():
         counts.setdefault(lang, Counter())[word] = n
     if not counts:
         return None
     models = Models(counts)
     scorer = Scorer(models)
-    unseen = _sampled(labelled, CALIBRATION_DOCS, 2).select("lang", "text", "doc_id").orderBy("lang", "doc_id").collect()
+    unseen = sample.where("unseen").select("lang", "text").orderBy("lang", "text").collect()
     rows = [r for r in unseen if words_of(r["text"] or "") and r["lang"] in counts]
     n, slope = len(models.langs), 1.0
     limits = limits_of(np.zeros((0, n)), np.zeros(0), np.zeros(0, int))

@@ -5,7 +5,7 @@ minimises the non-negative unbiased risk: prior * R_P(+) + max(0, R_U(-) - prior
 A text is described by its hashed byte trigrams and by a few statistics of its words and lines. The class prior is estimated from labelled rows, or, without negatives
 among them, from how a positive-versus-unlabelled model scores the positives it hasn't seen.
 
-The model is fitted on a bounded sample, at most about ``POSITIVES`` labelled and ``UNLABELLED``
+The model is fitted on a bounded sample, at most ``POSITIVES`` labelled and ``UNLABELLED``
 other rows, chosen by a hash of the row; every row of the table is scored.
 """
 
@@ -168,24 +168,33 @@ def _features():
 
 
 def _some(df: DataFrame, n: int, most: int, salt: int) -> DataFrame:
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 12) / float(1 << 52)
-    return df.where(u < most / max(n, 1)) if n > most else df
+    """More than ``most`` of ``n`` rows (all, if there are no more), by a hash of the whole row."""
+    u = F.shiftrightunsigned(F.xxhash64(*df.columns, F.lit(salt)), 12) / float(1 << 52)
+    return df.where(u < 1.2 * most / n + 50 / n) if n > most else df
+
+
+def _collected(df: DataFrame, most: int) -> np.ndarray | None:
+    """The features of at most ``most`` rows of ``df`` (doc_id, text): those with the smallest hashes, however often an id or a row is repeated."""
+    described_ = append_columns(df.withColumn("_h", F.xxhash64("doc_id", "text")), Step(["text"], _FIELD, _features), drop=("text",))
+    rows = described_.orderBy("_h", "doc_id", "_x").limit(most).select("_x").collect()
+    return np.stack([np.frombuffer(r["_x"], np.float32) for r in rows]) if rows else None
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """The model from texts and labels of rows that aren't held out; None without a trusted positive or an unlabelled row."""
+    """The model from texts and labels of rows that aren't held out; None without a trusted positive or an unlabelled row.
+
+    At most POSITIVES and UNLABELLED rows reach the driver, as features.
+    """
     docs = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     sizes = {r[0]: r[1] for r in labels.groupBy("quality").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    ids = _some(labels.where("quality = 1"), n_pos, POSITIVES, 1).select("doc_id").distinct()
-    step = Step(["text"], _FIELD, _features)
     # the ids are bounded by the sample, and so is what the join sends out
-    pos = append_columns(docs.join(F.broadcast(ids), "doc_id", "left_semi"), step, drop=("text",)).orderBy("doc_id", "_x").collect()
-    unl = append_columns(_some(docs, docs.count(), UNLABELLED, 2), step, drop=("text",)).orderBy("doc_id", "_x").collect()
-    if not pos or not unl:
+    ids = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
+    p = _collected(docs.join(F.broadcast(ids), "doc_id", "left_semi"), POSITIVES)
+    u = _collected(_some(docs, docs.count(), UNLABELLED, 2), UNLABELLED)
+    if p is None or u is None:
         return None
-    p, u = (np.stack([np.frombuffer(r["_x"], np.float32) for r in rows]) for rows in (pos, unl))
     return fit_pu(p, u, estimate_prior(p, u, n_pos, n_neg))
 
 
