@@ -34,6 +34,8 @@ from ._util import Step, append_columns, documents, numbered_columns, partitions
 WHITE = b" \t\n\v\f\r"
 #: Lengths of the prefixes that deal groups to tasks. Beyond the last, a group goes by its whole text.
 DIGITS = (16, 64, 256, 1024, 4096, 16384)
+#: Heavy prefixes that are broadcast at most (16 MB); with more, Spark plans the join.
+BROADCAST_ROWS = 1 << 20
 
 
 def radix_groups(texts: list[bytes]) -> Iterator[list[int]]:
@@ -101,12 +103,12 @@ def _deal(reps: DataFrame, share: float) -> DataFrame:
         weight = F.sum(F.octet_length("text") + 64)
         left = dealt.where("bin is null")
         heavy = written(left.groupBy(key.alias("key")).agg(weight.alias("w"), (F.max(F.length(prefix)) < digit).alias("ended")).where(F.col("w") > share).select("key", "ended"), "exact-heavy")
-        done = heavy.isEmpty()
+        n_heavy = heavy.count()
         last = F.lit(k + 1 == len(DIGITS)) | F.col("ended")
-        marked = dealt.withColumn("key", key).join(F.broadcast(heavy), "key", "left")
+        marked = dealt.withColumn("key", key).join(F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy, "key", "left")
         light = F.col("bin").isNull() & (F.col("ended").isNull() | last)
         dealt = marked.withColumns({"hot": F.col("hot") | (F.col("bin").isNull() & F.coalesce(last & F.col("ended").isNotNull(), F.lit(False))), "bin": F.when(light, F.col("key")).otherwise(F.col("bin"))}).drop("key", "ended")
-        if done:
+        if not n_heavy:
             break
     return dealt
 

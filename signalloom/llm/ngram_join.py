@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ LARGE, BLOCK, SLICE = 64, 512, 4096
 PARTS = 4
 #: Into how many parts a large bucket is dealt for a join; how many of the largest buckets, by partition.
 SPREAD, LARGEST = 64, 4
+#: Most of these buckets that are broadcast, whatever the partitions (24 MB); those beyond aren't spread.
+MOST_HOT = 1 << 20
+#: Bytes of text that are cut into n-grams at a time, and how many times as many partitions as for plain text there are: a task holds the n-grams of its fragments.
+CUT_BYTES, FINER = 8 << 20, 4
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -101,9 +106,19 @@ _SENT = "kind int, fragment int, row long, doc_id long, rep long, n int, rows bi
 _SHARED = "kind int, row long, doc_id long, rep long, n int, bucket int, rows binary, sizes binary, ns binary, tokens binary"
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about CUT_BYTES of text, a longer text alone."""
+    for b in batches:
+        upto, at = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)), 0
+        while at < b.num_rows:
+            rows = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CUT_BYTES)) - at)
+            yield b.slice(at, rows)
+            at += rows
+
+
 def _cut(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _by_bytes(batches):
             rows, ids = b.column("row").to_numpy(zero_copy_only=False), b.column("doc_id").to_pylist()
             sets: list[np.ndarray] = []
             part, size = [], 0
@@ -244,9 +259,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
 def _with_bucket(rows: DataFrame, buckets: DataFrame, n: int, *keys: str) -> DataFrame:
     """``rows (keys, row, ...)`` joined with the row of ``buckets (keys, size, ...)``; the largest buckets are spread over SPREAD keys.
 
-    At most LARGEST * n of them are broadcast, whatever the data.
+    At most LARGEST * n of them, and never more than MOST_HOT, are broadcast, whatever the data.
     """
-    hot = F.broadcast(buckets.orderBy(F.desc("size"), *keys).limit(LARGEST * n).select(*keys, F.lit(True).alias("hot")))
+    hot = F.broadcast(buckets.orderBy(F.desc("size"), *keys).limit(min(LARGEST * n, MOST_HOT)).select(*keys, F.lit(True).alias("hot")))
     salted = rows.join(hot, list(keys), "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     spread = buckets.join(hot, list(keys), "left").withColumn("salt", F.explode(salts)).drop("hot")
@@ -330,13 +345,23 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     return sent.repartition(n, "group", "i", "j").mapInArrow(_blocks, "a long, b long")
 
 
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels (id, label)`` after further links: only labels are connected anew."""
+    ends = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
+    known = written(labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label")), "near-known")
+    one, two = (known.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b"))
+    joined = components(more.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    to = joined.select(F.col("id").alias("label"), F.col("label").alias("lower"))
+    return known.join(to, "label", "left").select("id", F.coalesce("lower", "label").alias("label"))
+
+
 def link_classes(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): rows (row, doc_id, rep, n) of the table, and the label of each representative that is linked with another.
 
     ``row``: a column of distinct longs that tells rows apart; without it they are numbered.
     """
     spark = docs.sparkSession
-    n = partitions(spark, text_bytes(docs))
+    n = partitions(spark, FINER * text_bytes(docs))
     fragments = 2 * n
     rows = docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id"), F.col("text"))
     cut = rows.mapInArrow(_cut(fragments), _SENT)
@@ -372,7 +397,7 @@ def link_classes(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, Da
     pairs = a.join(b, F.expr(f"a.token = b.token and a.row < b.row and a.label <> b.label and {_enough('a.n', 'b.n')} and {fits}")).select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
     more = written(_linked(pairs, sets, fragments).union(_in_blocks(mixed.where(f"size > {LARGE}"), sets, n)), "near-links")
     if not more.isEmpty():
-        labels = written(components(links.union(more)), "near-labels")
+        labels = written(_merged(labels, more), "near-labels")
     return table, labels
 
 
