@@ -265,8 +265,7 @@ def s2(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     rows = docs.select(F.lit("h").alias("host"), F.col("doc_id").alias("pid"), F.lit("run").alias("command"), F.array(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("--token="), F.col("source"))).otherwise(F.col("lang"))).alias("arguments"))
     lines = signals.signal_lines(rows, "exec", "plans")
-    payload = F.get_json_object("line", "$.payload")
-    return lines.select(F.get_json_object(payload, "$.pid").cast("long").alias("doc_id"), "kind", F.get_json_object(payload, "$.arguments[0]").alias("argument"))
+    return lines.select(F.get_json_object("line", "$.payload.pid").cast("long").alias("doc_id"), "kind", F.get_json_object("line", "$.payload.arguments[0]").alias("argument"))
 
 
 @query("u1_union_outputs", oracle(["conn"], "SELECT kind, count(*) AS n FROM (SELECT 'flow_warning' AS kind FROM conn WHERE kind IN ('snapshot', 'close') AND namespace IS NULL UNION ALL SELECT 'failure' FROM conn WHERE kind = 'failure') GROUP BY kind"))

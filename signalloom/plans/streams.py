@@ -1,9 +1,11 @@
 """Stream forms run over the provided tables: a file stream, read to its end, into a table in the shared folder."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import signals
+from ..sources import kinds, signals
 from ..operators import peer, requests
 from ..operators.common import shared_folder
 from ..streaming import processors, state, streams
@@ -258,10 +260,11 @@ def t1(spark, d):
 def _written_signals(spark, d) -> str:
     """Documents as exec signals in a folder, with some lines that fit nothing."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    rows = docs.where("doc_id % 5 > 0").select(F.col("source").alias("host"), F.col("doc_id").alias("pid"), F.lit("run").alias("command"), F.array("lang").alias("arguments"))
+    rows = docs.where("doc_id % 5 > 0").select(F.col("source").alias("host"), F.col("doc_id").alias("pid"), F.lit("run").alias("command"), F.array("lang").alias("arguments"), F.col("doc_id").alias("timestamp_unix_nanos"))
     path = f"{_folder(spark)}/signals"
     signals.write_signals(signals.signal_lines(rows, "exec", "plans"), path)
-    docs.where("doc_id % 5 = 0").select(F.when(F.col("doc_id") % 2 == 0, "not json").otherwise('{"schema_version":7,"kind":"exec"}').alias("value")).write.text(f"{path}/kind=bad")
+    bad = F.when(F.col("doc_id") % 2 == 0, "not json").otherwise('{"schema_version":7,"kind":"exec","source":"plans","payload":{}}')
+    docs.where("doc_id % 5 = 0").select(bad.alias("value")).write.text(f"{path}/kind=bad")
     return f"{path}/kind=*"
 
 
@@ -275,3 +278,80 @@ def s1(spark, d):
 def s1_bad(spark, d):
     _, quarantine = signals.read_signals(spark, _written_signals(spark, d), ["exec"])
     return quarantine.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _made(kind: str, n, k: int = 0):
+    """A value for a field of a payload, from a number."""
+    if kind in kinds.WORDS:
+        words = kinds.WORDS[kind].split()
+        return F.get(F.array(*map(F.lit, words)), F.pmod(n + k, F.lit(len(words))).cast("int"))
+    if kind in ("attributes", "frames"):
+        return F.array(_made(kind[:-1], n, k), _made(kind[:-1], n + 1, k))
+    if kind in kinds.PARTS:
+        return F.struct(*[_filled(f, n, i).alias(f.name) for i, f in enumerate(kinds.fields_of(kinds.PARTS[kind]), k)])
+    text = F.concat(F.lit(f"s{k}-"), n.cast("string"))
+    plain = {"long": (n + k).cast("long"), "int": (F.pmod(n, F.lit(1000)) + k).cast("int"), "double": n + 0.5, "string": text, "boolean": n % 2 == 0, "strings": F.array(text), "map": F.create_map(F.lit("app"), text)}
+    return plain[kind]
+
+
+def _filled(f: kinds.Field, n, k: int):
+    """A field; one that needn't be there is missing for a third of the numbers."""
+    made = _made(f.kind, n, k)
+    return made if f.needed else F.when(F.pmod(n + k, F.lit(3)) > 0, made)
+
+
+def _every_kind(spark, d) -> dict[str, DataFrame]:
+    """A table for each kind of signal: document k has the kind k % 44."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    n = F.col("doc_id")
+    tables = {}
+    for k, kind in enumerate(kinds.KINDS):
+        fields = [_filled(f, n, i).cast(kinds.sql_type(f.kind)).alias(f.name) for i, f in enumerate(kinds.fields_of(kinds.KINDS[kind]))]
+        tables[kind] = docs.where(n % len(kinds.KINDS) == k).select(n.cast("string").alias("host"), *fields)
+    return tables
+
+
+def _as_json(rows: DataFrame, kind: str) -> DataFrame:
+    payload = F.to_json(F.struct(*[f.name for f in kinds.fields_of(kinds.KINDS[kind])]))
+    return rows.select(F.lit(kind).alias("kind"), "host", payload.alias("payload"))
+
+
+def _all_of(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query("s1_every_kind", f"SELECT kind, count(*) AS n, count(*) AS same FROM (SELECT list_extract({list(kinds.KINDS)}, CAST(doc_id % {len(kinds.KINDS)} + 1 AS BIGINT)) AS kind FROM documents) GROUP BY kind")
+def s1_every(spark, d):
+    """Rows of every kind to lines and back: parsed once in a stream that deals them to tables; how many come back, and how many as they were."""
+    base, tables = _folder(spark), _every_kind(spark, d)
+    _all_of(signals.signal_lines(t, k, "plans") for k, t in tables.items()).select(F.col("line").alias("value")).coalesce(8).write.text(f"{base}/lines")
+    signals.read_lines(spark, f"{base}/lines", streaming=True).writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(signals.dispatch(f"{base}/tables")).start().awaitTermination()
+    back = _all_of(_as_json(signals.dispatched(spark, f"{base}/tables", k), k) for k in kinds.KINDS)
+    sent = _all_of(_as_json(t, k) for k, t in tables.items()).select(F.col("kind").alias("k"), F.col("host").alias("h"), F.col("payload").alias("p"))
+    met = back.join(sent, (back["kind"] == sent["k"]) & (back["host"] == sent["h"]), "left")
+    return met.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("payload") == F.col("p"), 1)).alias("same"))
+
+
+@query("t1_dispatch", """SELECT CASE doc_id % 6 WHEN 0 THEN 'not_an_envelope' WHEN 1 THEN 'unknown_kind' WHEN 2 THEN 'payload' WHEN 3 THEN 'schema_version' WHEN 4 THEN 'process_exit' ELSE 'dns_query' END AS place, count(*) AS n FROM documents GROUP BY 1""")
+def t1_dispatch(spark, d):
+    """Lines of two kinds, and of none, in several batches, of which the last is written twice."""
+    base, n = _folder(spark), F.col("doc_id")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+
+    def line(version: int, kind: str, payload):
+        return F.to_json(F.struct(F.lit(version).alias("schema_version"), F.lit(kind).alias("kind"), F.lit("plans").alias("source"), payload.alias("payload")))
+
+    def of(kind: str):
+        return F.struct(*[_filled(f, n, i).alias(f.name) for i, f in enumerate(kinds.fields_of(kinds.KINDS[kind]))])
+
+    value = F.when(n % 6 == 0, "{not json").when(n % 6 == 1, line(1, "other", of("exec"))).when(n % 6 == 2, line(1, "exec", F.struct(F.lit("x").alias("pid")))).when(n % 6 == 3, line(2, "exec", of("exec"))).when(n % 6 == 4, line(1, "process_exit", of("process_exit"))).otherwise(line(1, "dns_query", of("dns_query")))
+    put = signals.dispatch(f"{base}/tables")
+
+    def twice(batch: DataFrame, epoch: int) -> None:
+        put(batch, epoch)
+        put(batch, epoch)
+
+    _replayed(docs.select("doc_id", value.alias("value")), "doc_id").select("value").writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    places = [signals.dispatched(spark, f"{base}/tables", "_quarantine").select(F.col("reason").alias("place"))]
+    places += [signals.dispatched(spark, f"{base}/tables", k).select(F.lit(k).alias("place")) for k in ("process_exit", "dns_query")]
+    return _all_of(places).groupBy("place").agg(F.count(F.lit(1)).alias("n"))

@@ -2,66 +2,146 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bounds import redact_argv
+from .kinds import KINDS, PARTS, WORDS, Field, fields_of, schema, sql_type
 
 VERSION = 1
-_PROCESS = "process STRUCT<pid: BIGINT, ppid: BIGINT, uid: BIGINT, command: STRING, executable: STRING, cgroup_id: BIGINT>"
-_CONTEXT = "container STRUCT<container_id: STRING, runtime: STRING>, kubernetes STRUCT<namespace: STRING, pod_name: STRING, pod_uid: STRING, container_name: STRING, node_name: STRING, labels: MAP<STRING, STRING>>"
-_PEER = "protocol STRING, address_family STRING"
-_ENDS = "local_address STRING, local_port INT, remote_address STRING, remote_port INT, fd INT"
-_DNS = f"{_PROCESS}, query_name STRING, query_type STRING, transaction_id INT"
-#: Payload schemas by kind (fixed names of the wire form). Nothing is inferred.
-SCHEMAS = {
-    "exec": f"pid BIGINT, ppid BIGINT, uid BIGINT, command STRING, executable STRING, arguments ARRAY<STRING>, cgroup_id BIGINT, timestamp_unix_nanos BIGINT, {_CONTEXT}",
-    "process_exit": f"pid BIGINT, ppid BIGINT, uid BIGINT, command STRING, cgroup_id BIGINT, exit_code INT, runtime_nanos BIGINT, timestamp_unix_nanos BIGINT, {_CONTEXT}",
-    "network_connection_open": f"{_PROCESS}, {_PEER}, {_ENDS}, timestamp_unix_nanos BIGINT, {_CONTEXT}",
-    "network_connection_close": f"{_PROCESS}, {_PEER}, {_ENDS}, opened_at_unix_nanos BIGINT, closed_at_unix_nanos BIGINT, duration_nanos BIGINT, bytes_sent BIGINT, bytes_received BIGINT, {_CONTEXT}",
-    "network_connection_snapshot": f"{_PROCESS}, {_PEER}, {_ENDS}, opened_at_unix_nanos BIGINT, observed_at_unix_nanos BIGINT, bytes_sent BIGINT, bytes_received BIGINT, {_CONTEXT}",
-    "network_connection_failure": f"{_PROCESS}, {_PEER}, remote_address STRING, remote_port INT, fd INT, errno INT, timestamp_unix_nanos BIGINT, {_CONTEXT}",
-    "dns_query": f"{_DNS}, transport_protocol STRING, server_address STRING, server_port INT, timestamp_unix_nanos BIGINT, {_CONTEXT}",
-    "dns_response": f"{_DNS}, response_code STRING, latency_nanos BIGINT, transport_protocol STRING, server_address STRING, server_port INT, timestamp_unix_nanos BIGINT, {_CONTEXT}",
-}
+#: Tables of a batch that are written at the same time.
+WRITERS = 8
 #: Kinds that the topology form keeps.
 TOPOLOGY = ("network_flow_summary", "network_flow_warning", "dependency_edge", "service_interaction_span_observation", "trace_service_path_observation", "trace_correlation_warning")
-_ENVELOPE = "schema_version INT, kind STRING, source STRING, host STRING, payload STRING"
+#: What a value's own type may begin with, by the type of its field.
+_FORMS = {"long": ("BIGINT", "DECIMAL"), "int": ("BIGINT", "DECIMAL"), "double": ("BIGINT", "DECIMAL", "DOUBLE"), "string": ("STRING",), "boolean": ("BOOLEAN",), "strings": ("ARRAY",), "map": ("OBJECT",), "attributes": ("ARRAY",), "frames": ("ARRAY",)}
 
 
-def read_envelopes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """schema_version, kind, source, host, payload (JSON text) and the line itself."""
-    reader = spark.readStream if streaming else spark.read
-    e = F.from_json("value", _ENVELOPE)
-    return reader.text(path).select(e.alias("e"), F.col("value").alias("line")).select("e.*", "line")
+def _fits(value: Column, typed: Column, field: Field) -> Column:
+    """Whether a value (a variant, null if it isn't there) is of its field's type, and the fields within too."""
+    absent = F.coalesce(value.isNull() | F.is_variant_null(value), F.lit(True))
+    if field.kind in PARTS:
+        inner = [_fits(F.try_variant_get(value, f"$.{f.name}", "variant"), typed[f.name], f) for f in fields_of(PARTS[field.kind])]
+        good = F.schema_of_variant(value).startswith("OBJECT")
+        for i in inner:
+            good = good & i
+    else:
+        good = F.lit(False)
+        for form in _FORMS.get(field.kind, ("STRING",)):
+            good = good | F.schema_of_variant(value).startswith(form)
+        good = good & typed.isNotNull()
+        if field.kind in WORDS:
+            good = good & typed.isin(*WORDS[field.kind].split())
+        if field.kind in ("attributes", "frames"):
+            needed = [f.name for f in fields_of(PARTS[field.kind[:-1]]) if f.needed]
+            good = good & F.forall(typed, lambda x: x.isNotNull() & ~F.greatest(F.lit(False), *[x[n].isNull() for n in needed], F.lit(False)))
+    return F.when(absent, F.lit(not field.needed)).otherwise(F.coalesce(good, F.lit(False)))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines (``value``) with the envelope's fields, the payload as a variant, and ``reason`` for what is no envelope of this version and a known kind (S1). The JSON is parsed once."""
+    v = lines.withColumn("v", F.try_parse_json("value"))
+    text = {n: F.try_variant_get("v", f"$.{n}", "string") for n in ("kind", "source", "host")}
+    out = v.select("value", F.try_variant_get("v", "$.schema_version", "int").alias("schema_version"), *[c.alias(n) for n, c in text.items()], F.try_variant_get("v", "$.payload", "variant").alias("payload"))
+    reason = (
+        F.when(F.col("kind").isNull() | F.col("source").isNull() | F.col("payload").isNull(), "not_an_envelope")
+        .when(~F.col("schema_version").eqNullSafe(F.lit(VERSION)), "schema_version")
+        .when(~F.col("kind").isin(*KINDS), "unknown_kind")
+    )
+    return out.withColumn("reason", reason)
+
+
+def _typed(mine: DataFrame, kind: str) -> DataFrame:
+    """Parsed lines of one kind with ``p``, the typed payload, and ``ok``, whether it fits."""
+    fields = fields_of(KINDS[kind])
+    typed = F.try_variant_get("payload", "$", f"STRUCT<{', '.join(f'{f.name}: {sql_type(f.kind)}' for f in fields)}>")
+    rows = mine.withColumn("p", typed)
+    ok = F.col("p").isNotNull()
+    for f in fields:
+        ok = ok & _fits(F.try_variant_get("payload", f"$.{f.name}", "variant"), F.col(f"p.{f.name}"), f)
+    return rows.withColumn("ok", ok)
+
+
+def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    return (spark.readStream if streaming else spark.read).text(path).select("value")
+
+
+def _envelope(kind: str) -> list[str]:
+    """What a kind's table has beside its payload; a payload's own ``source`` is kept instead of the envelope's."""
+    return [c for c in ("source", "host") if c not in (f.name for f in fields_of(KINDS[kind]))]
+
+
+def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    return _typed(rows.where("reason is null").where(F.col("kind") == kind), kind)
+
+
+def _misfits(typed: DataFrame) -> DataFrame:
+    return typed.where("not ok").select(F.col("value").alias("line"), F.lit("payload").alias("reason"))
 
 
 def read_signals(spark: SparkSession, path: str, kinds: Sequence[str] | None = None, streaming: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """One DataFrame for each kind, and a quarantine of lines that don't fit.
+    """One DataFrame for each kind (all by default), and a quarantine of lines that don't fit.
+
+    A line is quarantined with its reason if it isn't an envelope, has another version or an unknown kind, or its payload isn't of its kind: a field that must be there is missing, or one has
+    another type or a word that isn't known. Other fields are ignored. Where a payload has a field ``source``, this one is kept.
+    """
+    rows = parsed(read_lines(spark, path, streaming))
+    tables, bad = {}, rows.where("reason is not null").select(F.col("value").alias("line"), "reason")
+    for kind in kinds or KINDS:
+        typed = _of_kind(rows, kind)
+        tables[kind] = typed.where("ok").select(*_envelope(kind), "p.*")
+        bad = bad.unionByName(_misfits(typed))
+    return tables, bad
 
-    A line is quarantined with its reason if it isn't an envelope, has another version or an unknown kind, or its payload doesn't parse.
+
+def dispatch(root: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that deals lines (``value``) to a table for each kind and a quarantine under ``root``.
+
+    Each batch is parsed once and its kinds are written to ``<kind>/epoch=<epoch>``, WRITERS at a time, replacing what an attempt before has left there; then the epoch is marked as done.
+    ``dispatched`` reads what is done only, so a batch that fails half-way or is repeated counts once. Misfits of a kind are counted while it is written, and looked for only where there are some.
     """
-    raw = read_envelopes(spark, path, streaming)
-    wanted = list(kinds or SCHEMAS)
-    tables, bad = {}, [raw.where(F.col("kind").isNull() | ~F.col("schema_version").eqNullSafe(F.lit(VERSION)) | ~F.coalesce(F.col("kind").isin(*SCHEMAS), F.lit(False))).select("line", F.when(F.col("kind").isNull(), "not_an_envelope").when(~F.col("schema_version").eqNullSafe(F.lit(VERSION)), "schema_version").otherwise("unknown_kind").alias("reason"))]
-    for kind in wanted:
-        mine = raw.where((F.col("kind") == kind) & (F.col("schema_version") == VERSION))
-        parsed = mine.withColumn("p", F.from_json("payload", SCHEMAS[kind] + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
-        broken = F.col("p").isNull() | F.col("p._corrupt").isNotNull()
-        tables[kind] = parsed.where(~broken).select("source", "host", "p.*").drop("_corrupt")
-        bad.append(parsed.where(broken).select("line", F.lit("payload").alias("reason")))
-    quarantine = bad[0]
-    for b in bad[1:]:
-        quarantine = quarantine.unionByName(b)
-    return tables, quarantine
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = parsed(batch).persist()
+
+        def write(kind: str) -> DataFrame | None:
+            seen, typed = Observation(), _of_kind(rows, kind)
+            typed.observe(seen, F.count_if(~F.col("ok")).alias("misfits")).where("ok").select(*_envelope(kind), "p.*").write.mode("overwrite").parquet(f"{root}/{kind}/epoch={epoch}")
+            return _misfits(typed) if seen.get["misfits"] else None
+
+        try:
+            present = sorted(r[0] for r in rows.where("reason is null").select("kind").distinct().collect())  # at most the known kinds
+            bad = rows.where("reason is not null").select(F.col("value").alias("line"), "reason")
+            with ThreadPoolExecutor(WRITERS) as pool:
+                for misfits in pool.map(write, present):
+                    bad = bad.unionByName(misfits) if misfits else bad
+            bad.write.mode("overwrite").parquet(f"{root}/_quarantine/epoch={epoch}")
+            spark.createDataFrame([(epoch, [*present, "_quarantine"])], "epoch long, tables array<string>").write.mode("overwrite").parquet(f"{root}/_done/epoch={epoch}")
+        finally:
+            rows.unpersist()
+
+    return run
+
+
+def dispatched(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """What ``dispatch`` has written to the table of a kind, or ``_quarantine``, in the batches that are done."""
+    done = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/_done").where(F.array_contains("tables", table)).select("epoch").distinct().collect()
+    shape = "line string, reason string" if table == "_quarantine" else schema(table)
+    if table != "_quarantine":
+        shape = ", ".join([*[f"{c} string" for c in _envelope(table)], shape])
+    paths = [f"{root}/{table}/epoch={r[0]}" for r in done]
+    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
 
 
 def signal_lines(df: DataFrame, kind: str, source: str) -> DataFrame:
     """kind and line: one JSON envelope for each row of a payload table (columns host and the payload's) (S2). Arguments are redacted."""
     body = df.withColumn("arguments", redact_argv(F.col("arguments"))) if "arguments" in df.columns else df
-    payload = F.to_json(F.struct(*[c for c in body.columns if c not in ("host", "source")]))
+    own = {f.name for f in fields_of(KINDS[kind])} if kind in KINDS else set()
+    payload = F.struct(*[c for c in body.columns if c != "host" and (c != "source" or c in own)])
     host = F.col("host") if "host" in df.columns else F.lit(None).cast("string")
     return body.select(F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), F.lit(kind).alias("kind"), F.lit(source).alias("source"), host.alias("host"), payload.alias("payload"))).alias("line"))
 

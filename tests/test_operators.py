@@ -69,16 +69,16 @@ def test_prometheus_lines(spark):
 
 
 def test_signals_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("h", 1, "sh", ["sh", "--token", "abc"])], "host string, pid long, command string, arguments array<string>")
+    rows = spark.createDataFrame([("h", 1, "sh", ["sh", "--token", "abc"], 5)], "host string, pid long, command string, arguments array<string>, timestamp_unix_nanos long")
     path = str(tmp_path / "signals")
     signals.write_signals(signals.signal_lines(rows, "exec", "t"), path)
     bad = tmp_path / "signals" / "kind=bad"
     bad.mkdir()
-    (bad / "x.txt").write_text('{"schema_version":9,"kind":"exec"}\nnot json\n{"schema_version":1,"kind":"nothing","payload":{}}\n{"schema_version":1,"kind":"exec","payload":{"pid":"x"}}\n')
+    (bad / "x.txt").write_text('{"schema_version":9,"kind":"exec","source":"t","payload":{}}\nnot json\n{"schema_version":1,"kind":"nothing","source":"t","payload":{}}\n{"schema_version":1,"kind":"exec","source":"t","payload":{"pid":"x"}}\n')
     tables, quarantine = signals.read_signals(spark, f"{path}/kind=*", ["exec"])
     assert [(r.pid, r.arguments) for r in tables["exec"].collect()] == [(1, ["sh", "--token", "<redacted>"])]
     assert sorted(r.reason for r in quarantine.collect()) == ["not_an_envelope", "payload", "schema_version", "unknown_kind"]
-    assert signals.read_envelopes(spark, f"{path}/kind=exec", streaming=True).isStreaming
+    assert signals.read_lines(spark, f"{path}/kind=exec", streaming=True).isStreaming
 
 
 def test_plan_has_few_shuffles(spark):
