@@ -29,7 +29,8 @@ def fnv1a64_many(values: list[bytes], seed: int = OFFSET) -> np.ndarray:
     return out
 
 
-def _udf(seed: int):
+def hash_function(seed: int):
+    """The hash as a function of Arrow batches."""
     def run(values: pd.Series) -> pd.Series:
         raw = [None if v is None else v if isinstance(v, bytes) else v.encode() for v in values]
         hashes = fnv1a64_many([r or b"" for r in raw], seed)
@@ -40,7 +41,7 @@ def _udf(seed: int):
 
 def fnv1a64(value: Column, seed: int = OFFSET) -> Column:
     """16 lower hex digits; null for null."""
-    return _udf(seed)(value)
+    return hash_function(seed)(value)
 
 
 def bounded_or_hash(value: Column, limit: int, prefix: str = "hash:") -> Column:

@@ -41,6 +41,22 @@ def normalize_samples(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.withColumn("stack_id", stack_id(F.col("frames"))), df.where(~good).withColumn("reason", F.lit("empty_sample"))
 
 
+#: What tells samples apart beside their bounded stack id and weight.
+SAMPLE = ("source", "host", "ts", "pid", "kind", "correlation_kind", "thread_id", "sample_count", "period", "container_id", "pod_uid")
+
+
+def sample_weight(attributes: Column) -> Column:
+    """The weight that a sample's attributes name, if it is a number."""
+    return F.get(F.filter(attributes, lambda a: a["key"] == WEIGHT), 0)["value"].try_cast("long")
+
+
+def dedup_samples(samples: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """One row for each sample (A19); the first by ``order``."""
+    known = [c for c in SAMPLE if c in samples.columns]
+    marked = samples.withColumns({"_stack": bounded_or_hash(F.col("stack_id"), STACK_BYTES, "stack-hash:"), "_weight": sample_weight(F.col("attributes"))})
+    return dedup(marked, (*known, "_stack", "_weight"), order).drop("_stack", "_weight")
+
+
 def _on(left: DataFrame, right: DataFrame) -> Column:
     return reduce(and_, [left[c].eqNullSafe(right[c]) for c in SESSION])
 
@@ -52,7 +68,7 @@ def profile_sessions(samples: DataFrame, window: int = WINDOW) -> DataFrame:
     the first ``ATTRIBUTES`` in order stay.
     """
     rank = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
-    weight = F.coalesce(F.get(F.filter("attributes", lambda a: a["key"] == WEIGHT), 0)["value"].try_cast("long"), F.lit(0))
+    weight = F.coalesce(sample_weight(F.col("attributes")), F.lit(0))
     rows = samples.withColumns({"bucket": bucket(F.col("ts"), window), "stack_id": bounded_or_hash(F.col("stack_id"), STACK_BYTES, "stack-hash:"), "_w": F.greatest(weight, F.lit(0))})
     stacks = rows.groupBy(*SESSION, "stack_id").agg(F.sum("sample_count").alias("n"), F.min(rank).alias("c"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.sum("_w").alias("w"))
     out = stacks.groupBy(*SESSION).agg(

@@ -7,6 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dedup
+
+
+#: What tells observations of a kind apart beside host and time: the scope's columns, those of the values, and those of which a missing one counts as 0.
+FINGERPRINTS = {
+    "node_cpu": ((), ("user", "system", "idle", "iowait", "steal"), ("runnable", "blocked")),
+    "node_load": ((), ("load1", "load5", "load15"), ()),
+    "node_memory": ((), ("total", "available", "free", "swap_total", "swap_free"), ()),
+    "node_filesystem": (("mount_point",), ("total", "available", "filesystem_type"), ()),
+    "node_disk": (("device",), ("reads", "writes", "read_bytes", "written_bytes"), ()),
+    "process": (("pid",), ("cpu_time", "rss", "virtual", "fds", "sockets", "threads"), ()),
+    "cgroup_cpu": (("cgroup_path",), ("usage", "user", "system", "throttle_periods", "throttled"), ()),
+    "cgroup_memory": (("cgroup_path",), ("current", "peak", "limit"), ()),
+    "cgroup_pids": (("cgroup_path",), ("pids", "threads", "pids_limit"), ()),
+    "cgroup_fds": (("cgroup_path",), ("open", "sockets"), ()),
+}
+
+
+def dedup_observations(obs: DataFrame, kind: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row for each observation of a kind (A19): equal host, time, scope and values; the first by ``order``."""
+    scope, values, zeros = FINGERPRINTS[kind]
+    marked = obs.withColumns({f"_z_{c}": F.coalesce(F.col(c), F.lit(0)) for c in zeros})
+    return dedup(marked, ("host", "ts", *scope, *values, *[f"_z_{c}" for c in zeros]), order).drop(*[f"_z_{c}" for c in zeros])
+
 
 def counter_deltas(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
     """What a cumulative counter gained since its row before.

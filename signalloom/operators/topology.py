@@ -98,6 +98,17 @@ def path_ids(paths: DataFrame) -> DataFrame:
     return paths.withColumn("path_id", fnv1a64(F.col("path_label")))
 
 
+#: What tells the ends of connections apart.
+INTERACTION = ("host", "kind", "pid", "fd", "remote_address", "remote_port", "_start", "ts", "errno")
+
+
+def dedup_interactions(events: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """One row for each close and failure (A19); a close without a known start begins where it ends, and its errno doesn't count."""
+    failed = F.col("kind") == "failure"
+    marked = events.where("kind in ('close', 'failure')").withColumns({"_start": F.when(failed, F.col("ts")).otherwise(F.coalesce("opened_at", "ts")), "_errno": F.when(failed, F.col("errno"))})
+    return dedup(marked, (*INTERACTION[:-1], "_errno"), order).drop("_start", "_errno")
+
+
 def interaction_spans(events: DataFrame) -> DataFrame:
     """A client span for each close and failure (D3); a failure has no duration and an error type."""
     failed = F.col("kind") == "failure"

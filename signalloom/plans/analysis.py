@@ -12,6 +12,15 @@ def w1b(spark, d):
     return resources.counter_deltas(adapt(spark, d, "counters"), ["device"], ts="day", order=["seq"]).select("device", "seq", "delta", "window_start", "window_end")
 
 
+_USED = "SELECT o_orderkey AS seq, 'h' AS host, o_custkey % 5 AS day, 'm' || CAST(o_custkey % 7 AS STRING) AS mount_point, CAST(floor(o_totalprice / 50000) AS BIGINT) AS total, CASE WHEN o_orderstatus = 'F' THEN 1 END AS available, o_orderpriority AS filesystem_type FROM {orders}"
+
+
+@query("a19_dedup_resources", f"WITH o AS ({_USED.replace('{orders}', 'orders')}) SELECT min(seq) AS seq, host, day, mount_point, total, available, filesystem_type FROM o GROUP BY ALL")
+def a19_resources(spark, d):
+    obs = spark.sql(_USED, orders=spark.read.parquet(f"{d}/orders.parquet")).withColumnRenamed("day", "ts")
+    return resources.dedup_observations(obs, "node_filesystem", ("seq",)).withColumnRenamed("ts", "day")
+
+
 @query("w2_gauge_changes", oracle(["gauges"], "SELECT series, seq, day, value FROM (SELECT *, lag(value) OVER w AS was, row_number() OVER w AS n FROM gauges WINDOW w AS (PARTITION BY series ORDER BY day, seq)) WHERE n = 1 OR was IS DISTINCT FROM value"))
 def w2(spark, d):
     return resources.gauge_changes(adapt(spark, d, "gauges"), ["series"], ts="day", order=["seq"])

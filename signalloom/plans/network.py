@@ -164,6 +164,12 @@ def a19(spark, d):
     return common.dedup(connections(spark, d).select(*keys, "seq"), keys, ["seq"])
 
 
+@query("a19_dedup_interactions", oracle(["conn"], "SELECT min(seq) AS seq, host, kind, pid, fd, remote_address, remote_port, hour FROM (SELECT *, CAST(floor(ts / 3600000000000) AS BIGINT) AS hour, CASE WHEN seq % 2 = 0 THEN seq % 3 END AS opened FROM conn WHERE kind IN ('close', 'failure')) GROUP BY host, kind, pid, fd, remote_address, remote_port, hour, CASE WHEN kind = 'close' THEN coalesce(opened, hour) ELSE errno END"))
+def a19_interactions(spark, d):
+    rows = connections(spark, d).withColumns({"ts": F.floor(F.col("ts") / 3_600_000_000_000), "opened_at": F.when(F.col("seq") % 2 == 0, F.col("seq") % 3)})
+    return topology.dedup_interactions(rows).select("seq", "host", "kind", "pid", "fd", "remote_address", "remote_port", F.col("ts").alias("hour"))
+
+
 @query("k1_cap_keys", oracle(["conn"], "WITH f AS (SELECT remote_address, remote_port, min(ts) AS t FROM conn GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY t, remote_address, remote_port) <= 20 AS within_cap FROM f) SELECT c.seq, r.within_cap FROM conn c JOIN r USING (remote_address, remote_port)"))
 def k1(spark, d):
     return common.cap_keys(connections(spark, d), ["remote_address", "remote_port"], "ts", 20).select("seq", "within_cap")

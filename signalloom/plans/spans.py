@@ -119,6 +119,16 @@ def samples(spark, d):
     return rows.withColumns(made | {"correlation_kind": F.lit("process"), "container_id": F.when(F.col("pid") > 0, F.col("pid").cast("string")), "namespace": null, "pod_uid": null, "pod_name": null, "sample_count": F.col("sample_count").cast("long")})
 
 
+@query("a19_dedup_samples", oracle(["stacks"], "SELECT min(seq) AS seq, source, kind, pid, stack_id, n, weight FROM (SELECT *, sample_count % 2 AS n, ts % 3000000000 AS t, CASE WHEN seq % 2 = 0 THEN seq % 6 END AS weight FROM stacks) GROUP BY source, kind, pid, stack_id, n, weight, t"))
+def a19_samples(spark, d):
+    rows = samples(spark, d)
+    weight = F.when(F.col("seq") % 2 == 0, F.array(F.struct(F.lit(profiling.WEIGHT).alias("key"), (F.col("seq") % 6).cast("string").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    null = F.lit(None).cast("long")
+    coarse = rows.withColumns({"ts": F.col("ts") % 3_000_000_000, "sample_count": F.col("sample_count") % 2, "attributes": weight, "uid": null, "period": null})
+    kept = profiling.dedup_samples(coarse.withColumn("container_id", F.when(F.col("pid") > 0, F.col("pid").cast("string"))))
+    return kept.select("seq", "source", "kind", "pid", "stack_id", F.col("sample_count").alias("n"), profiling.sample_weight(F.col("attributes")).alias("weight"))
+
+
 _S = "st AS (SELECT *, ts - ts % 300000000000 AS bucket, CASE WHEN pid > 0 THEN CAST(pid AS STRING) END AS container_id, CASE WHEN seq % 2 = 0 THEN pid % 2 END AS uid, seq % 4 AS period, CASE WHEN seq % 5 = 0 THEN 'main' END AS container_name, CASE WHEN seq % 2 = 0 THEN seq ELSE 0 END AS weight FROM stacks)"
 _KEYS = "source, kind, pid, uid, container_id, container_name, period, bucket"
 _SESSIONS = f"""s AS (SELECT {_KEYS}, CAST(least(sum(sample_count), 64) AS BIGINT) AS observed, CAST(greatest(sum(sample_count) - 64, 0) AS BIGINT) AS dropped, least(count(DISTINCT stack_id), 64) AS distinct_stacks, CASE min(CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence,
@@ -190,6 +200,17 @@ def s15(spark, d):
     return profiling.pprof_tables(_frames(spark, d), ["source"])["functions"].select("source", "symbol", F.col("function_id").cast("long").alias("function_id"))
 
 
+@query("s15_pprof_strings", "WITH f AS (SELECT DISTINCT source, s AS string FROM (SELECT source, unnest(array_slice(string_split(text, ' '), 1, 256)) AS s FROM documents UNION ALL SELECT source, unnest(['', 'm']) FROM documents)) SELECT source, string, dense_rank() OVER (PARTITION BY source ORDER BY string) AS string_id FROM f")
+def s15_strings(spark, d):
+    return profiling.pprof_tables(_frames(spark, d), ["source"])["strings"].select("source", "string", F.col("string_id").cast("long").alias("string_id"))
+
+
+@query("s15_pprof_locations", "WITH f AS (SELECT DISTINCT source, w AS symbol FROM (SELECT source, unnest(array_slice(string_split(text, ' '), 1, 256)) AS w FROM documents)) SELECT source, symbol, length(symbol) AS module_offset, dense_rank() OVER (PARTITION BY source ORDER BY length(symbol), symbol) AS location_id, dense_rank() OVER (PARTITION BY source ORDER BY symbol) AS function_id FROM f")
+def s15_locations(spark, d):
+    places = profiling.pprof_tables(_frames(spark, d), ["source"])["locations"]
+    return places.select("source", "symbol", F.col("module_offset").cast("long").alias("module_offset"), F.col("location_id").cast("long").alias("location_id"), F.col("function_id").cast("long").alias("function_id"))
+
+
 @query("s15_pprof_samples", "SELECT doc_id AS seq, (doc_id % 3) * 10 AS value, least(256, len(string_split(text, ' '))) AS depth FROM documents")
 def s15s(spark, d):
     return profiling.pprof_tables(_frames(spark, d), ["source"])["samples"].select("seq", "value", F.size("locations").cast("long").alias("depth"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import bounds, hashing, policy, text
+from ..functions import bounds, catalog, hashing, policy, text
 from ..operators import sanitize
 from ..sources import host
 from .adapters import adapt, oracle
@@ -210,6 +210,24 @@ def f4(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.fnv1a64(F.col("text")).alias("hash"), hashing.bounded_or_hash(F.col("text"), 64).alias("bounded"))
 
 
+@query(
+    "f_sql_functions",
+    f"WITH t AS ({_IP.replace('{orders}', 'orders')}), p AS (SELECT *, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b FROM t), c AS ({_CG.replace('{orders}', 'orders')}) SELECT o_orderkey, NOT (a = 10 OR a = 127 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239) AS external, CASE WHEN o_orderkey % 3 < 2 THEN h END AS container_id, path LIKE '/d_cker/%' AS docker, substr(path, 1, 9) AS cut, lower(substr(h, 1, 8)) || '.example' AS domain FROM p JOIN c USING (o_orderkey)",
+)
+def sql_functions(spark, d):
+    """The catalog's functions, named in SQL."""
+    catalog.register(spark)
+    orders = table(spark, d, "orders")
+    return spark.sql("SELECT o_orderkey, is_external_address(ip) AS external, container_of_path(path) AS container_id, glob_match('/d?cker/*', path) AS docker, truncate_utf8(path, 9) AS cut, normalize_domain(concat(' ', upper(substr(h, 1, 8)), '.Example. ')) AS domain FROM {ips} JOIN {paths} USING (o_orderkey)", ips=spark.sql(_IP, orders=orders), paths=spark.sql(_CG, orders=orders))
+
+
+@query("f_sql_traceparent", f"WITH t AS ({_TP.replace('{documents}', 'documents')}) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(tp, 4, 32) END AS trace_id, CASE doc_id % 5 WHEN 1 THEN 'reserved_version' WHEN 2 THEN 'invalid_hex' WHEN 3 THEN 'all_zero_trace_id' WHEN 4 THEN 'malformed' END AS reason, {hashing.hash_sql('tp')} AS hash FROM t")
+def sql_traceparent(spark, d):
+    """The catalog's table function, and its hash."""
+    catalog.register(spark)
+    return spark.sql("SELECT r.doc_id, t.trace_id, t.reason, fnv1a64(r.tp) AS hash FROM {rows} r, LATERAL traceparent(r.tp) t", rows=spark.sql(_TP, documents=table(spark, d, "documents")))
+
+
 @query("f5_generated_ids", f"WITH t AS (SELECT doc_id, source || '|' || lang || '|' || doc_id AS t FROM documents) SELECT doc_id, {hashing.hash_sql('t', hashing.SEEDS[0])} || {hashing.hash_sql('t', hashing.SEEDS[1])} AS trace_id, {hashing.hash_sql('t', hashing.SEEDS[2])} AS span_id FROM t")
 def f5(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.generated_ids(F.concat_ws("|", "source", "lang", F.col("doc_id").cast("string"))).alias("i")).select("doc_id", "i.*")
