@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import kinds, signals
 from ..operators import peer, requests
 from ..operators.common import shared_folder
-from ..streaming import processors, state, streams
+from ..streaming import processors, state, streams, watch
 from .adapters import adapt, oracle
 from .registry import query
 
@@ -355,3 +355,31 @@ def t1_dispatch(spark, d):
     places = [signals.dispatched(spark, f"{base}/tables", "_quarantine").select(F.col("reason").alias("place"))]
     places += [signals.dispatched(spark, f"{base}/tables", k).select(F.lit(k).alias("place")) for k in ("process_exit", "dns_query")]
     return _all_of(places).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WATCHED = "SELECT pod_name, CASE WHEN k % 8 = 2 THEN 'back' WHEN k % 7 = 0 THEN 'new' ELSE 'listed' END AS node_name FROM (SELECT *, CAST(container_id AS BIGINT) AS k FROM pods) WHERE (k % 5 < 4 OR k % 8 = 2 OR k % 7 = 0) AND (k % 8 = 2 OR k % 7 = 0 OR k % 8 <> 3)"
+
+
+@query("s6_pod_watch_stream", oracle(["pods"], _WATCHED))
+def s6_stream(spark, d):
+    """Several batches: changes that an error makes void, a new list, then changes of which some come late and some twice."""
+    pods = adapt(spark, d, "pods").withColumn("k", F.col("container_id").cast("long")).select("k", "namespace", "pod_name", "pod_uid", "node_name")
+    k, base = F.col("k"), _folder(spark)
+
+    def events(place: int, seq, type_: str, node: str, where) -> DataFrame:
+        return pods.where(where).select((F.lit(place * 1_000_000) + k).alias("place"), seq.alias("seq"), F.lit(type_).alias("type"), "namespace", "pod_name", "pod_uid", F.lit(node).alias("node_name"))
+
+    error = spark.range(1).select(F.lit(1_500_000).alias("place"), F.lit(1_500_000).cast("long").alias("seq"), F.lit("ERROR").alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("namespace", "pod_name", "pod_uid", "node_name")])
+    log = _all_of([
+        events(0, k, "MODIFIED", "void", F.lit(True)), events(1, 1_000_000 + k, "DELETED", "void", k % 2 == 0), error,
+        events(1, 2_000_000 + k, "DELETED", "gone", k % 8 == 3), events(2, 3_000_000 + k, "ADDED", "back", k % 8 == 2), events(2, 3_000_000 + k, "ADDED", "new", (k % 7 == 0) & (k % 8 != 2)),
+        events(2, 2_500_000 + k, "MODIFIED", "late", k % 8 == 2), events(2, 1_900_000 + k, "MODIFIED", "late", (k % 8 == 3) & (k % 7 != 0)), events(2, 3_000_000 + k, "BOOKMARK", "none", k % 8 == 5),
+    ])
+    put = watch.pod_watch(base, lambda: pods.where(k % 5 < 4).withColumn("node_name", F.lit("listed")).drop("k"), keep=10_000_000)
+
+    def twice(batch: DataFrame, epoch: int) -> None:
+        put(batch.drop("place"), epoch)
+        put(batch.drop("place"), epoch)
+
+    _replayed(log, "place").writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    return watch.watched_pods(spark, base).select("pod_name", "node_name")

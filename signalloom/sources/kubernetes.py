@@ -42,17 +42,21 @@ def read_endpoint_slices(json: DataFrame, column: str = "value") -> DataFrame:
     return _items(json, column, SLICES).where(name.isNotNull()).select("metadata.namespace", name.alias("service_name"), addresses.alias("addresses"))
 
 
+def pod_key() -> Column:
+    """What tells pods apart."""
+    return F.coalesce("pod_uid", F.concat_ws("/", "namespace", "pod_name"))
+
+
 def apply_pod_watch(snapshot: DataFrame, log: DataFrame) -> DataFrame:
     """The pods after a watch log (seq, type, then the snapshot's columns).
 
     ADDED and MODIFIED put a pod by uid, or namespace and name; DELETED removes it; BOOKMARK changes nothing. An ERROR means
     the list must be read again: what the log had before the last one doesn't count, and the snapshot stands for it.
     """
-    key = F.coalesce("pod_uid", F.concat_ws("/", "namespace", "pod_name"))
     last = log.agg(F.coalesce(F.max(F.when(F.col("type") == "ERROR", F.col("seq"))), F.lit(-1)).alias("_from"))
     live = log.join(F.broadcast(last)).where("seq > _from and type in ('ADDED', 'MODIFIED', 'DELETED')").drop("_from")
     both = snapshot.withColumns({"seq": F.lit(-1).cast("long"), "type": F.lit("ADDED")}).unionByName(live.select("seq", "type", *snapshot.columns))
-    rows = both.groupBy(key.alias("_key")).agg(F.max_by(F.struct("type", *snapshot.columns), "seq").alias("s"))
+    rows = both.groupBy(pod_key().alias("_key")).agg(F.max_by(F.struct("type", *snapshot.columns), "seq").alias("s"))
     return rows.where("s.type <> 'DELETED'").select(*[F.col(f"s.{c}").alias(c) for c in snapshot.columns])
 
 
