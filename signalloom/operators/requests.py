@@ -18,7 +18,7 @@ from ..functions.hashing import bounded_or_hash, request_ids
 from ..functions.policy import selector
 from ..functions.text import grpc_status, parse_traceparent, valid_span_id, valid_trace_id
 from .common import dedup, in_order
-from .running import sessions
+from .running import running, sessions
 
 #: Requests in flight on a connection, and nanoseconds until a request is given up.
 IN_FLIGHT, TIMEOUT = 32, 30_000_000_000
@@ -36,15 +36,22 @@ def _appended(first: Column, second: Column) -> Column:
 
 
 def match_by_id(requests: DataFrame, responses: DataFrame, timeout: int = TIMEOUT) -> DataFrame:
-    """Requests with their response by connection and correlation id (J8). No or several candidates within the timeout: no match, a row without end."""
-    r = responses.select(F.col("host").alias("_h"), F.col("connection").alias("_c"), F.col("correlation_id").alias("_i"), F.col("ts").alias("_ts"), F.col("attributes").alias("_a"))
-    on = (F.col("host") == F.col("_h")) & (F.col("connection") == F.col("_c")) & (F.col("correlation_id") == F.col("_i")) & (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + timeout)
-    pairs = requests.join(r, on, "left")
-    keys = ["host", "connection", "correlation_id", "seq"]
-    found = pairs.groupBy(*keys).agg(F.count("_ts").alias("candidates"), F.first("ts").alias("start"), F.first("attributes").alias("_mine"), F.first("_ts").alias("_end"), F.first("_a").alias("_theirs"))
-    one = F.col("candidates") == 1
-    empty = F.slice("_mine", 1, 0)
-    return found.select(*keys, "start", F.when(one, F.col("_end")).alias("end"), _appended(F.col("_mine"), F.when(one, F.coalesce("_theirs", empty)).otherwise(empty)).alias("attributes"))
+    """Requests with their response by connection and correlation id (J8). No or several candidates within the timeout: no match, a row without end.
+
+    Nothing is paired: read backwards in time, each response knows the one after it and each request the first one at or after it, which is all that counting up to two takes. So an
+    id that is used again and again costs its rows, in slices.
+    """
+    keys = ("host", "connection", "correlation_id")
+    known = " and ".join(f"{k} is not null" for k in keys)
+    answers = running(responses.where(known).select(*keys, "ts", F.col("attributes").alias("theirs"), (-F.col("ts")).alias("back")), keys, ("back",), {"following": ("last", "ts")}, inclusive=False)
+    asked = requests.select(*keys, "seq", "ts", "attributes", (-F.col("ts")).alias("back"), F.lit(1).alias("kind"))
+    both = asked.unionByName(answers.select(*keys, "back", F.lit(0).alias("kind"), F.struct("ts", "theirs", "following").alias("answer")), allowMissingColumns=True)
+    # at equal times an answer is met before the request, going backwards
+    found = running(both, keys, ("back", "kind"), {"next": ("last", "answer")}).where("kind = 1")
+    until = F.col("ts") + timeout
+    one = F.coalesce((F.col("next.ts") <= until) & (F.col("next.following").isNull() | (F.col("next.following") > until)), F.lit(False)) & F.expr(known)
+    empty = F.slice("attributes", 1, 0)
+    return found.select(*keys, "seq", F.col("ts").alias("start"), F.when(one, F.col("next.ts")).alias("end"), _appended(F.col("attributes"), F.when(one, F.coalesce("next.theirs", empty)).otherwise(empty)).alias("attributes"))
 
 
 def fifo(timeout: int, most: int, strict: bool = False):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_sql
 from ..functions.policy import AttributionScope, CapturePolicy
 from ..operators import attribution, common, export, network, requests
 from ..sources import host, kubernetes, prometheus, signals
@@ -81,7 +82,7 @@ def p17(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.map_keys(export.prometheus_labels(attributes)).alias("keys"))
 
 
-@query("p17_hashed_labels")
+@query("p17_hashed_labels", f"SELECT p_partkey, {hash_sql('p_name').replace('hex(p_name)', "hex('container_id') || 'FF' || hex(p_name)")} AS hash FROM part")
 def p17h(spark, d):
     attributes = F.create_map(F.lit("container.id"), F.col("p_name"), F.lit("other"), F.col("p_type"))
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", export.hashed_labels(attributes)["container_id_hash"].alias("hash"))

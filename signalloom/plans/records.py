@@ -88,9 +88,16 @@ def s12_kinds(spark, d):
     return _rendered(reduce(DataFrame.unionByName, map(of, _TRACES)))
 
 
-@query("s12_request_records", spans.oracle(["convs"], f"WITH {spans._REQ} SELECT seq, error_message, ids FROM (SELECT seq, CASE WHEN turn % 2 = 0 AND n % 600 >= 400 THEN 'HTTP status code ' || n % 600 WHEN turn % 2 = 1 AND n % 600 <> 0 THEN 'gRPC' ELSE 'timeout' END AS error_message, true AS ids FROM rq WHERE NOT (side = 'client' AND seen))"))
+@query("s12_request_records", spans.oracle(["convs"], f"WITH {spans._REQ} SELECT seq, error_message, ids FROM (SELECT seq, CASE WHEN turn % 2 = 0 AND n % 600 >= 400 THEN 'HTTP status code ' || n % 600 WHEN turn % 2 = 1 AND n % 600 <> 0 THEN 'gRPC status code ' || n % 600 || ' (' || {spans._GRPC.format('n % 600')} || ')' ELSE 'timeout' END AS error_message, true AS ids FROM rq WHERE NOT (side = 'client' AND seen))"))
 def s12_requests(spark, d):
     rows = requests.request_spans(spans.request_table(spark, d))
     out = records.to_trace_records(rows.withColumn("service_name", F.col("seq").cast("string")), "request_span_observation")
-    message = F.when(F.col("status_message").startswith("gRPC"), "gRPC").otherwise(F.col("status_message"))
-    return out.select(F.col("resource")["service.name"].cast("long").alias("seq"), message.alias("error_message"), F.col("trace_id").isNotNull().alias("ids"))
+    return out.select(F.col("resource")["service.name"].cast("long").alias("seq"), F.col("status_message").alias("error_message"), F.col("trace_id").isNotNull().alias("ids"))
+
+
+@query("s12_span_records", spans.oracle(["convs"], f"WITH {spans._REQ} SELECT seq, role AS name, CASE WHEN k = 1 THEN m END AS trace_id, CASE WHEN k = 1 THEN substr(m, 1, 16) END AS span_id, ts AS start, ts + n AS \"end\", n AS duration FROM rq"))
+def s12_spans(spark, d):
+    """Requests seen as plain spans: ids of both kinds or none."""
+    rows = spans.request_table(spark, d).withColumns({"name": F.col("method"), "service_name": F.col("seq").cast("string"), "span_id": F.coalesce("span_id", F.lit("not an id"))})
+    out = records.to_trace_records(rows, "trace_span_observation")
+    return out.select(F.col("resource")["service.name"].cast("long").alias("seq"), "name", "trace_id", "span_id", "start", "end", F.col("duration").cast("long").alias("duration"))

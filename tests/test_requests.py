@@ -71,3 +71,19 @@ def test_addresses(spark):
             "1:2:3:4:5:6:7:8": True, "1:2:3:4:5:6:7": False, "1:2:3:4:5:6:7:8:9": False, "1::2::3": False, "1:2:3:4:5:6:7::8": False, "g::1": False, "64:ff9b::1.2.3.4": True, "64:ff9b::1.2.3.400": False, ":::": False, "8.8.8.8": True, "8.8.8": False, "192.168.1.1": False, "": False, None: False}
     got = spark.createDataFrame([(k,) for k in want], "a string").select("a", is_external(F.col("a")).alias("e")).collect()
     assert {r.a: bool(r.e) for r in got} == want
+
+
+def test_answers_by_id(spark):
+    """Against a plain loop: ids that are used again, answers at the same time, late ones, unknown keys."""
+    import random
+
+    rng = random.Random(8)
+    asked = [("h", rng.choice(["hot", "c", None]), rng.choice([1, 1, 2, None]), rng.randrange(60), k) for k in range(200)]
+    answered = [("h", rng.choice(["hot", "c", None]), rng.choice([1, 2, 2, None]), rng.randrange(60), k) for k in range(60)]
+    schema, kv = "host string, connection string, correlation_id int, ts long, seq long", "array(named_struct('key', '{0}', 'value', string(seq)))"
+    ask, answer = (spark.createDataFrame(rows, schema).selectExpr("*", kv.format(key) + " AS attributes") for rows, key in ((asked, "a"), (answered, "b")))
+    got = {r.seq: (r.end, [a["value"] for a in r.attributes if a["key"] == "b"]) for r in requests.match_by_id(ask, answer, 4).collect()}
+    for h, c, i, ts, seq in asked:
+        mine = [] if c is None or i is None else [(t, s) for h2, c2, i2, t, s in answered if (h2, c2, i2) == (h, c, i) and ts <= t <= ts + 4]
+        assert got[seq] == ((mine[0][0], [str(mine[0][1])]) if len(mine) == 1 else (None, []))
+    assert sum(v[0] is not None for v in got.values()) > 5
