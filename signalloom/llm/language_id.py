@@ -177,16 +177,18 @@ class Scorer:
 
 
 def dealt(labelled: DataFrame, docs_each: int = TRAIN_DOCS + CALIBRATION_DOCS, bytes_each: int = SAMPLE_BYTES) -> DataFrame:
-    """lang, text and ``unseen`` of a sample: of each language the ``docs_each`` rows with the smallest hashes, while their texts have at most ``bytes_each`` bytes (the first one always).
+    """lang, text and ``unseen`` of a sample: of each language the ``docs_each`` rows with the smallest hashes (fewer where rows are repeated), while their texts have at most ``bytes_each`` bytes (the first one always).
 
     Each row is dealt once, equal texts alike: to the models, or ``unseen`` to the calibration (two of seven texts, from the fourth on). Repeated ids or rows don't make the sample larger.
     """
     spark = labelled.sparkSession
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # ranked without texts first; what passes is a row for each language
-    limit = hashed.select("lang", "h", "doc_id").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= docs_each).groupBy("lang").agg(F.max("h").alias("most"))
-    limits = {r["lang"]: r["most"] for r in limit.collect()}
+    # hashes are spread evenly, so a language's count tells up to which one there are enough, and more than its smallest at least
+    limits = {}
+    for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect():
+        share = min(1.0, (1.3 * docs_each + 50) / r["n"])
+        limits[r["lang"]] = max(r["least"], min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
     if not limits:
         return spark.createDataFrame([], "lang string, text string, unseen boolean")
     most = F.create_map(*[F.lit(x) for item in limits.items() for x in item])
