@@ -95,7 +95,8 @@ def t4(spark, d):
 
 @query("t5_active_gauge_stream", oracle(["conn_raw"], "SELECT seq, CASE WHEN kind = 'open' THEN 1 ELSE -1 END AS delta FROM (SELECT *, lag(kind) OVER (PARTITION BY host, pid, fd, remote_address, remote_port ORDER BY ts, seq) AS was FROM conn_raw WHERE kind IN ('open', 'close')) WHERE CASE WHEN kind = 'open' THEN was IS DISTINCT FROM 'open' ELSE was = 'open' END"))
 def t5(spark, d):
-    return _drain(state.active_gauge_stream(_events(spark, d), None)).select("seq", "delta")
+    """Several batches, in order of time."""
+    return _drain(state.active_gauge_stream(_replayed(_event_table(spark, d), "ts"), None)).select("seq", "delta")
 
 
 @query("t6_peer_stream", oracle(["conn_raw"], "WITH b AS (SELECT c.*, k % 3 AS n FROM conn_raw c JOIN ev USING (seq)), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY b.host, b.remote_address ORDER BY ts, seq) < 900000000000 THEN 0 ELSE 1 END AS fresh FROM b), s AS (SELECT *, sum(fresh) OVER (PARTITION BY host, remote_address ORDER BY ts, seq) AS sid FROM g) SELECT host, remote_address, CAST(sum(n) AS BIGINT) AS value FROM s GROUP BY host, remote_address, sid HAVING sum(n) > 0"))

@@ -62,6 +62,13 @@ def test_kernel_symbols(spark):
     assert {(r.ip, r.function) for r in profiling.resolve_kernel(frames, symbols).collect()} == {(50, None), (150, "a"), (200, "b"), (201, None)}
 
 
+def test_the_cap_with_idle_series(spark):
+    """One series at a time: y finds no place, z does once x has been silent; bytes over the cap are kept."""
+    rows = flow(spark, ("x", 1, 5), ("y", 2, 7), ("x", 3, 2), ("z", 20, 9), ("z", 21, 1))
+    got = {(r.source_owner_name, r.born, r.overflow, r.value) for r in peer.peer_flow_bytes(rows, most=1, idle=10).collect()}
+    assert got == {("x", 1, False, 7), (peer.OTHER, None, True, 7), ("z", 20, False, 10)}
+
+
 def test_prometheus_lines(spark):
     lines = spark.createDataFrame([("# HELP x", 0), ('x{a="1,\\"2",b="z"} 5', 1), ("y 1", 2), ("y 2", 3), ("y NaN", 4), ("bad line here x", 5)], "line string, line_no long")
     got = {(r.name, tuple(sorted(r.labels.items())), r.value) for r in prometheus.parse_prometheus(lines).collect()}
