@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64
-from .common import bounds_extensions, dedup, in_order
+from .common import bounds_extensions, dedup, stored
 from .network import workload
 from .running import running
 
@@ -42,29 +42,12 @@ def _greatest(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*PATH).agg(F.max("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def _path_state():
-    """Count, first and last time of one path, in order of arrival: (feed, end)."""
-    now: list = []
-
-    def feed(seq, answer, count, low, high, source, destination):
-        if not now:
-            now[:] = [source, destination, count, low, high]
-        else:
-            if not answer:
-                now[2] = max(now[2], count)
-            elif not low == high == now[4]:
-                now[2] += count
-            now[3:] = min(now[3], low), max(now[4], high)
-        return []
-
-    return feed, lambda: [tuple(now)]
-
-
 def observed_paths(opens: DataFrame, answers: DataFrame) -> DataFrame:
     """Paths of connections and of DNS answers (A15). ``opens`` and ``answers`` have the columns that name a path, ``ts`` and ``seq``.
 
     A connection gives its edge's cumulative count, of which the greatest counts; an answer adds one unless its time is the path's last.
-    Paths that only one of them feeds are aggregated; only those that both feed are read in order, by a small state.
+    Paths that only one of them feeds are aggregated. Where both do, the order counts: a connection lifts the path's count to its own, an answer adds one. What comes out is the
+    greatest of the connections' counts, each with the answers behind it; so running counts of answers are enough, and a busy path is read in slices.
     """
     named = ("source_owner", "destination_owner", "domain", "remote_address", "remote_port")
 
@@ -89,8 +72,19 @@ def observed_paths(opens: DataFrame, answers: DataFrame) -> DataFrame:
     so_far = Window.partitionBy(*EDGE, *PATH[1:]).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     updates = edges(of(e, both, "left_semi")).where("extends = 1").select("host", "path_label", "seq", F.lit(0).alias("_answer"), F.count(F.lit(1)).over(so_far).alias("_count"), F.min("ts").over(so_far).alias("_low"), F.max("ts").over(so_far).alias("_high"), *PATH[2:])
     each = of(a, both, "left_semi").select("host", "path_label", "seq", F.lit(1), F.lit(1).cast("long"), "ts", F.col("ts"), *PATH[2:])
-    mixed = in_order(updates.union(each), ("host", "path_label"), ("seq", "_answer"), _path_state, "host string, path_label string, source_label string, destination_label string, observations long, first_seen long, last_seen long")
-    return _greatest(by_edge).unionByName(only_answers).unionByName(mixed)
+    return _greatest(by_edge).unionByName(only_answers).unionByName(_mixed(updates.union(each)))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Paths of edges' cumulative counts and of answers: host, path_label, seq, _answer, _count, _low, _high and the labels, of which the first stay."""
+    keys, order = ("host", "path_label"), ("seq", "_answer")
+    seen = running(stored(rows), keys, order, {"_last": ("max", "_high")}, inclusive=False)
+    first = F.col("_last").isNull()
+    adds = F.when((F.col("_answer") == 1) & ~first & (F.col("_high") != F.col("_last")), 1).otherwise(0)
+    sets = F.when((F.col("_answer") == 0) | first, F.col("_count"))
+    upto = running(seen.withColumns({"_adds": adds, "_sets": sets}), keys, order, {"_upto": ("sum", "_adds")})
+    labels = F.min_by(F.struct(*PATH[2:]), F.struct(*order))
+    return upto.groupBy(*keys).agg(labels.alias("l"), (F.max(F.col("_sets") - F.col("_upto")) + F.sum("_adds")).alias("observations"), F.min("_low").alias("first_seen"), F.max("_high").alias("last_seen")).select("host", "path_label", "l.*", "observations", "first_seen", "last_seen")
 
 
 def path_ids(paths: DataFrame) -> DataFrame:
