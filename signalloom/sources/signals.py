@@ -16,29 +16,25 @@ VERSION = 1
 WRITERS = 8
 #: Kinds that the topology form keeps.
 TOPOLOGY = ("network_flow_summary", "network_flow_warning", "dependency_edge", "service_interaction_span_observation", "trace_service_path_observation", "trace_correlation_warning")
-#: What a value's own type may begin with, by the type of its field.
-_FORMS = {"long": ("BIGINT", "DECIMAL"), "int": ("BIGINT", "DECIMAL"), "double": ("BIGINT", "DECIMAL", "DOUBLE"), "string": ("STRING",), "boolean": ("BOOLEAN",), "strings": ("ARRAY",), "map": ("OBJECT",), "attributes": ("ARRAY",), "frames": ("ARRAY",)}
+#: What a value's own type begins with, by the type of its field.
+_FORMS = {"long": "BIGINT|DECIMAL", "int": "BIGINT|DECIMAL", "double": "BIGINT|DECIMAL|DOUBLE", "boolean": "BOOLEAN", "strings": "ARRAY", "map": "OBJECT", "attributes": "ARRAY", "frames": "ARRAY"}
 
 
-def _fits(value: Column, typed: Column, field: Field) -> Column:
-    """Whether a value (a variant, null if it isn't there) is of its field's type, and the fields within too."""
-    absent = F.coalesce(value.isNull() | F.is_variant_null(value), F.lit(True))
+def _fits(path: str, typed: Column, field: Field) -> Column:
+    """Whether the payload's value at a path is of its field's type, and the fields within too."""
+    own = F.coalesce(F.schema_of_variant(F.try_variant_get("payload", path, "variant")), F.lit("VOID"))
     if field.kind in PARTS:
-        inner = [_fits(F.try_variant_get(value, f"$.{f.name}", "variant"), typed[f.name], f) for f in fields_of(PARTS[field.kind])]
-        good = F.schema_of_variant(value).startswith("OBJECT")
-        for i in inner:
-            good = good & i
+        good = own.startswith("OBJECT")
+        for f in fields_of(PARTS[field.kind]):
+            good = good & _fits(f"{path}.{f.name}", typed[f.name], f)
     else:
-        good = F.lit(False)
-        for form in _FORMS.get(field.kind, ("STRING",)):
-            good = good | F.schema_of_variant(value).startswith(form)
-        good = good & typed.isNotNull()
+        good = own.rlike(f"^({_FORMS.get(field.kind, 'STRING')})") & typed.isNotNull()
         if field.kind in WORDS:
             good = good & typed.isin(*WORDS[field.kind].split())
         if field.kind in ("attributes", "frames"):
             needed = [f.name for f in fields_of(PARTS[field.kind[:-1]]) if f.needed]
             good = good & F.forall(typed, lambda x: x.isNotNull() & ~F.greatest(F.lit(False), *[x[n].isNull() for n in needed], F.lit(False)))
-    return F.when(absent, F.lit(not field.needed)).otherwise(F.coalesce(good, F.lit(False)))
+    return F.when(own == "VOID", F.lit(not field.needed)).otherwise(F.coalesce(good, F.lit(False)))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -61,7 +57,7 @@ def _typed(mine: DataFrame, kind: str) -> DataFrame:
     rows = mine.withColumn("p", typed)
     ok = F.col("p").isNotNull()
     for f in fields:
-        ok = ok & _fits(F.try_variant_get("payload", f"$.{f.name}", "variant"), F.col(f"p.{f.name}"), f)
+        ok = ok & _fits(f"$.{f.name}", F.col(f"p.{f.name}"), f)
     return rows.withColumn("ok", ok)
 
 
