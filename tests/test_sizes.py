@@ -17,3 +17,14 @@ def test_durations_above_64_bits_stay_at_the_top(spark):
     rows = conn(spark, *[(k * long // 2 if kind == "open" else k * long // 2 + long, kind, fd, "n", 0) for k in range(2) for fd in range(3) for kind in ("open", "close")][:6])
     got = network.durations(rows).first()
     assert (got["count"], got["sum"], got["max"]) == (3, TOP, long)
+
+
+def test_pods_with_high_keys_are_watched(spark, tmp_path):
+    for t in ("customer", "nation", "region"):
+        rows = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        (rows.withColumn("c_custkey", F.col("c_custkey") + 700_000) if t == "customer" else rows).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "nation", "region"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = plans.QUERIES["s6_pod_watch_stream"](spark, str(tmp_path)).select("pod_name", "node_name").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT pod_name, node_name FROM ({plans.ORACLES['s6_pod_watch_stream']})").fetchall())
