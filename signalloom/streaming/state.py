@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import in_order
-from .processors import CONNECTION, MOST_BYTES, HeadReader
-
-_KEY = "host string, pid long, fd int, remote_address string, remote_port int"
-
-
-def _rows(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
-    parts = list(batches)
-    return pd.concat(parts).sort_values(list(order)) if parts else pd.DataFrame()
+from .processors import BUCKETS, CONNECTION, MOST_BYTES, HeadReader, bucketed
 
 
 def _timeout(ms: int | None) -> str:
@@ -25,27 +20,37 @@ def _timeout(ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def active_gauge_stream(events: DataFrame, idle_ms: int | None = 86_400_000) -> DataFrame:
-    """+1 for an open of a connection that isn't open, -1 for a close of one that is (T5): seq, delta."""
+def active_gauge_stream(events: DataFrame, idle_ms: int | None = 86_400_000, buckets: int = BUCKETS) -> DataFrame:
+    """+1 for an open of a connection that isn't open, -1 for a close of one that is (T5): seq, delta.
+
+    Connections are dealt to ``buckets``; the open ones of a bucket are one state, with the time of their last event. One that is silent for ``idle_ms`` counts as closed.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known: dict[str, int] = pickle.loads(state.get[0]) if state.exists else {}
+        now = 0 if idle_ms is None else state.getCurrentProcessingTimeMs()
+        rows = [] if state.hasTimedOut else sorted((r for df in batches for r in zip(*(df[c].tolist() for c in ("state_key", "ts", "seq", "kind")), strict=True)), key=itemgetter(0, 1, 2))
+        out, open_, quiet = [], {}, dict(known)
+        for k, mine in groupby(rows, key=itemgetter(0)):
+            is_open = quiet.pop(k, None) is not None
+            for _, _, seq, kind in mine:
+                if (kind == "open") != is_open:
+                    is_open = not is_open
+                    out.append((k, seq, 1 if is_open else -1))
+            if is_open:
+                open_[k] = now
+        open_ |= quiet if idle_ms is None else {k: t for k, t in quiet.items() if now - t < idle_ms}
+        if open_:
+            state.update((pickle.dumps(open_),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(max(min(open_.values()) + idle_ms - now, 1))
+        elif state.exists:
             state.remove()
-            return
-        is_open = state.get[0] if state.exists else False
-        rows = _rows(batches, "ts", "seq")
-        # the state after a row is the row's own kind, whatever came before: a row counts where it differs from the one before it
-        opens = (rows["kind"] == "open").to_numpy()
-        changed = opens != np.concatenate([[is_open], opens[:-1]])
-        out = rows.loc[changed, ["seq"]].assign(delta=np.where(opens, 1, -1)[changed])
-        is_open = bool(opens[-1])
-        state.update((is_open,))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield out.assign(**dict(zip(CONNECTION, key, strict=True)))[[*CONNECTION, "seq", "delta"]]
-
-    rows = events.where("kind in ('open', 'close') and fd is not null").groupBy(*CONNECTION)
-    return rows.applyInPandasWithState(step, f"{_KEY}, seq long, delta int", "is_open boolean", "append", _timeout(idle_ms))
+        if out:
+            yield pd.DataFrame(out, columns=["state_key", "seq", "delta"])
+
+    rows, named = bucketed(events.where("kind in ('open', 'close') and fd is not null"), CONNECTION, buckets, "ts", "seq", "kind")
+    return named(rows.groupBy("state_bucket").applyInPandasWithState(step, "state_key string, seq long, delta int", "held binary", "append", _timeout(idle_ms)))
 
 
 def http_heads(chunks: DataFrame, most: int = MOST_BYTES) -> DataFrame:
