@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalloom import plans
 from signalloom.functions.bounds import TOP
-from signalloom.operators import network
+from signalloom.operators import network, profiling
 from test_operators import conn
 
 
@@ -28,3 +28,12 @@ def test_pods_with_high_keys_are_watched(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = plans.QUERIES["s6_pod_watch_stream"](spark, str(tmp_path)).select("pod_name", "node_name").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT pod_name, node_name FROM ({plans.ORACLES['s6_pod_watch_stream']})").fetchall())
+
+
+def test_ranges_of_one_key_are_read_slice_by_slice(spark):
+    ranges = spark.createDataFrame([("m", 10 * k, None if k == 3 else f"f{k}", k) for k in range(50)] + [("m", 30, "first", 99)], "module string, start long, name string, n int")
+    points = spark.range(500).select(F.lit("m").alias("module"), F.col("id").alias("at"))
+    out = profiling.as_of(points, ranges, ("module",), "at", "start", ("name", "n"), ("name",))
+    assert "_slice" in out._jdf.queryExecution().toString()
+    got = {r["at"]: (r["range_start"], r["n"]) for r in out.collect()}
+    assert got == {k: (k // 10 * 10, k // 10) for k in range(500)}
