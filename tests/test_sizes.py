@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalloom import plans
 from signalloom.functions.bounds import TOP
-from signalloom.operators import network, profiling
+from signalloom.operators import common, network, profiling
 from test_operators import conn
 
 
@@ -37,3 +37,18 @@ def test_ranges_of_one_key_are_read_slice_by_slice(spark):
     assert "_slice" in out._jdf.queryExecution().toString()
     got = {r["at"]: (r["range_start"], r["n"]) for r in out.collect()}
     assert got == {k: (k // 10 * 10, k // 10) for k in range(500)}
+
+
+def test_rows_without_a_key_are_spread(spark):
+    dims = spark.createDataFrame([(k, k * 2) for k in range(5)], "d long, twice long")
+    rows = spark.range(400).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 10).alias("k"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = common.look_up(rows, "k", dims, "d").withColumn("place", F.spark_partition_id()).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {r["id"]: r["twice"] for r in out} == {k: k % 10 * 2 if k % 4 == 0 and k % 10 < 5 else None for k in range(400)}
+    assert len({r["place"] for r in out if r["k"] is None}) > 1
