@@ -52,3 +52,11 @@ def test_rows_without_a_key_are_spread(spark):
             spark.conf.set(c, v)
     assert {r["id"]: r["twice"] for r in out} == {k: k % 10 * 2 if k % 4 == 0 and k % 10 < 5 else None for k in range(400)}
     assert len({r["place"] for r in out if r["k"] is None}) > 1
+
+
+def test_only_the_wanted_profile_tables_are_made(spark):
+    frame = "struct<domain:string,symbol:string,module:string,file:string,line:int,module_offset:long>"
+    rows = spark.createDataFrame([("s", 1, "cpu", 2, 10, [("user", "b", "m", None, None, 1), ("user", "a", "m", None, None, 1)])], f"source string, seq long, kind string, sample_count long, period long, frames array<{frame}>")
+    made = profiling.pprof_tables(rows, ["source"], ["strings"])
+    assert list(made) == ["strings"]
+    assert [(r["string"], r["string_id"]) for r in made["strings"].orderBy("string_id").collect()] == [("", 1), ("a", 2), ("b", 3), ("m", 4)]
