@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalloom import plans
 from signalloom.functions.bounds import TOP
-from signalloom.operators import common, network, profiling
+from signalloom.operators import common, network, profiling, records
 from test_operators import conn
 
 
@@ -60,3 +60,20 @@ def test_only_the_wanted_profile_tables_are_made(spark):
     made = profiling.pprof_tables(rows, ["source"], ["strings"])
     assert list(made) == ["strings"]
     assert [(r["string"], r["string_id"]) for r in made["strings"].orderBy("string_id").collect()] == [("", 1), ("a", 2), ("b", 3), ("m", 4)]
+
+
+def test_metric_kinds_with_durations_above_64_bits(spark, tmp_path):
+    for t in os.listdir(SMALL):
+        if t != "events.parquet":
+            os.symlink(f"{SMALL}/{t}", tmp_path / t)
+    rows = [(8 * k + end, f"{'2261' if end else '1971'}-01-01", 20 * k, "purchase" if end else "signup") for k in range(3) for end in (0, 1)]
+    duckdb.sql(f"COPY (SELECT e AS event_id, CAST(t AS TIMESTAMP) AS ts, u AS user_id, w AS event_type, 1.0 AS value, '{{\"k\": 1}}' AS props FROM (VALUES {', '.join(map(str, rows))}) v(e, t, u, w)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = plans.QUERIES["s11_metric_kinds"](spark, str(tmp_path)).where("record = 'network_duration_metric'").collect()
+    assert [(r["count"], r["value"]) for r in got] == [(3, float(TOP))]
+
+
+def test_own_attributes_are_worked_out_once_a_row(spark):
+    rows = spark.range(3).select(F.lit("system.disk.io").alias("metric"), F.col("id").alias("value"), F.array(F.struct(F.lit("device").alias("key"), F.col("id").cast("string").alias("value")), F.struct(F.lit("state").alias("key"), F.lit("read").alias("value"))).alias("attributes"))
+    out = records.to_metric_records(rows, "resource_counter_metric", F.col("metric"), F.lit("1"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("slice(") == 1
+    assert out.orderBy("value").first()["attributes"] == {"system.device": "0", "disk.io.direction": "read"}
