@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,15 +13,11 @@ from pyspark.sql import types as T
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def fnv1a64_many(values: list[bytes], seed: int = OFFSET) -> np.ndarray:
-    """The hash of each value; one step for the k-th byte of all values that are so long."""
-    out = np.full(len(values), seed, np.uint64)
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
+def _hashes(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of each run of bytes; one step for the k-th byte of all runs that are so long."""
+    out = np.full(len(sizes), seed, np.uint64)
     order = np.argsort(-sizes, kind="stable")
-    flat = np.frombuffer(b"".join(values), np.uint8)
-    starts = (np.cumsum(sizes) - sizes)[order]
-    live = len(values)
-    ranked = sizes[order]
+    starts, ranked, live = starts[order], sizes[order], len(sizes)
     for k in range(int(ranked[0]) if len(ranked) else 0):
         while live and ranked[live - 1] <= k:
             live -= 1
@@ -29,14 +26,30 @@ def fnv1a64_many(values: list[bytes], seed: int = OFFSET) -> np.ndarray:
     return out
 
 
+def fnv1a64_many(values: list[bytes], seed: int = OFFSET) -> np.ndarray:
+    """The hash of each value."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    return _hashes(np.frombuffer(b"".join(values), np.uint8), np.cumsum(sizes) - sizes, sizes, seed)
+
+
+def fnv1a64_array(values: pa.Array, seed: int = OFFSET) -> pa.Array:
+    """The hash of each string or binary value as 16 lower hex digits, read where Arrow holds the bytes; null for null."""
+    if not len(values):
+        return pa.array([], pa.string())
+    held = values.cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(held) + 1, held.offset * 8)
+    hashes = _hashes(np.frombuffer(data or b"", np.uint8), ends[:-1], np.diff(ends), seed)
+    return pa.array([f"{h:016x}" for h in hashes.tolist()], pa.string(), mask=held.is_null().to_numpy(zero_copy_only=False))
+
+
 def hash_function(seed: int):
     """The hash as a function of Arrow batches."""
-    def run(values: pd.Series) -> pd.Series:
-        raw = [None if v is None else v if isinstance(v, bytes) else v.encode() for v in values]
-        hashes = fnv1a64_many([r or b"" for r in raw], seed)
-        return pd.Series([None if r is None else f"{h:016x}" for r, h in zip(raw, hashes.tolist(), strict=True)])
 
-    return F.pandas_udf(run, T.StringType())
+    def run(values: pa.Array) -> pa.Array:
+        return fnv1a64_array(values, seed)
+
+    return F.arrow_udf(run, T.StringType())
 
 
 def fnv1a64(value: Column, seed: int = OFFSET) -> Column:

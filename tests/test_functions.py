@@ -81,3 +81,17 @@ def test_traceparent(spark):
     assert one(spark, text.parse_traceparent(F.lit(good)))["trace_id"] == "a" * 32
     for value, reason in ((good + "-x", "malformed"), (good.replace("a", "A"), "invalid_hex"), ("ff" + good[2:], "reserved_version"), (good.replace("a" * 32, "0" * 32), "all_zero_trace_id"), (good.replace("b" * 16, "0" * 16), "all_zero_span_id"), (None, "malformed")):
         assert one(spark, text.parse_traceparent(F.lit(value).cast("string")))["reason"] == reason
+
+
+def test_hashes_are_read_where_arrow_holds_the_bytes(spark):
+    import pyarrow as pa
+
+    from signalloom.functions.hashing import fnv1a64_array, fnv1a64_many
+
+    words = ["lost", "", None, "a", "é" * 3000, "foobar"]
+    want = [None if w is None else f"{h:016x}" for w, h in zip(words, fnv1a64_many([(w or "").encode() for w in words]).tolist(), strict=True)]
+    for kind in (pa.string(), pa.large_string()):
+        assert fnv1a64_array(pa.array(words, kind).slice(1)).to_pylist() == want[1:]
+    assert fnv1a64_array(pa.array([b"a", b"\xff"], pa.binary())).to_pylist()[0] == "af63dc4c8601ec8c"
+    assert fnv1a64_array(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    assert fnv1a64_array(pa.array([], pa.string())).to_pylist() == []
