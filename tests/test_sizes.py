@@ -4,11 +4,12 @@ import os
 
 import duckdb
 from conftest import SMALL
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalloom import plans
 from signalloom.functions.bounds import TOP
-from signalloom.operators import common, network, profiling, records
+from signalloom.operators import common, network, profiling, records, topology
 from test_operators import conn
 
 
@@ -77,3 +78,27 @@ def test_own_attributes_are_worked_out_once_a_row(spark):
     out = records.to_metric_records(rows, "resource_counter_metric", F.col("metric"), F.lit("1"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("slice(") == 1
     assert out.orderBy("value").first()["attributes"] == {"system.device": "0", "disk.io.direction": "read"}
+
+
+def test_a_lookup_works_out_only_what_is_read(spark):
+    upto = Window.partitionBy("k").orderBy("ts", "seq")
+    rows = spark.range(60).select(F.col("id").alias("seq"), F.col("id").alias("ts"), F.when(F.col("id") % 3 == 0, F.col("id") % 6).alias("k")).withColumn("total", F.sum("ts").over(upto))
+    out = common.look_up(rows, "k", spark.createDataFrame([(k, k * 2) for k in range(5)], "d long, twice long"), "d").select("seq", "twice")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["seq"]: r["twice"] for r in out.collect()} == {k: k % 6 * 2 if k % 3 == 0 else None for k in range(60)}
+
+
+def test_observed_paths_read_their_tables_once(spark):
+    who = "'h' AS host, 'n' AS namespace, 'u' AS pod_uid, 'p' AS pod_name, 'c' AS container_name, md5(string(id)) AS container_id, id AS ts, id AS seq"
+    opens = spark.range(5).selectExpr(*who.split(", "), "'10.0.0.1' AS remote_address", "80 AS remote_port", "'tcp' AS protocol")
+    answers = spark.range(5).selectExpr(*who.split(", "), "'x' AS domain", "'no_error' AS response_code")
+    out = topology.observed_paths(opens, answers)
+    assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.path_label, r.observations) for r in out.collect()} == {("n/u/c->10.0.0.1:80", 1), ("n/u/c->x", 5)}
+
+
+def test_spans_without_attributes_of_their_own_merge_no_maps(spark):
+    rows = spark.createDataFrame([("s", 1, 4, 80, "net")], "name string, start long, end long, remote_port int, error_type string")
+    out = records.to_trace_records(rows, "service_interaction_span_observation")
+    assert "map_concat" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert (out.first().status, out.first().attributes) == ("error", {"server.port": "80", "error.type": "net"})
